@@ -2,9 +2,12 @@
 
 Which strings can match is found first, without missing any. A window of `span` bytes is keyed by the
 least hash of the GRAM-byte strings in it, which depends on the window alone; consecutive windows of
-one key make one string. Keys that lie in one chunk of texts only are dropped, exact copies of a text are
+one key make one string. Keys that lie in one text only are dropped, exact copies of a text are
 represented by the smallest doc_id. The strings of one key then go to one task, where suffix arrays
 (`suffix_groups`) bring equal windows together, each with the smallest doc_id it starts in.
+
+Texts are dealt out once, compressed, into parts of about CHUNK_BYTES by doc_id; all that is found out
+about them is sent to their parts, where Spark reads the same shuffle again.
 """
 
 from __future__ import annotations
@@ -14,26 +17,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.llm.shared import by_runs, table
+from larkspur.llm.suffix_groups import arrays, one
 
 GRAM = 24
 #: Windows in one string at most: a text that repeats itself gives one key for long.
 RUN = 64
 #: Text in a chunk, and in the keys that one bucket gathers.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Text whose keys are made at once.
+STEP_BYTES = 1 << 20
 #: Blocks of more bytes than this are sorted alone.
 LONG_BLOCK = 6000
-LOW = np.uint64((1 << 40) - 1)
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+LOW = np.uint64((1 << 32) - 1)
+
+
+def _strings(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keyed strings of texts of at least `span` bytes: (key, text number, begin in the text, windows)."""
+    out, at = [], 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (total < STEP_BYTES or end == at):
+            total += len(texts[end])
+            end += 1
+        key, owner, begin, windows = _step(texts[at:end], span)
+        out.append((key, owner + at, begin, windows))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _strings(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Keyed strings of texts of at least `span` bytes: (key, text number, begin in all, windows, all)."""
+def _step(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     every = b"".join(texts)
     size = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(every + bytes(8), np.uint8)
@@ -68,48 +89,51 @@ def _strings(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.
         windows = np.minimum(RUN, np.repeat(windows, parts) - nth * RUN)
     owner = doc[cut]
     inside = cut - begin[owner] + span <= size[owner]
-    return h[cut[inside]], owner[inside], cut[inside], windows[inside], every
+    return h[cut[inside]], owner[inside], (cut - begin[owner])[inside], windows[inside]
 
 
-def _sketch(buckets: int, span: int):
-    """Chunks of texts -> (bucket, part, keys): the distinct keys of a part's texts, 5 bytes each and whether two texts of the chunk have it."""
+def _representatives(texts: pa.Table, known: pa.Table) -> list[tuple[int, int, bytes]]:
+    """(doc, tag, text) of the rows of a part that represent their text, each once."""
+    known = known.filter(pa.compute.equal(known.column("kind"), 0))
+    tags = {(d, k): t for d, k, t in zip(*(known.column(x).to_pylist() for x in ("doc", "text_key", "tag")), strict=True)}
+    unzip, out = zstandard.ZstdDecompressor(), []
+    for d, k, z in zip(*(texts.column(x).to_pylist() for x in ("doc", "text_key", "z")), strict=True):
+        if (tag := tags.pop((d, k), None)) is not None:
+            out.append((d, tag, unzip.decompress(z)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        held: dict[int, list[bytes]] = {}
-        total = 0
 
-        def rows(part: int, texts: list[bytes]) -> pa.RecordBatch:
-            key, doc, *_ = _strings(texts, span)
-            o = np.argsort(key, kind="stable")
-            key, doc = key[o], doc[o]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            key = key[first]
-            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            bucket, key, twice = bucket[o], key[o] & LOW, twice[o]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            packed = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
-            ends = np.append(cut[1:], len(key))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array([part] * len(cut), pa.int64()), pa.array([packed[a:b].tobytes() + np.packbits(twice[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "part", "keys"])
-
-        for rb in batches:
-            for part, z in zip(rb.column("part").to_pylist(), rb.column("z").to_pylist(), strict=True):
-                held.setdefault(part, []).append(unzip.decompress(z))
-                total += len(held[part][-1])
-                if total > 4 * CHUNK_BYTES:
-                    for p, texts in held.items():
-                        yield rows(p, texts)
-                    held, total = {}, 0
-        for p, texts in held.items():
-            yield rows(p, texts)
+def _bucketed(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a key above 32 of its other bits: all of it that is kept."""
+    return (key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | key & LOW
+
+
+def _sketch(buckets: int, span: int):
+    """A part -> (bucket, part, keys): the distinct keys of its texts, 4 bytes each, and whether two of its texts have it."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        names = ["bucket", "part", "keys"]
+        some = [x[2] for x in _representatives(texts, known)]
+        if not some:
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names)
+        key, doc, *_ = _strings(some, span)
+        key = _bucketed(key, buckets)
+        o = np.argsort(key, kind="stable")
+        key, doc = key[o], doc[o]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        key = key[first]
+        bucket = (key >> np.uint64(32)).astype(np.int32)
+        cut = _runs(bucket)
+        packed = key.astype(np.uint32)
+        part = known.column("part")[0].as_py()
+        return pa.table([pa.array([bucket[a] for a, _ in cut], pa.int32()), pa.array([part] * len(cut), pa.int64()), pa.array([packed[a:b].tobytes() + np.packbits(twice[a:b]).tobytes() for a, b in cut], pa.binary())], names)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets, sorted -> (part, keys): the keys that two chunks have or two texts of one."""
+    """Whole buckets, sorted -> (part, keys): the keys that two parts have or two texts of one."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
         parts, keys = [], []
@@ -118,11 +142,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = t.slice(a, b - a)
             got, twice = [], []
             for x in rows.column("keys").to_pylist():
-                n = len(x) * 8 // 41
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
-                got.append(wide.view(np.uint64).ravel())
-                twice.append(np.unpackbits(np.frombuffer(x, np.uint8, -1, 5 * n), count=n).astype(bool))
+                n = len(x) * 8 // 33
+                got.append(np.frombuffer(x, np.uint32, n).astype(np.uint64))
+                twice.append(np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * n), count=n).astype(bool))
             key, twice = np.concatenate(got), np.concatenate(twice)
             row = np.repeat(np.arange(len(got)), [len(x) for x in got])
             o = np.argsort(key, kind="stable")
@@ -130,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             many = np.diff(np.append(first, len(k)))
             keep = np.repeat((many > 1) | np.logical_or.reduceat(twice[o], first), many)
-            k, row = k[keep] | np.uint64(int(bucket[a]) << 40), row[o][keep]
+            k, row = k[keep] | np.uint64(int(bucket[a]) << 32), row[o][keep]
             part = rows.column("part").to_numpy()
             o = np.argsort(row, kind="stable")
             k, row = k[o], row[o]
@@ -150,57 +172,33 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _select(buckets: int, span: int):
-    """Whole parts, shared keys first, then texts -> (key, digest, string, doc, text_key, begin, windows), a row for each string of a shared key.
+    """A part -> (key, digest, string, doc, tag, place), a row for each string of a shared key; place: 256 * begin + windows.
 
-    The string itself comes with its first row in a chunk.
+    The string itself comes with its first row in the part.
     """
-    names = ["key", "digest", "string", "doc", "text_key", "begin", "windows"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        part, keys, wanted, texts, total = None, [], None, [], 0
-
-        def rows() -> pa.RecordBatch:
-            key, owner, cut, windows, every = _strings([x[2] for x in texts], span)
-            key = ((key >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (key & LOW)
-            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            hit = np.flatnonzero(wanted[at] == key)
-            base = np.cumsum([0] + [len(x[2]) for x in texts])
-            cut, windows, owner = cut[hit], windows[hit], owner[hit]
-            digest, string, seen = [], [], set()
-            for a, b in zip(cut.tolist(), (cut + windows + span - 1).tolist(), strict=True):
-                x = every[a:b]
-                d = xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                digest.append(d)
-                if d in seen:
-                    string.append(None)
-                else:
-                    seen.add(d)
-                    string.append(x)
-            doc, text_key = (np.array([x[i] for x in texts], np.int64)[owner] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((key[hit].view(np.int64), digest, string, doc, text_key, cut - base[owner], windows), kinds, strict=True)], names)
-
-        for rb in batches:
-            cols = [rb.column(x).to_pylist() for x in ("part", "doc", "text_key", "z")]
-            for p, doc, text_key, z in zip(*cols, strict=True):
-                if p != part:
-                    if texts:
-                        yield rows()
-                    part, keys, wanted, texts, total = p, [], None, [], 0
-                if text_key is None:
-                    keys.append(np.frombuffer(z, np.uint64))
-                    continue
-                if wanted is None:
-                    wanted = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-                if len(wanted):
-                    texts.append((doc, text_key, unzip.decompress(z)))
-                    total += len(texts[-1][2])
-                    if total > CHUNK_BYTES:
-                        yield rows()
-                        texts, total = [], 0
-        if texts:
-            yield rows()
+    names = ["key", "digest", "string", "doc", "tag", "place"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        wanted = [np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist() if x is not None]
+        some = _representatives(texts, known) if wanted else []
+        if not some:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        wanted = np.unique(np.concatenate(wanted))
+        key, owner, begin, windows = _strings([x[2] for x in some], span)
+        key = _bucketed(key, buckets)
+        at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+        hit = np.flatnonzero(wanted[at] == key)
+        key, owner, begin, windows = key[hit], owner[hit], begin[hit], windows[hit]
+        digest, string, seen = [], [], set()
+        for k, a, b in zip(owner.tolist(), begin.tolist(), (begin + windows + span - 1).tolist(), strict=True):
+            x = some[k][2][a:b]
+            d = xxhash.xxh3_64_intdigest(x) - (1 << 63)
+            digest.append(d)
+            string.append(None if d in seen else x)
+            seen.add(d)
+        doc, tag = (np.array([x[i] for x in some], np.int64)[owner] for i in (0, 1))
+        return pa.table([pa.array(x, k) for x, k in zip((key.view(np.int64), digest, string, doc, tag, begin << 8 | windows), kinds, strict=True)], names)
 
     return run
 
@@ -217,8 +215,6 @@ def _least(strings: list[bytes], block: np.ndarray, doc: np.ndarray, span: int)
     begin = ends - size
     heads = begin[np.append(True, block[1:] != block[:-1])]
     lengths = np.diff(np.append(heads, len(s)))
-    from larkspur.llm.suffix_groups import arrays, one
-
     sa = np.empty(len(s), np.int64)
     short = lengths <= LONG_BLOCK
     for a, n in zip(heads[~short].tolist(), lengths[~short].tolist(), strict=True):
@@ -246,11 +242,12 @@ def _least(strings: list[bytes], block: np.ndarray, doc: np.ndarray, span: int)
 
 
 def _cover(span: int):
-    """Whole keys, sorted -> (doc, text_key, begin, windows): runs of windows that also start in a smaller doc."""
+    """Whole keys, sorted -> (doc, tag, begin, windows): runs of windows that also start in a smaller doc."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
         key, doc = t.column("key").to_numpy(), t.column("doc").to_numpy()
-        digest, begin, windows = (t.column(x).to_numpy() for x in ("digest", "begin", "windows"))
+        digest, place = (t.column(x).to_numpy() for x in ("digest", "place"))
+        begin, windows = place >> 8, place & 255
         o = np.lexsort((digest, key))
         k, d = key[o], digest[o]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
@@ -276,8 +273,8 @@ def _cover(span: int):
         row, nth = row[hit], nth[hit]
         cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1))) if len(row) else row
         row, nth, many = row[cut], nth[cut], np.diff(np.append(cut, len(row)))
-        text_key = t.column("text_key").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(doc[row], pa.int64()), pa.array(text_key[row], pa.int64()), pa.array(begin[row] + nth, pa.int64()), pa.array(many, pa.int64())], ["doc", "text_key", "begin", "windows"])
+        tag = t.column("tag").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(doc[row], pa.int64()), pa.array(tag[row], pa.int64()), pa.array(begin[row] + nth, pa.int64()), pa.array(many, pa.int64())], ["doc", "tag", "begin", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return by_runs(batches, "key", fn)
@@ -285,38 +282,6 @@ def _cover(span: int):
     return run
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=3)
-    for rb in batches:
-        yield pa.RecordBatch.from_arrays([*(rb.column(x) for x in ("doc", "text_key", "n")), pa.array([z.compress(x.encode()) for x in rb.column("text").to_pylist()], pa.binary())], ["doc", "text_key", "n", "z"])
-
-
-def covered(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): the distinct texts (doc, text_key, n, z: compressed) of at least `span` bytes, each with the
-    smallest doc_id that has it, and the windows in them (doc, text_key, begin, windows) that start in a smaller one too.
-
-    Rows without a doc_id have no smaller or greater one and stay out.
-    """
-    if span < GRAM + 8:
-        raise ValueError(f"span must be at least {GRAM + 8}")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where("doc IS NOT NULL")
-    d = d.select("doc", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("n"), "text").where(F.col("n") >= span)
-    low = d.groupBy("text_key").agg(F.min("doc").alias("doc"))
-    texts = d.mapInArrow(_zip, "doc long, text_key long, n int, z binary").join(low, ["text_key", "doc"], "left_semi").dropDuplicates(["text_key", "doc"])
-    texts = table(texts.select("doc", "text_key", "n", "z"), "texts")
-    size = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    buckets, chunks = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // CHUNK_BYTES))
-    parts = texts.withColumn("part", F.pmod(F.xxhash64("text_key"), F.lit(chunks)))
-    sketch = parts.select("part", "z").mapInArrow(_sketch(buckets, span), "bucket int, part long, keys binary")
-    shared = sketch.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, keys binary")
-    none = F.lit(None).cast("long")
-    both = shared.select("part", none.alias("doc"), none.alias("text_key"), F.col("keys").alias("z")).unionByName(parts.select("part", "doc", "text_key", "z"))
-    both = both.repartition("part").sortWithinPartitions("part", F.col("text_key").asc_nulls_first())
-    strings = both.mapInArrow(_select(buckets, span), "key long, digest long, string binary, doc long, text_key long, begin long, windows int")
-    runs = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_cover(span), "doc long, text_key long, begin long, windows long")
-    return texts, runs
-
-
 def _gaps(begin: np.ndarray, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs [from, to) of a text."""
     o = np.argsort(begin, kind="stable")
@@ -325,31 +290,72 @@ def _gaps(begin: np.ndarray, windows: np.ndarray, span: int) -> tuple[np.ndarray
     return b[new], e[np.append(new[1:] - 1, len(e) - 1)]
 
 
-def _cut(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        for rb in batches:
-            removed, spans, sha, kept = [], [], [], []
-            for z, runs in zip(rb.column("z").to_pylist(), rb.column("runs"), strict=True):
-                raw = unzip.decompress(z)
-                runs = runs.values
-                a, b = _gaps(runs.field("begin").to_numpy(), runs.field("windows").to_numpy(), span)
-                rest = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
-                removed.append(len(raw) - len(rest))
-                spans.append(len(a))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays([rb.column("doc"), rb.column("text_key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc", "text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(span: int, schema: pa.Schema):
+    """A part -> each of its rows with n_bytes, n_removed, n_spans, kept_sha256 and kept."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        kind, doc, tag, begin, windows = (known.column(x).to_numpy() for x in ("kind", "doc", "tag", "begin", "windows"))
+        tags = {(d, k): t for d, k, t in zip(doc[kind == 0].tolist(), known.filter(pa.compute.equal(known.column("kind"), 0)).column("text_key").to_pylist(), tag[kind == 0].tolist(), strict=True)}
+        runs = kind == 2
+        doc, tag, begin, windows = (x[runs].astype(np.int64) for x in (doc, tag, begin, windows))
+        o = np.lexsort((tag, doc))
+        doc, tag, begin, windows = doc[o], tag[o], begin[o], windows[o]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))) if len(doc) else doc
+        of = {(int(doc[a]), int(tag[a])): (int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(doc)), strict=True)}
+        unzip, rows = zstandard.ZstdDecompressor(), []
+        for d, k, z in zip(*(texts.column(x).to_pylist() for x in ("doc", "text_key", "z")), strict=True):
+            raw = unzip.decompress(z) if z is not None else b""
+            own = tags.get((d, k))
+            n, rest = 0, raw
+            if d is None or len(raw) < span:
+                pass
+            elif own is None:
+                n, rest = 1, b""
+            elif (d, own) in of:
+                x, y = of[d, own]
+                a, b = _gaps(begin[x:y], windows[x:y], span)
+                n, rest = len(a), b"".join(raw[p:q] for p, q in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
+            rows.append((len(raw), len(raw) - len(rest), n, hashlib.sha256(rest).hexdigest(), rest))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([texts.column("row"), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(cols))], schema=schema)
 
     return run
 
 
-def _results(docs: DataFrame, span: int) -> DataFrame:
-    """(doc, text_key, n_removed, n_spans, kept_sha256, kept) of the representative texts that lose bytes."""
-    texts, runs = covered(docs, span)
-    runs = runs.groupBy("doc", "text_key").agg(F.collect_list(F.struct("begin", "windows")).alias("runs"))  # as many as its own text has
-    cut = texts.join(runs, ["doc", "text_key"]).select("doc", "text_key", "z", "runs")
-    return cut.mapInArrow(_cut(span), "doc long, text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=3)
+    for rb in batches:
+        zipped = pa.array([None if x is None else z.compress(x.encode()) for x in rb.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(rb.column(x) for x in ("row", "doc", "text_key", "part")), zipped], ["row", "doc", "text_key", "part", "z"])
+
+
+def covered(docs: DataFrame, row: list[str], span: int = 50) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `docs`; row: its columns of these names, in a struct.
+
+    Rows without a doc_id have no smaller or greater one: they lose nothing, and nothing is lost to them.
+    """
+    if span < GRAM + 8:
+        raise ValueError(f"span must be at least {GRAM + 8}")
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(F.struct(*row).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("n"), "text")
+    size = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    buckets, chunks = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // CHUNK_BYTES))
+    part = F.pmod(F.xxhash64(F.coalesce("doc", "text_key")), F.lit(chunks))
+    texts = d.withColumn("part", part).select("row", "doc", "text_key", "part", "text")
+    texts = texts.mapInArrow(_zip, T.StructType([*texts.select("row", "doc", "text_key", "part").schema.fields, T.StructField("z", T.BinaryType())])).groupBy("part")
+    low = d.where((F.col("n") >= span) & F.col("doc").isNotNull()).groupBy("text_key").agg(F.min("doc").alias("doc"))
+    least = low.groupBy("doc").agg(F.min("text_key").alias("least"))  # where a doc_id has several texts, tags tell them apart
+    known = low.join(least, "doc").select(part.alias("part"), F.lit(0).alias("kind"), "doc", "text_key", F.when(F.col("text_key") == F.col("least"), 0).otherwise(F.col("text_key")).cast("long").alias("tag"))
+    known = table(known, "texts")
+    sketch = texts.cogroup(known.groupBy("part")).applyInArrow(_sketch(buckets, span), "bucket int, part long, keys binary")
+    shared = sketch.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, keys binary")
+    told = known.withColumn("keys", F.lit(None).cast("binary")).unionByName(shared.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    strings = texts.cogroup(told.groupBy("part")).applyInArrow(_select(buckets, span), "key long, digest long, string binary, doc long, tag long, place long")
+    runs = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_cover(span), "doc long, tag long, begin long, windows long")
+    runs = runs.select(F.pmod(F.xxhash64("doc"), F.lit(chunks)).alias("part"), F.lit(2).alias("kind"), "doc", "tag", "begin", "windows")
+    told = known.withColumns({x: F.lit(None).cast("long") for x in ("begin", "windows")}).unionByName(runs, allowMissingColumns=True)
+    out = T.StructType([T.StructField("row", d.schema["row"].dataType), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    return texts.cogroup(told.groupBy("part")).applyInArrow(_cut(span, to_arrow_schema(out)), out)
 
 
 def digest(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -358,19 +364,7 @@ def digest(docs: DataFrame, span: int = 50) -> DataFrame:
     A null text is empty. Texts shorter than `span` lose nothing. A copy of a text with a smaller doc_id
     loses all. Rows of equal doc_id don't touch each other; a row without doc_id loses nothing.
     """
-    got = _results(docs, span).drop("kept")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    low = rows.groupBy("text_key").agg(F.min("doc_id").alias("low"))
-    copy = (F.col("doc_id") > F.col("low")) & (F.col("n_bytes") >= span)
-    rows = rows.join(low, "text_key").join(got.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_key"], "left")
-    return rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    return covered(docs, ["doc_id"], span).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cut(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -378,15 +372,10 @@ def cut(docs: DataFrame, span: int = 50) -> DataFrame:
 
     A text of which nothing is left is empty; a null text stays null. Columns of other names are kept as they are.
     """
-    got = _results(docs, span).select(F.col("doc").alias("cut_doc"), F.col("text_key").alias("cut_key"), "kept")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("cut_key", F.xxhash64(text))
-    low = rows.where(F.octet_length(text) >= span).groupBy(F.col("cut_key").alias("low_key")).agg(F.min("doc_id").alias("low"))
-    rows = rows.join(low, F.col("cut_key") == F.col("low_key"), "left").withColumn("cut_copy", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False)))
-    rows = rows.drop("low", "low_key").withColumnRenamed("cut_key", "row_key")
-    rows = rows.join(got, (F.col("doc_id") == F.col("cut_doc")) & (F.col("row_key") == F.col("cut_key")), "left")
-    new = F.when(F.col("cut_copy"), F.lit("")).when(F.col("kept").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("cut_copy") | F.col("kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    got = covered(docs.withColumn("__cut_null", F.col("text").isNull()), [*rest, "__cut_null"], span)
+    text = F.when(F.col("row.__cut_null"), F.lit(None)).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    new = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.when(F.col("n_removed") > 0, text).when(~F.col("row.__cut_null"), F.col("kept").cast("string"))}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return got.select(*[new[c].alias(c) for c in docs.columns])
