@@ -1,15 +1,454 @@
-"""All registered queries of the engine, with the SQL that checks them."""
+"""All registered queries of the engine over the driver's tables, with the SQL that checks them.
+
+The tables hold no listings, so each query maps columns of theirs to an operator's: parts are properties,
+lines of orders are offers, brands are cohorts, return flags are listing types.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions import geo, text, vectors
+from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts
+from larkspur.sources import files
+from larkspur.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def offers(s: SparkSession, d: str) -> DataFrame:
+    """Lines as active offers: R and A are rent and sale, N is neither."""
+    kind = F.when(F.col("l_returnflag") == "R", "rent").when(F.col("l_returnflag") == "A", "sale").otherwise("other")
+    return t(s, d, "lineitem").select(F.col("l_partkey").alias("property_id"), kind.alias("listing_type"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_linestatus").alias("platform"), F.lit(True).alias("active"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_id"))
+
+
+OFFERS = """offers AS (SELECT l_partkey AS property_id, CASE l_returnflag WHEN 'R' THEN 'rent' WHEN 'A' THEN 'sale' ELSE 'other' END AS listing_type,
+  l_extendedprice / l_quantity AS price, l_linestatus AS platform, l_orderkey * 10 + l_linenumber AS listing_id FROM lineitem)"""
+
+
+def properties(s: SparkSession, d: str) -> DataFrame:
+    p = t(s, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("area_m2"), (F.col("p_partkey") % 11 != 0).alias("active"), F.col("p_brand").alias("cohort"), (F.col("p_partkey") % 3 == 0).alias("for_rent"), (F.col("p_partkey") % 2 == 0).alias("for_sale"))
+
+
+TYPED = (
+    OFFERS
+    + """, low AS (SELECT property_id, listing_type, min(price) AS price FROM offers WHERE price > 0 AND listing_type IN ('rent', 'sale') GROUP BY ALL),
+props AS (SELECT p_partkey AS property_id, p_retailprice AS own, p_size::DOUBLE AS area, p_brand AS cohort,
+    CASE WHEN p_partkey % 3 = 0 THEN 'rent' WHEN p_partkey % 2 = 0 THEN 'sale' ELSE 'rent' END AS kind
+  FROM part WHERE p_partkey % 11 <> 0 AND p_size > 0),
+typed AS (SELECT p.property_id, cohort, listing_type, price / area AS ppm FROM props p JOIN low USING (property_id)
+  UNION ALL SELECT property_id, cohort, kind, own / area FROM props p WHERE own > 0 AND NOT EXISTS (SELECT 1 FROM low l WHERE l.property_id = p.property_id)),
+stats AS (SELECT *, avg(ppm) OVER w AS mean, quantile_cont(ppm, 0.5) OVER w AS median, stddev_samp(ppm) OVER w AS stddev,
+    percent_rank() OVER (PARTITION BY cohort, listing_type ORDER BY ppm NULLS LAST) AS pct FROM typed WINDOW w AS (PARTITION BY cohort, listing_type))"""
+)
+R = lambda c: F.round(c, 6).alias(c)  # noqa: E731  sums of doubles differ in their last places
+
+
+def stats_of(s: SparkSession, d: str) -> DataFrame:
+    return cohort.statistics(cohort.typed_prices(properties(s, d), offers(s, d)))
+
+
+@query(f"WITH {TYPED} SELECT property_id, cohort, listing_type, round(ppm, 6) AS ppm, round(mean, 6) AS mean, round(median, 6) AS median, round(stddev, 6) AS stddev, round(pct, 6) AS pct FROM stats")
+def cohort_price_stats(s, d):
+    return stats_of(s, d).select("property_id", "cohort", "listing_type", *map(R, ("ppm", "mean", "median", "stddev", "pct")))
+
+
+SCORED = """scored AS (SELECT *, CASE WHEN stddev > 0 THEN (ppm - mean) / stddev ELSE 0 END AS z FROM stats)"""
+
+
+@query(
+    f"""WITH {TYPED}, {SCORED} SELECT property_id, cohort, listing_type, round(z, 6) AS z, round(1 / (1 + exp(z)), 6) AS stat_score,
+  CASE WHEN z < -1 THEN 'highly_undervalued' WHEN z < -0.2 THEN 'slightly_undervalued' WHEN z < 0.2 THEN 'average' WHEN z < 1 THEN 'slightly_overvalued' ELSE 'highly_overvalued' END AS band,
+  round(0.4 / (1 + exp(z)) + 0.4 * ((property_id % 10) / 10.0) + 0.2 * 0.5, 6) AS combined FROM scored"""
+)
+def cohort_value_score(s, d):
+    p = properties(s, d)
+    ai = p.select(F.col("id").alias("property_id"), ((F.col("id") % 10) / 10).alias("ai_score"))
+    none = p.select(F.col("id").alias("property_id"), F.lit(0.5).alias("quality")).where("property_id < 0")
+    out = cohort.score_properties(p, offers(s, d), ai, none)
+    return out.select("property_id", "cohort", "listing_type", R("z"), R("stat_score"), "band", R("combined"))
+
+
+@query(
+    f"""WITH {TYPED} SELECT property_id, round(max(ppm) FILTER (listing_type = 'rent'), 6) AS ppm_rent, round(max(ppm) FILTER (listing_type = 'sale'), 6) AS ppm_sale,
+  round(max(mean) FILTER (listing_type = 'rent'), 6) AS mean_rent, round(max(mean) FILTER (listing_type = 'sale'), 6) AS mean_sale,
+  CASE WHEN max(ppm) FILTER (listing_type = 'rent') IS NOT NULL THEN 'rent' ELSE 'sale' END AS primary_type FROM stats GROUP BY property_id"""
+)
+def dual_type_pivot(s, d):
+    return cohort.pivoted(stats_of(s, d)).select("property_id", *map(R, ("ppm_rent", "ppm_sale", "mean_rent", "mean_sale")), "primary_type")
+
+
+@query(f"WITH {TYPED} SELECT property_id, cohort, listing_type, round(ppm, 6) AS ppm FROM typed")
+def legacy_fallback_union(s, d):
+    return cohort.typed_prices(properties(s, d), offers(s, d)).select("property_id", "cohort", "listing_type", R("ppm"))
+
+
+@query(f"WITH {TYPED} SELECT coalesce(round(avg(ppm), 6), 0) AS mean, coalesce(round(quantile_cont(ppm, 0.5), 6), 0) AS median, coalesce(round(stddev_samp(ppm), 6), 0) AS stddev, count(ppm) AS n FROM typed WHERE cohort = (SELECT min(p_brand) FROM part) AND listing_type = 'rent'")
+def cohort_summary(s, d):
+    name = properties(s, d).agg(F.min("cohort")).first()[0]
+    return cohort.cohort_summary(cohort.typed_prices(properties(s, d), offers(s, d)), name, "rent").select(R("mean"), R("median"), R("stddev"), "n")
+
+
+@query(
+    """SELECT p_partkey AS id, round(0.5 * s + 0.3 * ai + 0.2 * q, 6) AS combined, round(0.5 * rent + 0.3 * ai + 0.2 * q, 6) AS combined_rent FROM
+  (SELECT p_partkey, (p_size % 7) / 7.0 AS s, CASE WHEN p_size % 2 = 0 THEN (p_size % 5) / 5.0 END AS rent, (p_partkey % 10) / 10.0 AS ai, (p_partkey % 4) / 4.0 AS q FROM part)"""
+)
+def reblend(s, d):
+    m = t(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 7 / 7).alias("stat_score"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") % 5 / 5).alias("stat_score_rent"), F.lit(None).cast("double").alias("stat_score_sale"), (F.col("p_partkey") % 10 / 10).alias("ai_score"), (F.col("p_partkey") % 4 / 4).alias("quality"))
+    return cohort.reblend(m, cohort.Weights(0.5, 0.3, 0.2)).select("id", R("combined"), R("combined_rent"))
+
+
+def base(s: SparkSession, d: str) -> DataFrame:
+    """Orders as properties with metrics, customers' nations as neighbourhoods."""
+    o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.lit(True).alias("active"), F.col("o_orderpriority").alias("platform"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 5).cast("int").alias("bedrooms"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") % 4).cast("int").alias("parking"), F.col("n_name").alias("neighborhood_name"), F.col("c_mktsegment").alias("props_neighborhood"), F.col("n_name").alias("neighborhood_city"), F.col("c_mktsegment").alias("props_city"),
+        (F.col("o_custkey") % 10 / 10).alias("combined"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 8 / 8).alias("combined_rent"), F.lit(None).cast("double").alias("combined_sale"), (F.col("o_orderkey") % 3 == 0).alias("for_rent"), F.lit(True).alias("for_sale"), F.when(F.col("o_orderkey") % 2 == 0, "casa").otherwise("Apto").alias("type"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3 == 1).alias("furnished"), (F.col("o_orderkey") % 360 - 180).cast("double").alias("lon"), (F.col("o_custkey") % 180 - 90).cast("double").alias("lat"), F.col("o_orderdate").alias("first_seen"), F.lit(0.5).alias("quality"),
+    )
+
+
+def order_listings(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "rent").otherwise("sale")
+    return t(s, d, "lineitem").select(F.col("l_orderkey").alias("property_id"), kind.alias("listing_type"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("platform"), (F.col("l_linenumber") < 6).alias("active"), (F.col("l_suppkey") % 4 == 0).alias("accepts_pets"))
+
+
+BASE = """base AS (SELECT o_orderkey AS id, o_orderpriority AS platform, o_totalprice AS price, o_orderkey % 5 AS bedrooms, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 4 END AS parking,
+    n_name, c_mktsegment AS seg, (o_custkey % 10) / 10.0 AS combined, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 8) / 8.0 END AS combined_rent, o_orderkey % 3 = 0 AS for_rent,
+    CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END AS furnished, o_orderkey % 360 - 180 AS lon, o_custkey % 180 - 90 AS lat, o_orderdate AS first_seen
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+lst AS (SELECT l_orderkey AS property_id, CASE l_returnflag WHEN 'R' THEN 'rent' ELSE 'sale' END AS listing_type, l_extendedprice AS price, l_linestatus AS platform, l_linenumber < 6 AS active, l_suppkey % 4 = 0 AS pets FROM lineitem)"""
+
+
+@query(
+    f"""WITH {BASE} SELECT id FROM base b WHERE bedrooms >= 1 AND parking >= 1 AND (n_name ILIKE '%a%' OR seg ILIKE '%a%' OR n_name ILIKE '%BUILD%' OR seg ILIKE '%BUILD%')
+  AND coalesce(combined_rent, combined, 0) >= 0.2 AND for_rent AND lon > -170 AND lon < 170 AND lat > -80 AND lat < 80
+  AND EXISTS (SELECT 1 FROM lst l WHERE l.property_id = b.id AND active AND listing_type = 'rent' AND l.price <= 30000)"""
+)
+def faceted_search(s, d):
+    q = search.Search(min_bedrooms=1, min_parking=1, neighborhoods="a, BUILD", min_score=0.2, listing_type="rent", bbox="-170,-80,170,80", max_price=30000)
+    return search.matches(base(s, d), order_listings(s, d), q).select("id")
+
+
+@query(f"WITH {BASE} SELECT id FROM base b WHERE furnished = false AND id % 2 = 0 AND coalesce(n_name, seg) ILIKE '%i%' AND EXISTS (SELECT 1 FROM lst l WHERE l.property_id = b.id AND active AND pets)")
+def boolean_search(s, d):
+    b = base(s, d).withColumn("amenities", F.array().cast("array<string>"))
+    return search.matches(b, order_listings(s, d), search.Search(furnished=False, pets=True, property_type="House", cities="i")).select("id")
+
+
+@query(
+    f"""WITH {BASE}, low AS (SELECT property_id, min(price) AS p FROM lst WHERE active AND listing_type = 'sale' GROUP BY 1)
+SELECT id, round(coalesce(p, price), 6) AS sort_key FROM base LEFT JOIN low ON id = property_id ORDER BY coalesce(p, price) ASC NULLS LAST, id LIMIT 20 OFFSET 40"""
+)
+def typed_price_sort_page(s, d):
+    q = search.Search(sort="price", descending=False, price_type="sale", page=3)
+    return search.search(base(s, d), order_listings(s, d), q).select("id", R("sort_key"))
+
+
+@query(f"WITH {BASE} SELECT n_name AS facet_city, n_name AS facet_name, count(*) AS n, max(0.5) AS quality FROM base WHERE n_name IS NOT NULL GROUP BY ALL")
+def facet_counts(s, d):
+    return search.neighborhood_facet(base(s, d))
+
+
+@query(f"WITH {BASE} SELECT n_name AS city, count(*) AS n FROM base GROUP BY ALL")
+def city_facet(s, d):
+    return search.city_facet(base(s, d))
+
+
+@query(
+    f"""WITH {BASE} SELECT property_id, listing_type, price, platform FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY price NULLS LAST, CASE listing_type WHEN 'rent' THEN 0 WHEN 'sale' THEN 1 ELSE 2 END, platform) AS n FROM lst WHERE active) WHERE n = 1"""
+)
+def primary_offer_argmin(s, d):
+    return search.primary_listing(order_listings(s, d)).select("property_id", "primary.listing_type", "primary.price", "primary.platform")
+
+
+@query(f"WITH {BASE} SELECT property_id, count(*) AS n, round(sum(price), 4) AS total, round(arg_min(price, (CASE listing_type WHEN 'rent' THEN 0 ELSE 1 END, price)), 4) AS first_price FROM lst WHERE active GROUP BY 1")
+def nested_offers(s, d):
+    n = search.nested_listings(order_listings(s, d))
+    return n.select("property_id", F.size("listings").cast("long").alias("n"), F.round(F.aggregate("listings", F.lit(0.0), lambda a, x: a + x.price), 4).alias("total"), F.round(F.col("listings")[0].price, 4).alias("first_price"))
+
+
+@query("SELECT p_partkey AS id, round(CASE WHEN n = 0 THEN 0.5 ELSE tot / n END, 6) AS q FROM (SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS n, (CASE WHEN p_size % 2 = 0 THEN p_size / 50.0 ELSE 0 END) + (CASE WHEN p_size % 3 = 0 THEN p_size / 60.0 ELSE 0 END) AS tot FROM part)")
+def quality_mean_nonnull(s, d):
+    a, b = F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 50), F.when(F.col("p_size") % 3 == 0, F.col("p_size") / 60)
+    return t(s, d, "part").select(F.col("p_partkey").alias("id"), F.round(cohort.quality_mean(a, b), 6).alias("q"))
+
+
+@query("SELECT s_suppkey, s_nationkey, round(CASE WHEN hi = lo THEN 0.5 ELSE 1 - (s_acctbal - lo) / (hi - lo) END, 6) AS score FROM (SELECT *, min(s_acctbal) OVER w AS lo, max(s_acctbal) OVER w AS hi FROM supplier WINDOW w AS (PARTITION BY s_nationkey))")
+def minmax_invert_group(s, d):
+    return quality.inverted_range(t(s, d, "supplier"), "s_acctbal", ["s_nationkey"]).select("s_suppkey", "s_nationkey", R("score"))
+
+
+@query("SELECT l_partkey, round((least(1, a / 3.0) + least(1, b / 1.0) + least(1, c / 10.0)) / 3, 6) AS score FROM (SELECT l_partkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS b, count(*) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY 1)")
+def saturating_score(s, d):
+    n = t(s, d, "lineitem").groupBy("l_partkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1))).na.fill(0)
+    score = sum((quality.saturation(F.col(c), x) for c, x in (("A", 3.0), ("N", 1.0), ("R", 10.0))), F.lit(0.0)) / 3
+    return n.select("l_partkey", F.round(score, 6).alias("score"))
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], q.e), 9) AS distance FROM embeddings, q ORDER BY list_cosine_distance(embedding::DOUBLE[], q.e), vec_id LIMIT 20")
+def knn_cosine(s, d):
+    e = t(s, d, "embeddings")
+    v = e.where("vec_id = 0").first().embedding
+    rows = e.withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in v])))
+    return rows.orderBy("distance", "vec_id").limit(20).select("vec_id", F.round("distance", 9).alias("distance"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query, label AS ql, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query, ql = label AS relevant, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_distance(embedding::DOUBLE[], e), 9), vec_id) AS rank FROM q, embeddings WHERE vec_id <> query),
+f AS (SELECT query, min(rank) AS rank FROM r WHERE relevant GROUP BY 1) SELECT round(avg((rank = 1)::DOUBLE), 6) AS top1, round(avg(1.0 / rank), 6) AS mrr FROM f"""
+)
+def mrr_eval(s, d):
+    e = t(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))
+    pairs = coverage.nearest(q, e, F.round(vectors.cosine_distance(F.col("v"), F.col("qv")), 9)).where("vec_id <> query")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
+    return coverage.retrieval(pairs.select("query", (F.col("label") == F.col("ql")).alias("relevant"), rank.alias("rank"))).select(R("top1"), R("mrr"))
+
+
+@query(
+    """WITH c AS (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events WHERE value IS NOT NULL)
+SELECT user_id, event_type, value AS price, ts AS start_ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS end_ts FROM c WHERE was IS NULL OR was <> value"""
+)
+def price_intervals(s, d):
+    return history.intervals(t(s, d, "events"), ["user_id", "event_type"], "ts", "value", "event_id").drop("old_price")
+
+
+@query(
+    """WITH c AS (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events WHERE value IS NOT NULL),
+w AS (SELECT c_custkey AS property_id, CASE WHEN c_custkey % 2 = 0 THEN 20.0 END AS least, CASE WHEN c_custkey % 3 = 0 THEN 50.0 END AS told FROM customer),
+j AS (SELECT user_id AS property_id, event_id, value AS price, coalesce(told, was) AS reference, least, told FROM c JOIN w ON user_id = w.property_id WHERE was <> value)
+SELECT property_id, event_id, round((reference - price) * 100 / reference, 6) AS drop_pct FROM j WHERE reference <> 0 AND (reference - price) * 100 / reference >= coalesce(least, 5) AND NOT coalesce(abs(price - told) <= 0.001, false)"""
+)
+def price_drop_alerts(s, d):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    c = t(s, d, "events").where("value IS NOT NULL").withColumn("old_price", F.lag("value").over(w)).where("old_price <> value").select(F.col("user_id").alias("property_id"), "event_id", F.col("value").alias("price"), "old_price")
+    k = F.col("c_custkey")
+    watch = t(s, d, "customer").select(k.alias("property_id"), F.when(k % 2 == 0, 20.0).alias("min_drop_pct"), F.when(k % 3 == 0, 50.0).alias("last_notified_price"))
+    return history.drops(c, watch).select("property_id", "event_id", R("drop_pct"))
+
+
+@query("SELECT c_custkey AS id, price, kind AS listing_type FROM customer, LATERAL (SELECT o_totalprice AS price, o_orderstatus AS kind FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice, o_orderstatus LIMIT 1)")
+def watch_lateral_top1(s, d):
+    w = t(s, d, "customer").select(F.col("c_custkey").alias("property_id"))
+    o = t(s, d, "orders").select(F.col("o_custkey").alias("property_id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("listing_type"))
+    return history.watched_prices(w, o).select(F.col("property_id").alias("id"), "price", "listing_type")
+
+
+@query(f"WITH {BASE} SELECT id, round(combined, 6) AS deal_score FROM base WHERE first_seen >= TIMESTAMP '1998-01-01' - INTERVAL 1000 DAY AND combined >= 0.3 ORDER BY combined DESC, first_seen DESC, id LIMIT 10")
+def top_deals(s, d):
+    return search.top_deals(base(s, d), F.lit("1998-01-01").cast("timestamp"), hours=24000, least=0.3).select("id", R("deal_score"))
+
+
+@query(f"WITH {BASE} SELECT id, row_number() OVER (ORDER BY first_seen NULLS LAST, id) AS public_id FROM base")
+def public_id(s, d):
+    return search.public_ids(base(s, d).select("id", "first_seen")).select("id", "public_id")
+
+
+@query("WITH g AS (SELECT event_type, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS gap FROM events) SELECT event_type AS stop_id, round(quantile_cont(gap, 0.5), 6) AS headway_s FROM g WHERE gap BETWEEN 1 AND 7200 GROUP BY 1 HAVING count(*) >= 3")
+def headway_median(s, d):
+    e = t(s, d, "events").select(F.col("event_type").alias("stop_id"), F.col("event_id").alias("trip_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("departure_s"))
+    none = s.createDataFrame([], "trip_id long, headway_secs int")
+    return quality.headways(e, none, least=1).select("stop_id", R("headway_s"))
+
+
+@query(
+    """WITH b AS (SELECT max(ts) AS t FROM events), g AS (SELECT count(*) AS n, arg_min(event_id, ts) AS a, arg_max(event_id, ts) AS z, epoch(max(ts)) - epoch(min(ts)) AS s FROM events, b WHERE ts >= t - INTERVAL 24 HOUR)
+SELECT round(CASE WHEN n >= 2 AND z > a AND s >= 900 THEN (z - a) / (s / 86400) END, 6) AS per_day FROM g"""
+)
+def throughput_window(s, d):
+    e = t(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("enriched_properties"))
+    return coverage.throughput_per_day(e, F.lit(e.agg(F.max("ts")).first()[0])).select(R("per_day"))
+
+
+@query("WITH b AS (SELECT max(ts) AS t FROM events) SELECT round(count(*) FILTER (ts > t - INTERVAL 300 SECOND) / 5.0, 1) AS per_minute, round(avg(value), 2) AS mean_duration, count(*) AS total FROM events, b")
+def sliding_rate(s, d):
+    e = t(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"))
+    return coverage.sliding_rate(e, F.lit(e.agg(F.max("ts")).first()[0]))
+
+
+@query("SELECT time_bucket(INTERVAL 30 SECOND, ts) AS start_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_snapshot(s, d):
+    e = t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.tumbling(e).withColumn("total", F.round("total", 4)).withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
+
+
+@query("SELECT count(DISTINCT event_id) AS total, count(DISTINCT event_id) FILTER (json_type(p) = 'OBJECT' AND json_type(p->'k') <> 'NULL') AS k FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"k\": null}' ELSE props END::JSON AS p FROM events)")
+def json_coverage(s, d):
+    e = t(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit('{"k": null}')).otherwise(F.col("props")).alias("meta"))
+    return coverage.signal_counts(e, "meta", ["k"], "event_id")
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def latency_summary(s, d):
+    return coverage.latency_summary(t(s, d, "events"), ["event_type"], "value").select("event_type", "n", R("p50"), R("p95"), R("mean"))
+
+
+@query("SELECT round(avg(CASE WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN (quality = toxic)::INT::DOUBLE END), 6) AS agreement, round(avg(toxic - quality), 6) AS mean_delta, round(avg(abs(toxic - quality)), 6) AS mean_abs_delta FROM labels")
+def paired_agreement(s, d):
+    y = t(s, d, "labels")
+    side = lambda c: y.select("doc_id", F.col(c).alias("category"), F.col(c).alias("score"))
+    return coverage.agreement(side("quality"), side("toxic"), "doc_id").select(R("agreement"), R("mean_delta"), R("mean_abs_delta"))
+
+
+@query(
+    """WITH r AS (SELECT coalesce(toxic = 1, false) AS bl, coalesce(quality = 0, false) AS qu, n_chars > 1000 AS en FROM documents LEFT JOIN labels USING (doc_id))
+SELECT count(*) AS candidates, count(*) FILTER (bl) AS blocked, count(*) FILTER (NOT bl AND qu) AS quarantined, count(*) FILTER (NOT bl AND NOT qu AND NOT en) AS remaining, count(*) FILTER (NOT bl AND NOT qu) AS enrichable,
+  round(count(*) FILTER (NOT bl AND NOT qu AND en) / count(*) FILTER (NOT bl AND NOT qu), 6) AS pct FROM r"""
+)
+def census_buckets(s, d):
+    r = t(s, d, "documents").select("doc_id", "n_chars").join(t(s, d, "labels"), "doc_id", "left")
+    return coverage.census(r.select((F.col("toxic") == 1).alias("blocked"), (F.col("quality") == 0).alias("quarantined"), (F.col("n_chars") > 1000).alias("enriched")))
+
+
+@query(
+    r"""WITH w AS (SELECT lang AS id, lower(unnest(string_split_regex(text, '\s+'))) AS flag FROM documents), n AS (SELECT id, flag, count(*) AS n FROM w WHERE flag <> '' GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, flag) AS rank FROM n) SELECT k.id, (SELECT count(*) FROM documents d WHERE d.lang = k.id) AS n_rows, flag, n, rank FROM k WHERE rank <= 5"""
+)
+def topn_flags(s, d):
+    r = t(s, d, "documents").select(F.col("lang").alias("id"), F.split("text", r"\s+").alias("flags"))
+    return quality.top_flags(r, "flags")
+
+
+POINTS = "pts AS (SELECT event_id AS id, (event_id * 37 % 1000) / 20000.0 AS lon, (event_id * 91 % 1000) / 20000.0 AS lat FROM events)"
+
+
+def points(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 37 % 1000 / 20000).alias("lon"), (F.col("event_id") * 91 % 1000 / 20000).alias("lat"))
+
+
+@query(
+    f"""WITH {POINTS}, a AS (SELECT * FROM pts WHERE id % 50 = 0) SELECT a.id, p.id AS r_id, round(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2)))), 4) AS distance_m
+FROM a, pts p WHERE 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2)))) <= 150"""
+)
+def radius_match(s, d):
+    p = points(s, d)
+    right = p.select(F.col("id").alias("r_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    return geo.within_radius(p.where("id % 50 = 0"), right, 150).select("id", "r_id", F.round("distance_m", 4).alias("distance_m"))
+
+
+@query(f"WITH {POINTS} SELECT p.id, n_nationkey AS area FROM pts p, nation WHERE lon BETWEEN n_nationkey * 0.002::DOUBLE AND n_nationkey * 0.002::DOUBLE + 0.003::DOUBLE AND lat BETWEEN 0.01::DOUBLE AND 0.02::DOUBLE")
+def point_in_box(s, d):
+    w = F.col("n_nationkey") * 0.002
+    corner = lambda x, y: F.struct(x.alias("lon"), F.lit(y).alias("lat"))
+    areas = t(s, d, "nation").select(F.col("n_nationkey").alias("area"), F.array(corner(w, 0.01), corner(w + 0.003, 0.01), corner(w + 0.003, 0.02), corner(w, 0.02)).alias("ring"))
+    return geo.points_in_areas(points(s, d), areas, step=0.01).select("id", "area")
+
+
+@query("WITH a AS (SELECT p_partkey AS id, lower(trim(p_name)) AS title, p_size::DOUBLE AS area, lower(p_brand) AS city FROM part WHERE p_size > 0) SELECT a.id, b.id AS r_id FROM a JOIN a b ON a.city = b.city AND a.id < b.id AND abs(a.area - b.area) <= 2 WHERE jaro_winkler_similarity(a.title, b.title) >= 0.8")
+def fuzzy_title_dupes(s, d):
+    p = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").cast("double").alias("area_m2"), F.col("p_brand").alias("city"))
+    return resolve.corrected_duplicates(p, 0.8, 2.0).select("id", "r_id")
+
+
+@query("SELECT n_name, r_name, levenshtein(n_name, r_name) AS distance, round(1 - levenshtein(n_name, r_name) / greatest(length(n_name), length(r_name)), 6) AS similarity FROM nation, region")
+def levenshtein_pairs(s, d):
+    pairs = t(s, d, "nation").crossJoin(F.broadcast(t(s, d, "region")))  # five rows
+    return pairs.select("n_name", "r_name", F.levenshtein("n_name", "r_name").cast("long").alias("distance"), F.round(text.similarity(F.col("n_name"), F.col("r_name"), "levenshtein"), 6).alias("similarity"))
+
+
+@query("WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS name FROM documents) SELECT lower(strip_accents(trim(name))) AS key, arg_min(name, doc_id) AS name FROM w WHERE trim(name) <> '' AND NOT contains(name, chr(10)) GROUP BY 1")
+def fold_distinct(s, d):
+    w = t(s, d, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("name")).where(~F.col("name").contains("\n"))
+    return resolve.folded_names(w, "name", "doc_id")
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '(\d{4,})(?:\.html?|/)?(?:[?#].*)?$', 1), '') AS listing_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def page_extract(s, d):
+    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return t(s, d, "pages").select("page_id", files.url_id(F.col("url")).alias("listing_id"), title.alias("title"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 3 > 0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 2 = 0)
+SELECT CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' WHEN abs(o.p - n.p) < 1e-9 THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS n FROM o FULL JOIN n USING (k) GROUP BY 1"""
+)
+def keyed_upsert(s, d):
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
+    new = o.where("k % 2 = 0").withColumn("p", F.when(F.col("k") % 5 == 0, F.col("p") + 1).otherwise(F.col("p")))
+    return upserts.counts(upserts.diff(o.where("k % 3 > 0"), new, ["k"], F.abs(F.col("p") - F.col("n_p")) < 1e-9))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def insert_ignore(s, d):
+    c = t(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    return upserts.insert_ignore(c.where("k % 2 = 0").withColumn("v", F.lit("old")), c.where("k % 3 = 0").withColumn("v", F.lit("new")), ["k"])
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 4) AS used FROM events")
+def budget_60s(s, d):
+    return history.rolling_sum(t(s, d, "events"), 60, ["user_id"], amount="value").select("event_id", F.round("used", 4).alias("used"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'BH' ELSE 'Contagem' END AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'MG' ELSE 'SP' END AS st, o_orderkey % 12 AS n FROM orders),
+q AS (SELECT id, CASE WHEN city IS NULL THEN 'city_missing' WHEN city <> 'BH' THEN 'city_not_allowed' WHEN st <> 'MG' THEN 'state_not_allowed' WHEN n < 8 THEN 'too_few_photos' END AS reason FROM r)
+SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY 1"""
+)
+def gate_reasons(s, d):
+    k = F.col("o_orderkey")
+    city = F.when(k % 7 == 0, None).when(k % 3 == 0, "BH").otherwise("Contagem")
+    state = F.when(k % 2 == 0, "MG").otherwise("SP")
+    urls = F.when(k % 12 > 0, F.array_repeat(F.lit("u"), (k % 12).cast("int"))).otherwise(F.array().cast("array<string>"))
+    rows = t(s, d, "orders").select(k.alias("id"), city.alias("city"), state.alias("state"), urls.alias("urls"))
+    c, st = gates.city_state(F.col("city"), F.when(F.col("city").isNotNull(), F.col("state")), F.lit(None).cast("string"))
+    return gates.reason_histogram(gates.gate(rows, gates.outside(c, st, ["belo horizonte"], ["mg"]), gates.too_few_photos(F.col("urls"), gates.photos_needed())))
+
+
+@query("SELECT user_id, event_type AS reason, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, event_type, run HAVING count(*) >= 2")
+def breaker_runs(s, d):
+    e = t(s, d, "events").withColumns({"reason": F.col("event_type"), "at": F.struct("ts", "event_id")})
+    return history.tripped(e, 2, "user_id", "at").select("user_id", "reason", "n")
+
+
+@query()
+def debounced_alerts(s, d):
+    return history.debounced(t(s, d, "events").select(F.col("user_id").alias("property_id"), F.col("ts").cast("timestamp").alias("ts")))
+
+
+@query()
+def entity_matches(s, d):
+    """Parts as listings: every third is known, the others are resolved against them."""
+    k = F.col("p_partkey")
+    p = t(s, d, "part").select(k.cast("string").alias("id"), F.col("p_brand").alias("platform"), k.cast("string").alias("platform_id"), F.col("p_name").alias("title"), F.col("p_size").cast("double").alias("area_m2"), (k % 3).cast("int").alias("bedrooms"), F.lit(None).cast("int").alias("bathrooms"), F.lit(1).alias("parking"), (0.1 + k % 40 / 10000).alias("lon"), (0.1 + k % 30 / 10000).alias("lat"), F.lit(True).alias("active"))
+    return resolve.match(p.where(k_mod("id") > 0), p.where(k_mod("id") == 0))
+
+
+def k_mod(c: str):
+    return F.col(c).cast("long") % 3
+
+
+@query()
+def transit_scores(s, d):
+    p = points(s, d)
+    stops = p.where("id % 7 = 0").withColumn("mode", F.when(F.col("id") % 2 == 0, "metro").otherwise("bus"))
+    return quality.transit_scores(p.where("id % 20 = 0"), stops)
