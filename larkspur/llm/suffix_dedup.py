@@ -37,7 +37,9 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 STEP_BYTES = 1 << 20
 #: Blocks of more bytes than this are sorted alone.
 LONG_BLOCK = 6000
-LOW = np.uint64((1 << 32) - 1)
+#: A key of more texts than one task should hold (some 100 bytes a text) is split: each of its windows becomes a key of its own.
+HOT_TEXTS = 250_000
+LOW, HOT = np.uint64((1 << 32) - 1), np.uint64(1 << 62)
 
 
 def _strings(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def _bucketed(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sketch(buckets: int, span: int):
-    """A part -> (bucket, part, keys): the distinct keys of its texts, 4 bytes each, and whether two of its texts have it."""
+    """A part -> (bucket, part, keys): the distinct keys of its texts, 4 bytes each, and how many of its texts have it, up to 255, in one."""
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         names = ["bucket", "part", "keys"]
@@ -121,38 +123,36 @@ def _sketch(buckets: int, span: int):
         o = np.argsort(key, kind="stable")
         key, doc = key[o], doc[o]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        many = np.minimum(np.add.reduceat(new, first, dtype=np.int64), 255).astype(np.uint8)
         key = key[first]
         bucket = (key >> np.uint64(32)).astype(np.int32)
         cut = _runs(bucket)
         packed = key.astype(np.uint32)
         part = known.column("part")[0].as_py()
-        return pa.table([pa.array([bucket[a] for a, _ in cut], pa.int32()), pa.array([part] * len(cut), pa.int64()), pa.array([packed[a:b].tobytes() + np.packbits(twice[a:b]).tobytes() for a, b in cut], pa.binary())], names)
+        return pa.table([pa.array([bucket[a] for a, _ in cut], pa.int32()), pa.array([part] * len(cut), pa.int64()), pa.array([packed[a:b].tobytes() + many[a:b].tobytes() for a, b in cut], pa.binary())], names)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets, sorted -> (part, keys): the keys that two parts have or two texts of one."""
+def _shared(hot_texts: int):
+    """Whole buckets, sorted -> (part, keys): the keys that two texts have; those of more than `hot_texts` are marked."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
         parts, keys = [], []
         bucket = t.column("bucket").to_numpy()
         for a, b in _runs(bucket):
             rows = t.slice(a, b - a)
-            got, twice = [], []
-            for x in rows.column("keys").to_pylist():
-                n = len(x) * 8 // 33
-                got.append(np.frombuffer(x, np.uint32, n).astype(np.uint64))
-                twice.append(np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * n), count=n).astype(bool))
-            key, twice = np.concatenate(got), np.concatenate(twice)
-            row = np.repeat(np.arange(len(got)), [len(x) for x in got])
+            cells = rows.column("keys").to_pylist()
+            key = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 5) for x in cells]).astype(np.uint64)
+            texts = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 5 * 4) for x in cells])
+            row = np.repeat(np.arange(len(cells)), [len(x) // 5 for x in cells])
             o = np.argsort(key, kind="stable")
             k = key[o]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            many = np.diff(np.append(first, len(k)))
-            keep = np.repeat((many > 1) | np.logical_or.reduceat(twice[o], first), many)
-            k, row = k[keep] | np.uint64(int(bucket[a]) << 32), row[o][keep]
+            n = np.repeat(np.add.reduceat(texts[o], first, dtype=np.int64), np.diff(np.append(first, len(k))))
+            k = k | np.uint64(int(bucket[a]) << 32) | np.where(n > hot_texts, HOT, np.uint64(0))
+            k, row = k[n > 1], row[o][n > 1]
             part = rows.column("part").to_numpy()
             o = np.argsort(row, kind="stable")
             k, row = k[o], row[o]
@@ -161,7 +161,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(k[c:d].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.binary())], ["part", "keys"])
 
-    yield from by_runs(batches, "bucket", fn)
+    return lambda batches: by_runs(batches, "bucket", fn)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -171,31 +171,40 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut.tolist(), np.append(cut[1:], len(x)).tolist(), strict=True))
 
 
-def _select(buckets: int, span: int):
+def _select(buckets: int, span: int, hot: bool):
     """A part -> (key, digest, string, doc, tag, place), a row for each string of a shared key; place: 256 * begin + windows.
 
-    The string itself comes with its first row in the part.
+    The string itself comes with its first row in the part. With `hot` it is a row for each window of the marked keys
+    instead, keyed by two hashes of the window alone.
     """
     names = ["key", "digest", "string", "doc", "tag", "place"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         wanted = [np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist() if x is not None]
-        some = _representatives(texts, known) if wanted else []
+        wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
+        wanted = wanted[(wanted & HOT > 0) == hot] & ~HOT
+        some = _representatives(texts, known) if len(wanted) else []
         if not some:
             return pa.table([pa.array([], k) for k in kinds], names)
-        wanted = np.unique(np.concatenate(wanted))
         key, owner, begin, windows = _strings([x[2] for x in some], span)
         key = _bucketed(key, buckets)
         at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
         hit = np.flatnonzero(wanted[at] == key)
         key, owner, begin, windows = key[hit], owner[hit], begin[hit], windows[hit]
+        if hot:
+            off = np.cumsum(windows) - windows
+            nth = np.arange(int(windows.sum())) - np.repeat(off, windows)
+            owner, begin = np.repeat(owner, windows), np.repeat(begin, windows) + nth
+            cells = [some[k][2][a : a + span] for k, a in zip(owner.tolist(), begin.tolist(), strict=True)]
+            key = np.array([xxhash.xxh64_intdigest(x, 1) for x in cells], np.uint64)
+            hit, windows = np.arange(len(key)), np.ones(len(key), np.int64)
         digest, string, seen = [], [], set()
         for k, a, b in zip(owner.tolist(), begin.tolist(), (begin + windows + span - 1).tolist(), strict=True):
             x = some[k][2][a:b]
             d = xxhash.xxh3_64_intdigest(x) - (1 << 63)
             digest.append(d)
-            string.append(None if d in seen else x)
+            string.append(None if hot or d in seen else x)
             seen.add(d)
         doc, tag = (np.array([x[i] for x in some], np.int64)[owner] for i in (0, 1))
         return pa.table([pa.array(x, k) for x, k in zip((key.view(np.int64), digest, string, doc, tag, begin << 8 | windows), kinds, strict=True)], names)
@@ -301,7 +310,7 @@ def _cut(span: int, schema: pa.Schema):
         o = np.lexsort((tag, doc))
         doc, tag, begin, windows = doc[o], tag[o], begin[o], windows[o]
         first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))) if len(doc) else doc
-        of = {(int(doc[a]), int(tag[a])): (int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(doc)), strict=True)}
+        of = {(int(doc[a]), int(tag[a])): (int(a), int(b)) for a, b in zip(first, np.append(first, len(doc))[1:], strict=True)}
         unzip, rows = zstandard.ZstdDecompressor(), []
         for d, k, z in zip(*(texts.column(x).to_pylist() for x in ("doc", "text_key", "z")), strict=True):
             raw = unzip.decompress(z) if z is not None else b""
@@ -348,10 +357,15 @@ def covered(docs: DataFrame, row: list[str], span: int = 50) -> DataFrame:
     known = low.join(least, "doc").select(part.alias("part"), F.lit(0).alias("kind"), "doc", "text_key", F.when(F.col("text_key") == F.col("least"), 0).otherwise(F.col("text_key")).cast("long").alias("tag"))
     known = table(known, "texts")
     sketch = texts.cogroup(known.groupBy("part")).applyInArrow(_sketch(buckets, span), "bucket int, part long, keys binary")
-    shared = sketch.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, keys binary")
+    shared = sketch.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(HOT_TEXTS), "part long, keys binary")
     told = known.withColumn("keys", F.lit(None).cast("binary")).unionByName(shared.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    strings = texts.cogroup(told.groupBy("part")).applyInArrow(_select(buckets, span), "key long, digest long, string binary, doc long, tag long, place long")
-    runs = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_cover(span), "doc long, tag long, begin long, windows long")
+    select = lambda hot: texts.cogroup(told.groupBy("part")).applyInArrow(_select(buckets, span, hot), "key long, digest long, string binary, doc long, tag long, place long")
+    runs = select(False).repartition("key").sortWithinPartitions("key").mapInArrow(_cover(span), "doc long, tag long, begin long, windows long")
+    # windows of hot keys, if there are any: a minimum made of partial ones, and a join that can be split
+    windows = select(True).select("key", "digest", "doc", "tag", F.shiftright("place", 8).alias("begin"))
+    lowest = windows.groupBy("key", "digest").agg(F.min("doc").alias("low"))
+    hits = windows.join(lowest, ["key", "digest"]).where("low < doc")
+    runs = runs.unionByName(hits.select("doc", "tag", "begin", F.lit(1).cast("long").alias("windows")))
     runs = runs.select(F.pmod(F.xxhash64("doc"), F.lit(chunks)).alias("part"), F.lit(2).alias("kind"), "doc", "tag", "begin", "windows")
     told = known.withColumns({x: F.lit(None).cast("long") for x in ("begin", "windows")}).unionByName(runs, allowMissingColumns=True)
     out = T.StructType([T.StructField("row", d.schema["row"].dataType), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])

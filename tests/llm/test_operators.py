@@ -86,9 +86,11 @@ def brute_spans(rows, span=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("long_block", [0, 6000])
-def test_suffix_dedup(docs, rows, none, long_block, monkeypatch):
+@pytest.mark.parametrize(("long_block", "hot"), [(0, 20_000), (6000, 20_000), (6000, 3), (6000, 1)])
+def test_suffix_dedup(docs, rows, none, long_block, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LONG_BLOCK", long_block)
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
     got = sorted((tuple(r) for r in suffix_dedup.digest(docs).collect()), key=str)
     assert got == brute_spans(rows)
     assert suffix_dedup.digest(none).count() == 0
