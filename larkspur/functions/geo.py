@@ -62,17 +62,31 @@ def cells_of_box(step: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float = 60.0) -> DataFrame:
+def _bands(lat: Column, radius_m: float, step: float) -> Column:
+    """Cells of longitude in the band of `lat`, `step` degrees high: each at least as wide as `radius_m` is there, one near a pole."""
+    reach = math.sin(radius_m / RADIUS_M / 2)
+    farthest = F.least(F.lit(90.0), F.greatest(F.abs(lat), F.abs(lat + 1)) * step + step)
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), reach / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12)))))
+    return F.greatest(F.lit(1), F.floor(360 / width)).cast("long")
+
+
+def within_radius(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of rows of `left` (lon, lat) and `right` (r_lon, r_lat) at most `radius_m` apart, with distance_m.
 
-    An equi-join on grid cells: each row of `left` looks into its cell and the eight around it. A cell is as
-    wide as the radius at latitude `max_lat`; rows beyond that latitude don't join.
+    An equi-join on grid cells: each row of `left` looks into its cell and the eight around it. Bands of latitude
+    have as many cells of longitude as fit, so that pairs near a pole or across the date line are found too.
     """
-    lat_step = radius_m / DEGREE_M
-    lon_step = lat_step / math.cos(math.radians(max_lat))
-    near = F.array(*[F.struct((cell(F.col("lon"), lon_step) + i).alias("cx"), (cell(F.col("lat"), lat_step) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.where(F.abs("lat") <= max_lat).withColumn("cell", F.explode(near)).select("*", "cell.cx", "cell.cy").drop("cell")
-    b = right.where(F.abs("r_lat") <= max_lat).withColumns({"cx": cell(F.col("r_lon"), lon_step), "cy": cell(F.col("r_lat"), lat_step)})
+    step = radius_m / DEGREE_M
+    band = lambda lat: cell(lat, step)
+    nth = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
+    near = []
+    for cy in (band(F.col("lat")) + k for k in (-1, 0, 1)):
+        n = _bands(cy, radius_m, step)
+        beside = F.array_distinct(F.array(*[F.pmod(nth(F.col("lon"), n) + i, n) for i in (-1, 0, 1)]))
+        near.append(F.transform(beside, lambda cx: F.struct(cx.alias("cx"), cy.alias("cy"))))  # noqa: B023  called at once
+    a = left.withColumn("cell", F.explode(F.flatten(F.array(*near)))).select("*", "cell.cx", "cell.cy").drop("cell")
+    cy = band(F.col("r_lat"))
+    b = right.withColumns({"cx": nth(F.col("r_lon"), _bands(cy, radius_m, step)), "cy": cy})
     pairs = a.join(b, ["cx", "cy"]).withColumn("distance_m", haversine_m(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
     return pairs.where(F.col("distance_m") <= radius_m).drop("cx", "cy")
 
@@ -83,3 +97,37 @@ def points_in_areas(points: DataFrame, areas: DataFrame, step: float = 0.05) ->
     p = points.withColumns({"cx": cell(F.col("lon"), step), "cy": cell(F.col("lat"), step)})
     pairs = p.join(a, ["cx", "cy"]).where(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
     return pairs.where(covers(F.col("ring"), F.col("lon"), F.col("lat"))).drop("cx", "cy", "west", "south", "east", "north")
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: edges that cross or touch, or one that lies in the other; false for null rings."""
+    side = lambda e, p: F.signum((e.b.lon - e.a.lon) * (p.lat - e.a.lat) - (e.b.lat - e.a.lat) * (p.lon - e.a.lon))
+    beside = lambda e, p: p.lon.between(F.least(e.a.lon, e.b.lon), F.greatest(e.a.lon, e.b.lon)) & p.lat.between(F.least(e.a.lat, e.b.lat), F.greatest(e.a.lat, e.b.lat))
+    on = lambda e, p: (side(e, p) == 0) & beside(e, p)
+    cross = lambda e, f: (side(f, e.a) * side(f, e.b) < 0) & (side(e, f.a) * side(e, f.b) < 0)
+    touch = lambda e, f: on(f, e.a) | on(f, e.b) | on(e, f.a) | on(e, f.b)
+    edges = F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: cross(e, f) | touch(e, f)))
+    real = (F.size(a) >= 3) & (F.size(b) >= 3)
+    return F.coalesce(real & (edges | covers(a, b[0].lon, b[0].lat) | covers(b, a[0].lon, a[0].lat)), F.lit(False))
+
+
+def areas_meeting(left: DataFrame, right: DataFrame, step: float = 0.05) -> DataFrame:
+    """Pairs of areas (ring) and (r_ring) that share a point, each once: of the grid cells that both boxes touch only the first counts."""
+    sides = ["west", "south", "east", "north"]
+    cells = lambda rows: rows.withColumn("cell", F.explode(cells_of_box(step))).select("*", "cell.cx", "cell.cy").drop("cell")
+    a = cells(with_box(left))
+    b = cells(with_box(right, "r_ring")).withColumnsRenamed({x: f"r_{x}" for x in sides})
+    pairs = a.join(b, ["cx", "cy"])
+    first = (F.col("cx") == cell(F.greatest("west", "r_west"), step)) & (F.col("cy") == cell(F.greatest("south", "r_south"), step))
+    boxes = (F.col("west") <= F.col("r_east")) & (F.col("r_west") <= F.col("east")) & (F.col("south") <= F.col("r_north")) & (F.col("r_south") <= F.col("north"))
+    return pairs.where(first & boxes).where(rings_meet(F.col("ring"), F.col("r_ring"))).drop("cx", "cy", *sides, *[f"r_{x}" for x in sides])
+
+
+def point_on_surface(ring: Column) -> Column:
+    """(lon, lat) inside: the middle of the widest part of a line at half height; null where no line has width."""
+    lats = F.transform(ring, lambda p: p.lat)
+    y = (F.array_min(lats) + F.array_max(lats)) / 2
+    at = F.array_sort(F.transform(F.filter(_edges(ring), lambda e: (e.a.lat > y) != (e.b.lat > y)), lambda e: e.a.lon + (e.b.lon - e.a.lon) * (y - e.a.lat) / (e.b.lat - e.a.lat)))
+    parts = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(at), F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size(at))), lambda i: F.struct((F.get(at, i) - F.get(at, i - 1)).alias("width"), ((F.get(at, i) + F.get(at, i - 1)) / 2).alias("lon")))
+    widest = F.array_max(parts)
+    return F.when(widest.width > 0, F.struct(widest.lon.alias("lon"), y.alias("lat")))

@@ -56,6 +56,13 @@ def property_type(c: Column) -> Column:
     return _lookup(PROPERTY_TYPES, c)
 
 
+def property_type_in(c: Column) -> Column:
+    """The type of the longest spelling that stands in a text as whole words; null if none does."""
+    key = F.concat(F.lit("_"), fold_key(c), F.lit("_"))
+    longest_first = sorted(PROPERTY_TYPES, key=len, reverse=True)
+    return F.coalesce(*[F.when(key.contains(f"_{x}_"), PROPERTY_TYPES[x]) for x in longest_first])
+
+
 def property_type_spellings(raw: str) -> list[str]:
     """All lower-case spellings that a filter on `raw` accepts."""
     key = re.sub(r"[\s\-]+", "_", raw.strip().lower())

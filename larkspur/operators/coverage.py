@@ -79,3 +79,37 @@ def retrieval(ranked: DataFrame) -> DataFrame:
     """Top-1 share and mean reciprocal rank of (query, rank, relevant)."""
     first = ranked.where("relevant").groupBy("query").agg(F.min("rank").alias("rank"))
     return first.agg(F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.avg(1 / F.col("rank")).alias("mrr"))
+
+
+def progress(counts: DataFrame, fields: list[str], today: Column, active: Column, remaining: Column, per_day: Column) -> DataFrame:
+    """(signal, enriched, total, fraction) of the row of `signal_counts`, beside what is left and when it will be done.
+
+    Rate, days and date are null unless a run is active and the rate is above 0.
+    """
+    left = F.greatest(remaining, F.lit(0))
+    rate = F.when(active & (per_day > 0) & (per_day < float("inf")), per_day)
+    days = left / rate
+    signals = F.explode(F.array(*[F.struct(F.lit(f).alias("signal"), F.greatest(F.coalesce(F.col(f), F.lit(0)), F.lit(0)).alias("enriched")) for f in fields]))
+    out = counts.withColumn("s", signals).select("s.signal", "s.enriched", F.greatest("total", F.lit(0)).alias("total"))
+    done = F.when(F.ceil(days) <= 1_000_000, F.date_add(today, F.ceil(days).cast("int")))
+    return out.withColumns({"fraction": fraction(F.col("enriched"), F.col("total")), "remaining": left, "per_day": F.round(rate, 1), "eta_days": F.round(days, 2), "done_on": done})
+
+
+def backlog(rows: DataFrame, title: str = "title", description: str = "description", embedding: str = "embedding", active: str = "active") -> DataFrame:
+    """One row: active rows, those with text, those with an embedding, and those with text that lack one."""
+    words = (F.trim(F.coalesce(F.col(title), F.lit(""))) != "") | (F.trim(F.coalesce(F.col(description), F.lit(""))) != "")
+    has = F.col(embedding).isNotNull()
+    n = lambda c: F.count_if(c)
+    return rows.where(F.col(active)).agg(F.count(F.lit(1)).alias("active"), n(words).alias("with_text"), n(has).alias("embedded"), n(words & ~has).alias("missing"))
+
+
+def probe_order(rows: DataFrame, before: Column, limit: int) -> DataFrame:
+    """Active listings with an address that weren't seen since `before`, longest unseen first, those never seen before all."""
+    due = F.col("active") & (F.trim("url") != "") & (F.col("last_seen").isNull() | (F.col("last_seen") < before))
+    return rows.where(due).orderBy(F.asc_nulls_first("last_seen"), "id").limit(limit)
+
+
+def feasibility(latencies: DataFrame, rows: int, concurrency: int, requests_per_row: int, daily_requests: int) -> DataFrame:
+    """One row of the stages' p50 seconds: hours of work, requests, days that the requests need."""
+    total = latencies.agg(F.sum("p50").alias("per_row_s"))
+    return total.select("per_row_s", (F.lit(rows) * F.col("per_row_s") / max(1, concurrency) / 3600).alias("hours"), F.lit(rows * requests_per_row).alias("requests"), F.ceil(F.lit(rows * requests_per_row) / daily_requests).alias("days"))

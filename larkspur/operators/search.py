@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text
 from larkspur.functions.geo import in_box
 from larkspur.functions.text import property_type_spellings
 from larkspur.functions.vectors import cosine_distance
@@ -196,3 +197,40 @@ def export_json(rows: DataFrame, path: str) -> dict:
     total = rows.count()
     rows.limit(EXPORT_ROWS).write.mode("overwrite").json(path)
     return {"total": total, "truncated": total > EXPORT_ROWS}
+
+
+#: Spellings of a saved search's fields.
+ALIASES = {
+    "sort_by": ("sortBy",), "sort_dir": ("sortDir",), "listing_type": ("listingType",), "property_type": ("propertyType",), "platform": (), "min_price": ("minPrice",), "max_price": ("maxPrice",), "price_type": ("priceType",),
+    "min_bedrooms": ("minBedrooms",), "max_bedrooms": ("maxBedrooms",), "min_parking": ("minParking",), "neighborhood": ("neighbourhood", "neighborhood_name"), "city": ("city_name", "cityName"), "is_furnished": ("isFurnished", "furnished"), "accepts_pets": ("acceptsPets", "pets"), "min_score": ("minScore",), "q": (),
+}
+
+
+def saved_filters(raw: Column) -> Column:
+    """A saved search's JSON in one form: fields by one name, blanks and false flags gone, place lists joined by commas, types by their codes.
+
+    Other fields are dropped; text that is no object gives an empty one.
+    """
+    v = F.try_parse_json(raw)
+    got = lambda name, kind: F.coalesce(*[F.try_variant_get(v, f"$.{k}", kind) for k in (name, *ALIASES[name])])
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    out = {}
+    for name in ALIASES:
+        if name in ("is_furnished", "accepts_pets"):
+            out[name] = F.when(got(name, "boolean"), True)
+        elif name.startswith(("min_", "max_")):
+            out[name] = got(name, "int" if name.endswith(("bedrooms", "parking")) else "double")
+        elif name in ("neighborhood", "city"):
+            listed = F.array_join(F.filter(F.transform(got(name, "array<string>"), lambda x: F.trim(x)), lambda x: x != ""), ",")
+            out[name] = blank(F.coalesce(listed, got(name, "string")))
+        else:
+            out[name] = blank(got(name, "string"))
+    for name, code in (("listing_type", text.listing_type), ("price_type", text.price_type), ("property_type", text.property_type)):
+        out[name] = F.coalesce(code(out[name]), out[name])
+    return F.to_json(F.struct(*[c.alias(k) for k, c in out.items()]))
+
+
+def favourites(marks: DataFrame, base: DataFrame, owner: str) -> DataFrame:
+    """An owner's marked properties, newest mark first."""
+    mine = marks.where(F.col("owner") == owner).select(F.col("property_id").alias("id"), "created_at")
+    return mine.join(base, "id").orderBy(F.desc("created_at"), "id")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, text, vectors
-from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts
-from larkspur.sources import files
+from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts, verdict
+from larkspur.sources import files, records
 from larkspur.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,3 +452,97 @@ def transit_scores(s, d):
     p = points(s, d)
     stops = p.where("id % 7 = 0").withColumn("mode", F.when(F.col("id") % 2 == 0, "metro").otherwise("bus"))
     return quality.transit_scores(p.where("id % 20 = 0"), stops)
+
+
+@query("SELECT a.n_nationkey AS id, b.n_nationkey AS r_id FROM nation a, nation b WHERE b.n_nationkey * 0.25 <= a.n_nationkey * 0.5 + 0.75 AND b.n_nationkey * 0.25 + 0.5 >= a.n_nationkey * 0.5 AND b.n_nationkey % 3 <= a.n_nationkey % 4 + 1 AND b.n_nationkey % 3 + 0.5 >= a.n_nationkey % 4")
+def area_overlaps(s, d):
+    k = F.col("n_nationkey")
+    box = lambda x, y, w, h: F.array(*[F.struct((x + i).cast("double").alias("lon"), (y + j).cast("double").alias("lat")) for i, j in ((0.0, 0.0), (w, 0.0), (w, h), (0.0, h))])
+    n = t(s, d, "nation")
+    pairs = geo.areas_meeting(n.select(k.alias("id"), box(k * 0.5, k % 4, 0.75, 1.0).alias("ring")), n.select(k.alias("r_id"), box(k * 0.25, k % 3, 0.5, 0.5).alias("r_ring")), step=0.6)
+    return pairs.select("id", "r_id")
+
+
+def raw_orders(s: SparkSession, d: str, record: dict[str, str]) -> DataFrame:
+    """Orders as a portal's JSON: the fields' SQL expressions by name; fields that are null aren't there."""
+    return t(s, d, "orders").select("o_orderkey", F.to_json(F.struct(*[F.expr(v).alias(k) for k, v in record.items()])).alias("raw"))
+
+
+PRICED = """SELECT platform_id, price, rent, sale, fee, reason FROM (SELECT *, CASE WHEN rent > 0 THEN rent WHEN sale > 0 THEN sale END AS price, CASE WHEN coalesce(rent, 0) <= 0 AND coalesce(sale, 0) <= 0 THEN 'no_price' END AS reason FROM r)"""
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    of = lambda kind: F.round(F.get(F.filter("listings", lambda x: x.listing_type == kind), F.lit(0)).price, 4).alias("rent" if kind == "rent" else "sale")
+    return rows.select("platform_id", F.round("price", 4).alias("price"), of("rent"), of("sale"), F.round(F.get("listings", F.lit(0)).condo_fee, 4).alias("fee"), "reason")
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey::VARCHAR AS platform_id, o_orderkey AS k, o_totalprice AS p FROM orders),
+q AS (SELECT platform_id, CASE WHEN k % 3 = 0 THEN p ELSE 0 END AS part, CASE WHEN k % 5 = 0 THEN p * 100 ELSE 0 END AS sale, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN p + 250 END AS total, CASE WHEN k % 7 = 0 AND k % 3 = 0 THEN 300.0 END AS condo FROM o),
+t AS (SELECT *, coalesce(total, part + coalesce(condo, 0)) AS all_in FROM q),
+r AS (SELECT platform_id, CASE WHEN all_in > 0 THEN round(all_in, 4) END AS rent, CASE WHEN sale > 0 THEN round(sale, 4) END AS sale, CASE WHEN all_in > 0 OR sale > 0 THEN round(CASE WHEN condo IS NULL AND part > 0 AND all_in > part THEN round(all_in - part, 2) ELSE condo END, 4) END AS fee FROM t)
+{PRICED}"""
+)
+def records_totals(s, d):
+    k = "o_orderkey"
+    raw = raw_orders(s, d, {"id": k, "rentPrice": f"CASE WHEN {k} % 3 = 0 THEN o_totalprice END", "salePrice": f"CASE WHEN {k} % 5 = 0 THEN o_totalprice * 100 END", "totalCost": f"CASE WHEN {k} % 2 = 0 AND {k} % 3 = 0 THEN o_totalprice + 250 END", "condoFee": f"CASE WHEN {k} % 7 = 0 AND {k} % 3 = 0 THEN 300.0D END"})
+    return priced(records.from_totals(raw, "https://portal.example"))
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey::VARCHAR AS platform_id, o_orderkey AS k, o_totalprice AS p FROM orders),
+r AS (SELECT platform_id, CASE WHEN k % 3 = 0 THEN round(p, 4) END AS rent, CASE WHEN k % 5 = 0 THEN round(p * 100, 4) END AS sale, CASE WHEN k % 3 = 0 THEN 120.0 WHEN k % 5 = 0 THEN 80.0 END AS fee FROM o) {PRICED}"""
+)
+def records_sides(s, d):
+    k = "o_orderkey"
+    raw = raw_orders(s, d, {"id": k, "prices": f"named_struct('rental', CASE WHEN {k} % 3 = 0 THEN named_struct('value', o_totalprice, 'condominium', '120') END, 'sale', CASE WHEN {k} % 5 = 0 THEN named_struct('value', string(o_totalprice * 100), 'condominium', '80') END)"})
+    return priced(records.from_sides(raw, "https://portal.example"))
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey::VARCHAR AS platform_id, o_orderkey AS k, (o_orderkey % 900 + 100)::DOUBLE AS p FROM orders),
+r AS (SELECT platform_id, CASE WHEN k % 4 = 0 THEN p + 50 END AS rent, CASE WHEN k % 4 <> 0 AND k % 4 <> 3 THEN p * 1000 END AS sale, CASE WHEN k % 4 <> 3 THEN 50.0 END AS fee FROM o) {PRICED}"""
+)
+def records_labels(s, d):
+    k = "o_orderkey"
+    raw = raw_orders(s, d, {"listId": k, "subject": f"CASE WHEN {k} % 4 = 0 THEN 'Alugo casa' ELSE 'Casa em Venda Nova' END", "price": f"CASE WHEN {k} % 4 = 0 THEN concat('R$ ', {k} % 900 + 100, ',00') WHEN {k} % 4 < 3 THEN concat('R$ ', {k} % 900 + 100, '.000') END", "properties": "array(named_struct('label', 'Condomínio', 'value', 'R$ 50'))"})
+    return priced(records.from_labels(raw, "https://portal.example"))
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 AND o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 THEN 'Not enough data for a deal verdict' ELSE
+  concat_ws(' — ', nullif(list_extract(l, 1), ''), nullif(array_to_string(list_slice(l, 2, 9), ', '), '')) END AS verdict FROM (SELECT o_orderkey, list_filter([
+    CASE o_orderkey % 5 WHEN 0 THEN 'Highly undervalued' WHEN 1 THEN 'Slightly undervalued' WHEN 2 THEN 'Priced near the neighbourhood average' WHEN 3 THEN 'strange' END,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'needs renovation' END, CASE WHEN o_orderkey % 4 = 0 THEN 'neighbourhood quality ' || (o_orderkey % 100) || '%' END,
+    CASE WHEN o_orderkey % 4 = 0 THEN '1 neighbourhood risk (flood)' END], lambda x: x IS NOT NULL) AS l FROM orders)"""
+)
+def verdict_texts(s, d):
+    k = F.col("o_orderkey")
+    band = F.when(k % 5 == 0, "Highly Undervalued").when(k % 5 == 1, "slightly_undervalued").when(k % 5 == 2, "Average").when(k % 5 == 3, "strange")
+    some = lambda c: F.when(k % 4 == 0, c)
+    none = F.lit(None).cast("array<string>")
+    said = verdict.verdict(band, F.when(k % 3 == 0, "Needs Renovation"), some(k % 100 / 100), some(F.array(F.lit("flood"))), F.lit(False), none, none)
+    return t(s, d, "orders").select(k.alias("id"), said.alias("verdict"))
+
+
+@query("SELECT count(*) AS active, count(*) FILTER (p_name <> '' AND p_partkey % 3 > 0) AS with_text, count(*) FILTER (p_size > 25) AS embedded, count(*) FILTER (p_name <> '' AND p_partkey % 3 > 0 AND p_size <= 25) AS missing FROM part WHERE p_partkey % 2 = 0")
+def backlog_counts(s, d):
+    k = F.col("p_partkey")
+    p = t(s, d, "part").select(F.when(k % 3 > 0, F.col("p_name")).otherwise(" ").alias("title"), F.lit(None).cast("string").alias("description"), F.when(F.col("p_size") > 25, F.array(F.lit(1.0))).alias("embedding"), (k % 2 == 0).alias("active"))
+    return coverage.backlog(p)
+
+
+@query(
+    """WITH c AS (SELECT count(DISTINCT doc_id) AS total, count(DISTINCT CASE WHEN n_chars > 1000 THEN doc_id END) AS long FROM documents)
+SELECT 'long' AS signal, long AS enriched, total, round(long / total, 6) AS fraction, total - long AS remaining, 7.0 AS per_day, round((total - long) / 7.0::DOUBLE, 2) AS eta_days, DATE '2026-01-01' + ceil((total - long) / 7.0::DOUBLE)::INT AS done_on FROM c"""
+)
+def coverage_progress(s, d):
+    c = t(s, d, "documents").agg(F.count_distinct("doc_id").alias("total"), F.count_distinct(F.when(F.col("n_chars") > 1000, F.col("doc_id"))).alias("long"))
+    return coverage.progress(c, ["long"], F.lit("2026-01-01").cast("date"), F.lit(True), F.col("total") - F.col("enriched"), F.lit(7.0))
+
+
+@query(f"WITH {BASE} SELECT id, first_seen FROM base WHERE id % 3 = 0 AND (id % 9 = 0 OR first_seen < TIMESTAMP '1996-01-01') ORDER BY CASE WHEN id % 9 = 0 THEN NULL ELSE first_seen END NULLS FIRST, id LIMIT 50")
+def probe_queue(s, d):
+    k = F.col("id")
+    b = base(s, d).select("id", "first_seen", (k % 3 == 0).alias("active"), F.lit("u").alias("url"), F.when(k % 9 > 0, F.col("first_seen")).alias("last_seen"))
+    return coverage.probe_order(b, F.lit("1996-01-01").cast("timestamp"), 50).select("id", "first_seen")

@@ -1,5 +1,6 @@
 """Expected values, rule by rule."""
 
+import json
 import math
 from datetime import datetime, timedelta
 
@@ -10,8 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, text
-from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts
-from larkspur.sources import files
+from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts, verdict
+from larkspur.sources import files, records
 
 
 def column(spark, expr, *values, names=("a", "b", "c")):
@@ -233,3 +234,74 @@ def test_export(spark, tmp_path):
     line = next((tmp_path / "c").glob("*.csv")).read_text().splitlines()
     assert line[0] == "id,n,b,l" and line[1] == 'a,,true,"[""x"",""y""]"'
     assert search.export_json(df, str(tmp_path / "j")) == {"total": 1, "truncated": False}
+
+
+@given(st.lists(st.tuples(st.one_of(st.floats(-180, 180), st.sampled_from([-180.0, 180.0, 179.999])), st.one_of(st.floats(-90, 90), st.sampled_from([90.0, 89.99, -90.0, 0.0]))), min_size=2, max_size=25), st.sampled_from([1000.0, 50_000.0, 3_000_000.0]))
+@settings(max_examples=12, deadline=None)
+def test_radius_join_at_poles_and_date_line(spark, places, radius):
+    a = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "id int, lon double, lat double")
+    b = a.select(F.col("id").alias("r_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    far = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
+    want = sorted(tuple(r) for r in a.crossJoin(b).where(far <= radius).select("id", "r_id").collect())
+    assert sorted(tuple(r) for r in geo.within_radius(a, b, radius).select("id", "r_id").collect()) == want
+
+
+def test_areas(spark):
+    sq = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    a = spark.createDataFrame([("big", sq(0.0, 0.0, 1.0)), ("far", sq(5.0, 5.0, 0.1)), ("null", None)], "id string, ring array<struct<lon:double,lat:double>>")
+    b = spark.createDataFrame([("in", sq(0.4, 0.4, 0.01)), ("touch", sq(1.0, 1.0, 0.2)), ("cross", sq(0.9, -0.05, 0.1)), ("out", sq(1.01, 0.0, 0.2)), ("around", sq(4.0, 4.0, 3.0))], "r_id string, r_ring array<struct<lon:double,lat:double>>")
+    assert sorted(tuple(r) for r in geo.areas_meeting(a, b).select("id", "r_id").collect()) == [("big", "cross"), ("big", "in"), ("big", "touch"), ("far", "around")]
+    horseshoe = [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (2.0, 3.0), (2.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0)]
+    u = spark.createDataFrame([("u", horseshoe), ("flat", [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)])], a.schema).select("id", "ring", geo.point_on_surface(F.col("ring")).alias("p"))
+    got = {r.id: (r.p, r.inside) for r in u.withColumn("inside", geo.covers(F.col("ring"), F.col("p.lon"), F.col("p.lat"))).collect()}
+    assert got["u"][1] and got["u"][0].lon in (0.5, 2.5) and got["flat"][0] is None
+
+
+def read(spark, shape, *raws):
+    rows = spark.createDataFrame([(i, r if isinstance(r, str) or r is None else json.dumps(r)) for i, r in enumerate(raws)], "k int, raw string").withColumn("Price", F.lit("clash"))
+    return [r.asDict(True) for r in shape(rows).orderBy("k").collect()]
+
+
+def test_records_with_totals(spark):
+    full = {"id": 7, "type": "Apartamento", "neighbourhood": "Lourdes", "address": {"address": "Rua X", "city": "Belo Horizonte"}, "rentPrice": 1000, "totalCost": 1500.5, "photos": ["p.jpg", {"url": "http://z/q.jpg"}, {}], "location": {"lat": -19.9, "lng": -43.9}, "amenities": ["PODE_TER_ANIMAIS_DE_ESTIMACAO"], "bedrooms": 2}
+    a, bundle, broken, null = read(spark, lambda d: records.from_totals(d, "https://a"), full, {"id": "8", "rentPrice": 900, "condoIptu": 300, "city_slug": "x-campinas"}, "nonsense", None)
+    assert (a["title"], a["price"], a["type"], a["state"], a["image_urls"], a["address"], a["lon"]) == ("Apartamento in Lourdes", 1500.5, "apartment", "MG", ["https://a/img/p.jpg", "http://z/q.jpg"], "Rua X, Lourdes, Belo Horizonte", -43.9)
+    (offer,) = a["listings"]
+    assert (offer["base_price"], offer["condo_fee"], offer["fees_bundled"], offer["accepts_pets"], offer["url"]) == (1000, 500.5, True, True, "https://a/imovel/7")
+    assert (bundle["price"], bundle["city"], bundle["listings"][0]["fees_bundled"]) == (1200, "Campinas", True)
+    assert broken["reason"] == null["reason"] == "no_id" and broken["listings"] == []
+
+
+def test_records_with_sides(spark):
+    both = {"id": "9", "prices": {"rental": {"value": "2000", "condominium": 100, "iptu": 0}, "sale": {"value": 300000}}, "amenities": {"usableAreas": ["70"], "values": ["PETS_ALLOWED"]}, "address": {"city": "X", "state": "Minas Gerais"}, "medias": {"images": [{"dangerousSrc": "http://i/{width}/{height}"}, "ftp"]}}
+    a, free = read(spark, lambda d: records.from_sides(d, "https://c"), both, {"id": 1, "prices": {"rental": {}, "sale": None}})
+    assert (a["price"], a["area_m2"], a["state"], a["image_urls"], [x["price"] for x in a["listings"]]) == (2000, 70, "MG", ["http://i/614/297"], [2000, 300000])
+    assert a["listings"][0]["iptu"] is None and a["listings"][1]["condo_fee"] == 100 and free["reason"] == "no_price"
+    product = {"name": "N", "url": "https://c/x-id-123/", "offers": {"price": 900, "potentialAction": {"@type": "BuyAction"}, "additionalProperty": {"name": "Condominio", "value": 50}}, "image": "http://i", "floorSize": {"value": 40}, "address": {"addressLocality": "Campinas", "addressRegion": "SP"}}
+    (p,) = read(spark, lambda d: records.from_sides(records.product_sides(d), "https://c"), product)
+    assert (p["platform_id"], p["for_sale"], p["for_rent"], p["area_m2"], p["image_urls"], p["listings"][0]["condo_fee"]) == ("123", True, False, 40, ["http://i"], 50)
+
+
+def test_records_with_labels(spark):
+    one = {"listId": 5, "subject": "Alugo apto", "price": "R$ 1.200", "properties": [{"label": "Quartos", "value": "2 quartos"}, {"name": "condominio", "value": "R$ 300"}, {"label": "Área", "value": "70m²"}, {"name": "furnished", "value": "Sim"}], "location": {"neighbourhood": "N", "municipality": "BH", "uf": "MG", "lat": 0.0}, "images": [{"original": "u1"}, "u2"]}
+    a, b, c = read(spark, lambda d: records.from_labels(d, "https://b"), one, {"id": 6, "pricingInfos": [{"period": "monthly", "value": 1000}, {"value": 250000}], "location": "Centro", "url": "https://b/x/casas/y"}, {"id": 7, "subject": "Casa"})
+    assert (a["price"], a["bedrooms"], a["area_m2"], a["type"], a["address"], a["lat"], a["image_urls"]) == (1500, 2, 70, "apartment", "N, BH, MG", None, ["u1", "u2"])
+    assert (a["listings"][0]["base_price"], a["listings"][0]["is_furnished"]) == (1200, True)
+    assert (b["type"], b["address"], [x["price"] for x in b["listings"]], c["reason"]) == ("house", "Centro", [1000, 250000], "no_price")
+
+
+def test_verdict_and_saved_filters(spark):
+    none = [F.lit(None).cast(x) for x in ("string", "string", "double", "array<string>", "boolean", "array<string>", "array<string>")]
+    red, empty = F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>")
+    said = spark.range(1).select(verdict.verdict(F.lit("Highly Undervalued"), F.lit("unheard of"), F.lit(0.725), F.array(F.lit("flood")), F.lit(True), red, red), verdict.verdict(*none[:4], F.lit(True), empty, empty), verdict.verdict(*none, "pt-BR")).first()
+    assert list(said) == ["Highly undervalued — average condition, neighbourhood quality 72%, 1 neighbourhood risk (flood), 2 listing claim concerns, 2 positive listing claims", "no listing claim alerts", "Dados insuficientes para um veredito"]
+    raw = '{"sortBy":"price","neighbourhood":["a"," ","b"],"city":"x","listingType":"Aluguel","furnished":false,"pets":true,"minPrice":"","maxPrice":"12.5","propertyType":"villa","other":1}'
+    got = column(spark, search.saved_filters(F.col("a")), (raw,), ("x",), (None,))
+    assert [json.loads(x) for x in got] == [{"sort_by": "price", "listing_type": "rent", "property_type": "villa", "max_price": 12.5, "neighborhood": "a,b", "city": "x", "accepts_pets": True}, {}, {}]
+
+
+def test_progress(spark):
+    c = spark.createDataFrame([(0, 0, 3)], "total long, a long, b long")
+    at = lambda active, rate: [tuple(r) for r in coverage.progress(c, ["a", "b"], F.lit("2026-01-31").cast("date"), F.lit(active), F.lit(5), F.lit(rate)).select("signal", "fraction", "remaining", "eta_days", F.col("done_on").cast("string")).collect()]
+    assert at(True, 4.0) == [("a", None, 5, 1.25, "2026-02-02"), ("b", None, 5, 1.25, "2026-02-02")]
+    assert at(False, 4.0) == at(True, 0.0) == [("a", None, 5, None, None), ("b", None, 5, None, None)]
