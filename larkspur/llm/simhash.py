@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import by_runs, components, table
+from larkspur.llm.shared import by_runs, components, drop, table
 
 #: Shingles hashed at once, so that a very long text takes little memory.
 STEP = 1 << 16
@@ -65,9 +65,13 @@ class Rule:
         return np.array([[sum(x)] for x in itertools.combinations(block, self.same)], np.uint64)
 
 
-#: Shingles of five words, similarity 0.8: two sets of that Jaccard similarity lie at a cosine of 8/9, where 39 of 256
-#: bits differ, give or take 6. The limit is a little above, so that nine of ten such pairs link.
-NEAR = Rule(words=5, bits=256, max_diff=46, tables=48, band=17)
+#: Shingles of five words. Two sets of Jaccard similarity 0.8 lie at a cosine of 8/9 or more, where 39 of 256 bits differ,
+#: give or take 6. The limit only spares work: it lies 7 deviations above, and what passes is verified exactly.
+NEAR = Rule(words=5, bits=256, max_diff=80, tables=48, band=17)
+#: Differing bits of pairs verified first: most are near copies, and the groups that they make need no more pairs.
+SURE = 40
+#: A block of near copies of more rows than this is dealt out as pairs of tiles.
+NEAR_TILE = 2048
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -76,26 +80,43 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
-    """Little-endian; the first 64 bits are those of the XXH64 (seed 42) of the shingles, the next of mixes of it."""
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles of a text in turn, STEP at most at once; none of a text without words."""
     w = (text or "").encode().lower().split()
     if not w:
-        return bytes(bits // 8)
+        return
     line = b" ".join(w)
     size = np.fromiter(map(len, w), np.int64, len(w)) + 1
     end = np.cumsum(size)
     n = max(1, len(w) - words + 1)
     begin, end = (end - size)[:n].tolist(), (end[min(words, len(w)) - 1 :] - 1)[:n].tolist()
-    total = np.zeros(bits, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(begin[at : at + STEP], end[at : at + STEP], strict=True)], np.uint64)
+        yield np.array([digest(line[a:b], 42) for a, b in zip(begin[at : at + STEP], end[at : at + STEP], strict=True)], np.uint64)
+
+
+def _majority(steps: Iterable[np.ndarray], bits: int) -> bytes:
+    """The bits set in over half of the hashes, little-endian; the first 64 are those of the hashes, the next of mixes of them."""
+    total, n = np.zeros(bits, np.int64), 0
+    for h in steps:
+        n += len(h)
         for part in range(bits // 64):
             x = h if not part else _mix(h + np.uint64(0x9E3779B97F4A7C15 * part % (1 << 64)))
             total[64 * part : 64 * part + 64] += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
     return np.packbits(total * 2 > n, bitorder="little").tobytes()
 
 
+def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
+    """Of all shingles of a text, repeats counted; zero for one without words."""
+    return _majority(_hashes(text, words), bits)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of a text's shingles: their hashes, ascending."""
+    steps = list(_hashes(text, words))
+    return np.unique(np.concatenate(steps)) if steps else np.zeros(0, np.uint64)
+
+
 def fingerprints(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, fp) for each row of `docs`; null and empty texts have fingerprint zero."""
 
@@ -207,8 +228,141 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.hex(number)).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
-    """The rows of `docs` that have their group's smallest doc_id, one row for each; rows without doc_id stay."""
-    found = groups(docs.where("doc_id IS NOT NULL"), rule).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+def _profiles(rule: Rule):
+    """(doc_id, text) -> (doc_id, node, fp, n): the shingle set's key, the fingerprint of its members, each once, and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            rows = []
+            for t in rb.column("text"):
+                x = shingles(t.as_py(), rule.words)
+                rows.append((_node(x), _majority([x], rule.bits), len(x)))
+            node, fp, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "node", "fp", "n"])
+
+    return run
+
+
+def _node(x: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
+
+
+def _sets(rule: Rule):
+    """(doc_id, node, text) -> (node, members) of the texts that have the set `node`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sets = [shingles(t.as_py(), rule.words) for t in rb.column("text")]
+            rows = [(k, x.tobytes()) for k, x in zip(rb.column("node").to_pylist(), sets, strict=True) if _node(x) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["node", "members"])
+
+    return run
+
+
+def _candidates(max_diff: int, similarity: float, spanning: bool):
+    """Whole blocks (key, side, node, fp, n, part) -> (a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
+
+    side: -1, or which of two tiles; then only pairs across count. `spanning`: only enough pairs to hold together what would link if all were verified.
+    """
+
+    def fn(t: pa.Table) -> pa.RecordBatch:
+        key, side, node, n, part = (t.column(x).to_numpy() for x in ("key", "side", "node", "n", "part"))
+        o = np.lexsort((n, key))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), -1)[o]
+        key, side, node, n, part = key[o], side[o], node[o], n[o], part[o]
+        group = np.unique(np.stack([key, part], axis=1), axis=0, return_inverse=True)[1].ravel()
+        low = np.arange(int(group.max(initial=-1)) + 1)
+        a, b = [], []
+        i, step = np.arange(len(key)), 0
+        while True:
+            step += 1
+            i = i[i + step < len(key)]
+            i = i[(key[i + step] == key[i]) & (n[i] >= similarity * n[i + step] - 1e-9)]  # sorted by size: further ones are no nearer
+            if not len(i):
+                break
+            x = i[(side[i] < 0) | (side[i] != side[i + step])]
+            x = x[low[group[x]] != low[group[x + step]]]
+            x = x[_apart(fp[x] ^ fp[x + step]) <= max_diff]
+            if len(x):
+                a.append(np.minimum(node[x], node[x + step]))
+                b.append(np.maximum(node[x], node[x + step]))
+                if spanning:
+                    u, v = low[group[x]], low[group[x + step]]
+                    least = np.minimum(u, v)
+                    np.minimum.at(low, u, least)
+                    np.minimum.at(low, v, least)
+                    for _ in range(3):
+                        low = low[low]
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
+
+    return lambda batches: by_runs(batches, "key", fn)
+
+
+def _similar(similarity: float):
+    """(a, b, of_a, of_b) -> the (a, b) whose sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            keep = []
+            for x, y in zip(rb.column("of_a"), rb.column("of_b"), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield rb.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _blocked(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(key, node, tiles): the blocks in which nodes meet, of two or more."""
+    rows = nodes.select("node", "fp").mapInArrow(_blocks(rule), "key long, node long, fp binary").select("key", "node")
+    large = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / NEAR_TILE).alias("tiles"))
+    return table(rows.join(large, "key"), "near-blocks")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float) -> DataFrame:
+    """Verified links (a, b) between `nodes` (node, low, fp, n) that hold all groups of the similarity together.
+
+    First come pairs that are most likely near copies, as few as a block needs. What these join is then one part,
+    and all other pairs of a block, those between parts, are verified.
+    """
+    blocks = _blocked(nodes, rule)
+
+    def verified(part: DataFrame, max_diff: int, spanning: bool) -> DataFrame:
+        rows = blocks.join(part.select("node", "fp", "n", "part"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+        tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "n", "part")
+        pairs = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_diff, similarity, spanning), "a long, b long").distinct()
+        pairs = table(pairs, "near-pairs")
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        named = nodes.select("node", F.col("low").alias("doc_id")).join(named, "node")
+        sets = docs.select("doc_id", "text").join(named, "doc_id").select("node", "text").mapInArrow(_sets(rule), "node long, members binary")
+        sets = table(sets.dropDuplicates(["node"]), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
+        out = table(both.select("a", "b", "of_a", "of_b").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
+        drop(pairs, sets)
+        return out
+
+    first = verified(nodes.withColumn("part", F.col("node")), SURE, True)
+    part = nodes.join(components(first), "node", "left").withColumn("part", F.coalesce("root", "node"))
+    rest = verified(part, rule.max_diff, False)
+    drop(blocks)
+    return first.unionByName(rest)
+
+
+def keep_one(docs: DataFrame, rule: Rule = NEAR, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that have their group's smallest doc_id, one row for each; rows without doc_id stay.
+
+    Documents link if the sets of their shingles have at least this Jaccard similarity; sets without a member are alike.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    nodes = known.select("doc_id", "text").mapInArrow(_profiles(rule), "doc_id long, node long, fp binary, n long")
+    profiles = table(nodes, "profiles")
+    nodes = table(profiles.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    roots = components(near_links(known, nodes, rule, similarity))
+    grouped = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
+    found = grouped.groupBy("root").agg(F.min("low").alias("kept_id")).select("kept_id").distinct()
+    rows = known.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id IS NULL"))

@@ -175,6 +175,22 @@ def test_near_copies_keep_one(spark):
     assert sum(i in kept for i, _ in rows) <= 60 + 0.05 * 180 and {group[i] for i, _ in rows if i in kept} == set(range(60))
 
 
+def test_near_copies_are_verified(spark):
+    """A line repeated often, or much in common but less than 0.8, makes no near copy."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = words(10), []
+    for _ in range(2):
+        texts.append(words(200) + line * 20)
+    for _ in range(30):  # Jaccard 0.74
+        base = words(404)
+        texts += [base, base[:344] + words(60)]
+    texts += [words(3), [], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == list(range(len(rows) - 1))  # of the empty ones one goes
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((120, 16))
