@@ -8,6 +8,9 @@ group.
 
 Two choices of bits: `pigeonhole` cuts 64 bits into blocks so that no pair within the allowed bits is
 missed; `sampled` takes random sets of bits of longer fingerprints, for larger distances.
+
+`keep_one` goes by the Jaccard similarity of shingle sets instead: sets that can have it share one of their
+rarest shingles and meet in its block, fingerprints discard what is far apart, the sets of the rest are compared.
 """
 
 from __future__ import annotations
@@ -67,9 +70,11 @@ class Rule:
 
 #: Shingles of five words. Two sets of Jaccard similarity 0.8 lie at a cosine of 8/9 or more, where 39 of 256 bits differ,
 #: give or take 6. The limit only spares work: it lies 7 deviations above, and what passes is verified exactly.
-NEAR = Rule(words=5, bits=256, max_diff=80, tables=48, band=17)
+NEAR = Rule(words=5, bits=256, max_diff=80)
 #: Differing bits of pairs verified first: most are near copies, and the groups that they make need no more pairs.
 SURE = 40
+#: Documents whose shingles are counted, and how many of the commonest are ranked. They order shingles, no more: any order finds all pairs.
+COUNTED, RANKED = 10_000, 200_000
 #: A block of near copies of more rows than this is dealt out as pairs of tiles.
 NEAR_TILE = 2048
 
@@ -228,21 +233,58 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.hex(number)).alias("fingerprint"), "component_id")
 
 
-def _profiles(rule: Rule):
-    """(doc_id, text) -> (doc_id, node, fp, n): the shingle set's key, the fingerprint of its members, each once, and its size."""
+def _common(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, ascending, and how often some documents have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for t in rb.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), rule.words).view(np.int64))], ["h"])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // COUNTED))) == 0)
+    top = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(RANKED).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    o = np.argsort(h)
+    return h[o], n[o]
+
+
+def _prefix(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Members of a set, rarest first, of which two sets of the similarity share one.
+
+    They share at least similarity * len(x) members; if none of the others but fewer than that many is shared, one of these is.
+    """
+    known, times = common
+    rank = np.zeros(len(x), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        rank = np.where(known[at] == x, times[at], 0)
+    least = int(np.ceil(similarity * len(x) - 1e-9))
+    return x[np.lexsort((x, rank))[: len(x) - least + 1]]
+
+
+def _profiles(rule: Rule, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """(doc_id, text) -> (doc_id, node, fp, n, keys): the shingle set's key, the fingerprint of its members, each once, its size and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = []
             for t in rb.column("text"):
                 x = shingles(t.as_py(), rule.words)
-                rows.append((_node(x), _majority([x], rule.bits), len(x)))
-            node, fp, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "node", "fp", "n"])
+                rows.append((_node(x), _majority([x], rule.bits), len(x), _prefix(x, common, similarity).tobytes()))
+            node, fp, n, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "node", "fp", "n", "keys"])
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, keys) -> (key, node)."""
+    for rb in batches:
+        keys = rb.column("keys").to_pylist()
+        node = np.repeat(rb.column("node").to_numpy(), [len(x) // 8 for x in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(node)], ["key", "node"])
+
+
 def _node(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
 
@@ -314,20 +356,20 @@ def _similar(similarity: float):
     return run
 
 
-def _blocked(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, node, tiles): the blocks in which nodes meet, of two or more."""
-    rows = nodes.select("node", "fp").mapInArrow(_blocks(rule), "key long, node long, fp binary").select("key", "node")
+def _blocked(nodes: DataFrame) -> DataFrame:
+    """(key, node, tiles): the shingles in whose blocks nodes meet, of two nodes or more."""
+    rows = nodes.select("node", "keys").mapInArrow(_keyed, "key long, node long")
     large = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / NEAR_TILE).alias("tiles"))
     return table(rows.join(large, "key"), "near-blocks")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float) -> DataFrame:
-    """Verified links (a, b) between `nodes` (node, low, fp, n) that hold all groups of the similarity together.
+    """Verified links (a, b) between `nodes` (node, low, fp, n, keys) that hold all groups of the similarity together.
 
     First come pairs that are most likely near copies, as few as a block needs. What these join is then one part,
     and all other pairs of a block, those between parts, are verified.
     """
-    blocks = _blocked(nodes, rule)
+    blocks = _blocked(nodes)
 
     def verified(part: DataFrame, max_diff: int, spanning: bool) -> DataFrame:
         rows = blocks.join(part.select("node", "fp", "n", "part"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
@@ -358,9 +400,8 @@ def keep_one(docs: DataFrame, rule: Rule = NEAR, similarity: float = 0.8) -> Dat
     Documents link if the sets of their shingles have at least this Jaccard similarity; sets without a member are alike.
     """
     known = docs.where("doc_id IS NOT NULL")
-    nodes = known.select("doc_id", "text").mapInArrow(_profiles(rule), "doc_id long, node long, fp binary, n long")
-    profiles = table(nodes, "profiles")
-    nodes = table(profiles.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    profiles = known.select("doc_id", "text").mapInArrow(_profiles(rule, similarity, _common(known, rule)), "doc_id long, node long, fp binary, n long, keys binary")
+    nodes = table(profiles.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("fp", "n", "keys")]), "nodes")
     roots = components(near_links(known, nodes, rule, similarity))
     grouped = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
     found = grouped.groupBy("root").agg(F.min("low").alias("kept_id")).select("kept_id").distinct()

@@ -191,6 +191,26 @@ def test_near_copies_are_verified(spark):
     assert kept == list(range(len(rows) - 1))  # of the empty ones one goes
 
 
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_near_copies_miss_nothing(spark, tile, monkeypatch):
+    """Lone pairs of a Jaccard similarity just above 0.8, short and long, and a family whose members all meet."""
+    monkeypatch.setattr(simhash, "NEAR_TILE", tile)
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(150):
+        n = (9, 13, 40, 224)[k % 4]
+        base = words(n)
+        texts += [base, base[: 4 + -(-(n - 4) * 8 // 9)] + words((n - 4) // 9)]
+    base = words(100)
+    texts += [base[: 100 - k] + words(k) for k in range(0, 30, 2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 150
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect())
+    assert kept == sorted(set(brute_components(range(len(sets)), pairs)))
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((120, 16))
