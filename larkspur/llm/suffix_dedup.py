@@ -37,9 +37,13 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 STEP_BYTES = 1 << 20
 #: Blocks of more bytes than this are sorted alone.
 LONG_BLOCK = 6000
-#: A key of more texts than one task should hold (some 100 bytes a text) is split: each of its windows becomes a key of its own.
+#: A key of more strings than one task should hold (some 100 bytes each; a text may have many) is split: each of its windows becomes a key of its own.
 HOT_TEXTS = 250_000
+#: Windows that are compared at once.
+STEP_WINDOWS = 1 << 20
 LOW, HOT = np.uint64((1 << 32) - 1), np.uint64(1 << 62)
+#: With a part's number of strings of a key: that they are of two texts or more.
+TEXTS = np.uint32(1 << 31)
 
 
 def _strings(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +115,7 @@ def _bucketed(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sketch(buckets: int, span: int):
-    """A part -> (bucket, part, keys): the distinct keys of its texts, 4 bytes each, and how many of its texts have it, up to 255, in one."""
+    """A part -> (bucket, part, keys): the distinct keys of its texts, 4 bytes each, then how many strings have each, 4 bytes too, with TEXTS where several texts have it."""
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         names = ["bucket", "part", "keys"]
@@ -124,7 +128,8 @@ def _sketch(buckets: int, span: int):
         key, doc = key[o], doc[o]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
-        many = np.minimum(np.add.reduceat(new, first, dtype=np.int64), 255).astype(np.uint8)
+        texts_of = np.add.reduceat(new, first, dtype=np.int64)
+        many = np.minimum(np.diff(np.append(first, len(key))), int(TEXTS) - 1).astype(np.uint32) | np.where(texts_of > 1, TEXTS, np.uint32(0))
         key = key[first]
         bucket = (key >> np.uint64(32)).astype(np.int32)
         cut = _runs(bucket)
@@ -136,7 +141,7 @@ def _sketch(buckets: int, span: int):
 
 
 def _shared(hot_texts: int):
-    """Whole buckets, sorted -> (part, keys): the keys that two texts have; those of more than `hot_texts` are marked."""
+    """Whole buckets, sorted -> (part, keys): the keys that two texts have; those of more than `hot_texts` strings in all parts are marked."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
         parts, keys = [], []
@@ -144,14 +149,15 @@ def _shared(hot_texts: int):
         for a, b in _runs(bucket):
             rows = t.slice(a, b - a)
             cells = rows.column("keys").to_pylist()
-            key = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 5) for x in cells]).astype(np.uint64)
-            texts = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 5 * 4) for x in cells])
-            row = np.repeat(np.arange(len(cells)), [len(x) // 5 for x in cells])
+            key = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 8) for x in cells]).astype(np.uint64)
+            many = np.concatenate([np.frombuffer(x, np.uint32, -1, len(x) // 2) for x in cells])
+            row = np.repeat(np.arange(len(cells)), [len(x) // 8 for x in cells])
             o = np.argsort(key, kind="stable")
             k = key[o]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            n = np.repeat(np.add.reduceat(texts[o], first, dtype=np.int64), np.diff(np.append(first, len(k))))
-            k = k | np.uint64(int(bucket[a]) << 32) | np.where(n > hot_texts, HOT, np.uint64(0))
+            total = lambda x: np.repeat(np.add.reduceat(x[o], first, dtype=np.int64), np.diff(np.append(first, len(k))))
+            n, strings = total(1 + (many >= TEXTS)), total(many & ~TEXTS)
+            k = k | np.uint64(int(bucket[a]) << 32) | np.where(strings > hot_texts, HOT, np.uint64(0))
             k, row = k[n > 1], row[o][n > 1]
             part = rows.column("part").to_numpy()
             o = np.argsort(row, kind="stable")
@@ -274,14 +280,18 @@ def _cover(span: int):
             rows = rows[one_each]
             least[np.repeat(~alone, count)] = _least(have.take(pa.array(rows)).to_pylist(), block[~alone], low[~alone], span)
         at = np.cumsum(count) - count
-        total = windows.astype(np.int64)
-        off = np.cumsum(total) - total
-        nth = np.arange(int(total.sum())) - np.repeat(off, total)
-        hit = least[np.repeat(at[string], total) + nth] < np.repeat(doc, total)
-        row = np.repeat(np.arange(len(key)), total)
-        row, nth = row[hit], nth[hit]
-        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1))) if len(row) else row
-        row, nth, many = row[cut], nth[cut], np.diff(np.append(cut, len(row)))
+        ends, found, x = np.cumsum(windows, dtype=np.int64), [], 0
+        while x < len(key):  # runs of windows end with their row
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + STEP_WINDOWS, "right")))
+            total = windows[x:y].astype(np.int64)
+            off = np.cumsum(total) - total
+            nth = np.arange(int(total.sum())) - np.repeat(off, total)
+            hit = least[np.repeat(at[string[x:y]], total) + nth] < np.repeat(doc[x:y], total)
+            row, nth = np.repeat(np.arange(x, y), total)[hit], nth[hit]
+            cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1))) if len(row) else row
+            found.append((row[cut], nth[cut], np.diff(np.append(cut, len(row)))))
+            x = y
+        row, nth, many = (np.concatenate(x) for x in zip(*found, strict=True))
         tag = t.column("tag").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(doc[row], pa.int64()), pa.array(tag[row], pa.int64()), pa.array(begin[row] + nth, pa.int64()), pa.array(many, pa.int64())], ["doc", "tag", "begin", "windows"])
 

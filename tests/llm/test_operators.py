@@ -6,8 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,6 +98,29 @@ def test_suffix_dedup(docs, rows, none, long_block, hot, monkeypatch):
     assert suffix_dedup.digest(none).count() == 0
 
 
+@pytest.mark.parametrize(("texts", "times", "hot"), [(1200, 1, True), (2, 700, True), (600, 1, False), (1, 1400, None)])
+def test_suffix_counts_strings_of_a_part(texts, times, hot):
+    """A key is split by the number of its strings, however few the parts or texts that hold them; none of one text is kept."""
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    line = text(150)
+    some = ["".join(text(60) + line for _ in range(times)) for _ in range(texts)]
+    z = [zstandard.compress(x.encode()) for x in some]
+    every = pa.table({"doc": range(texts), "text_key": range(texts), "z": pa.array(z, pa.binary())})
+    known = pa.table({"part": [0] * texts, "kind": [0] * texts, "doc": range(texts), "text_key": range(texts), "tag": [0] * texts})
+    sketch = suffix_dedup._sketch(1, 50)(every, known)
+    got = [np.frombuffer(x, np.uint64) for rb in suffix_dedup._shared(1000)(iter(sketch.to_batches())) for x in rb.column("keys").to_pylist()]
+    assert hot is None if not got else bool((np.concatenate(got) & suffix_dedup.HOT > 0).any()) == hot
+
+
+@pytest.mark.parametrize("step", [1, 50])
+def test_suffix_windows_in_steps(docs, rows, none, step, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP_WINDOWS", step)
+    want = sorted(map(str, suffix_dedup.digest(docs).collect()))
+    monkeypatch.undo()
+    assert sorted(map(str, suffix_dedup.digest(docs).collect())) == want
+
+
 def test_suffix_cut(docs, rows, none):
     want = {}
     for d, n, gone, _, sha in brute_spans(rows):
