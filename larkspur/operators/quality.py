@@ -35,14 +35,16 @@ def stop_modes(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> Da
 def transit_scores(centroids: DataFrame, stops: DataFrame, max_m: float = 1200.0, near_m: float = 400.0, nearest: float = 0.7, cap: float = 8.0) -> DataFrame:
     """(id, transit_score, nearest_m, n_stops) of centroids (id, lon, lat): nearness of the best stop and weight of those close by.
 
-    nearest_m belongs to the stop of the greatest weighted nearness; it is null where that is 0.
+    nearest_m belongs to the stop of the greatest weighted nearness; it is null where that is 0. Centroids at one
+    place are scored once, stops of a mode at one place are counted.
     """
-    pairs = within_radius(centroids.select("id", "lon", "lat"), stops.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "mode"), max_m)
+    at_one = stops.groupBy(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "mode").agg(F.count(F.lit(1)).alias("n"))
+    pairs = within_radius(centroids.select("lon", "lat").distinct(), at_one, max_m)
     w = _map(MODE_WEIGHTS, F.col("mode"), MODE_WEIGHTS["other"])
     pairs = pairs.withColumns({"w": w, "near": (1 - F.col("distance_m") / max_m) * w})
-    got = pairs.groupBy("id").agg(F.max("near").alias("best"), F.sum(F.when(F.col("distance_m") <= near_m, F.col("w")).otherwise(0.0)).alias("close"), F.max_by("distance_m", F.struct("near", -F.col("distance_m"))).alias("at"), F.count(F.lit(1)).alias("n_stops"))
+    got = pairs.groupBy("lon", "lat").agg(F.max("near").alias("best"), F.sum(F.when(F.col("distance_m") <= near_m, F.col("w") * F.col("n")).otherwise(0.0)).alias("close"), F.max_by("distance_m", F.struct("near", -F.col("distance_m"))).alias("at"), F.sum("n").alias("n_stops"))
     score = unit_clamp(nearest * F.greatest("best", F.lit(0.0)) + (1 - nearest) * F.least(F.lit(1.0), F.col("close") / cap))
-    out = centroids.select("id").join(got, "id", "left")
+    out = centroids.select("id", "lon", "lat").join(got, ["lon", "lat"], "left")
     return out.select("id", F.when(F.col("best").isNull(), 0.0).otherwise(score).alias("transit_score"), F.when(F.col("best") > 0, F.col("at")).alias("nearest_m"), F.coalesce("n_stops", F.lit(0)).cast("long").alias("n_stops"))
 
 

@@ -138,6 +138,22 @@ def test_gates(spark):
     assert column(spark, gates.invalid(F.col("a"), F.col("b").cast("double")), ("x", "1"), ("", "1"), ("x", "0"), ("x", None), names=("a", "b")) == [None, "platform_id_missing", "price_not_positive", "price_not_positive"]
 
 
+def test_transit_scores_of_all_points(spark):
+    from larkspur.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: r for r in registry.queries()["transit_scores"](spark, sf).collect()}
+    p = [(r.id, r.lon, r.lat) for r in registry.points(spark, sf).collect()]
+    assert sorted(got) == sorted(i for i, *_ in p)
+    stops = [(x, y, 1.0 if i % 2 == 0 else 0.55) for i, x, y in p if i % 7 == 0]
+    for i, x, y in p[::5]:
+        far = lambda a, b: 2 * 6_371_000 * math.asin(math.sqrt(math.sin(math.radians(b - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(b)) * math.sin(math.radians(a - x) / 2) ** 2))  # noqa: B023, E731
+        near = [(far(a, b), w) for a, b, w in stops if far(a, b) <= 1200]
+        best = max(((1 - m / 1200) * w for m, w in near), default=0.0)
+        want = min(1.0, 0.7 * best + 0.3 * min(1.0, sum(w for m, w in near if m <= 400) / 8))
+        assert (got[i].n_stops, got[i].transit_score) == (len(near), pytest.approx(want, abs=1e-9))
+
+
 def test_quality(spark):
     c = spark.createDataFrame([("n", 0.0, 0.0), ("far", 1.0, 1.0)], "id string, lon double, lat double")
     stops = spark.createDataFrame([("metro", 0.004, 0.0), ("bus", 0.002, 0.0), ("bus", 0.5, 0.0)], "mode string, lon double, lat double")
