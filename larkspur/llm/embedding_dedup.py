@@ -1,13 +1,20 @@
 """Embedding near-dedup by sorted projection passes.
 
-In each pass vectors are ordered, within a label, by the concatenated signs of random projections,
-and every vector is compared with its next neighbours in that order. Verified pairs of all passes are
-united. Within a group so found every pair is then compared, in tiles, so that links are counted whole.
+In each pass vectors are ordered, within a label, by the concatenated signs of random projections of
+what sets them apart from the label's mean, and every vector is compared with its next neighbours in that
+order. Only the signs travel: neighbours whose signs differ little are candidates, and vectors are
+fetched for these and compared in double precision. Verified pairs of all passes are united. Within a
+group so found every pair is then compared, in tiles, so that links are counted whole.
+
+How many passes a vector takes follows from the number of vectors of its label and from how close it lies
+to their mean, so that a pair at the threshold is missed with a stated probability only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +22,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import by_runs, components, table
+from larkspur.llm.shared import by_runs, components, drop, table
 
-#: Vectors of a group in one tile.
-TILE = 512
+#: Vectors of a group in one tile, and rows of a tile multiplied at once.
+TILE, STRIP = 4096, 512
+#: Signs of a vector: 63 that order, two words more that only compare.
+BITS = 191
+#: Numbers in all means at most that are broadcast: 16 MB.
+MEANS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Rule:
+    """least: the cosine that links. window: neighbours compared. miss: how likely a pair at `least` may be missed.
+
+    most: passes at most; reached by vectors of labels of some 10^9 rows, or of those very close to a label's mean.
+    """
+
+    least: float = 0.93
+    window: int = 256
+    miss: float = 0.01
+    most: int = 64
 
 
 def _unit(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -27,154 +51,311 @@ def _unit(column: pa.ListArray, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _by_dim(rb: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = rb.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        yield int(dim), rb.filter(pa.array(dims == dim))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
-    """(cid, label, embedding, low, n): the distinct vectors that can link, with smallest vec_id and number of rows."""
+    """(label, embedding, low, n, dim): the distinct vectors that can link, with smallest vec_id and number of rows."""
     v = vectors.select("vec_id", "label", "embedding")
     e = F.col("embedding")
     real = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("label").isNotNull() & e.isNotNull() & real & F.exists(e, lambda x: x != 0))
     v = v.withColumn("embedding", F.transform(e, lambda x: x + F.lit(0.0).cast(x_type(vectors))))  # -0.0 is 0.0
-    return v.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.xxhash64("label", "embedding"))
+    return v.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding"))
 
 
 def x_type(vectors: DataFrame) -> str:
     return vectors.schema["embedding"].dataType.elementType.simpleString()
 
 
-def _passes(passes: int):
-    """(cid, dim, label, embedding) -> a row for each pass with `order`, 63 signs."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(space, dim, embedding) -> (space, n, total): a row for each space of a batch, the sum of its unit vectors."""
+    for rb in batches:
+        for dim, some in _by_dim(rb):
+            unit, space = _unit(some.column("embedding"), dim), some.column("space").to_numpy()
+            o = np.argsort(space, kind="stable")
+            first = np.flatnonzero(np.append(True, space[o][1:] != space[o][:-1]))
+            total = np.add.reduceat(unit[o], first, axis=0)
+            n = np.diff(np.append(first, len(o)))
+            yield pa.RecordBatch.from_arrays([pa.array(space[o][first]), pa.array(n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], ["space", "n", "total"])
+
+
+def means(rows: DataFrame) -> DataFrame:
+    """(space, many, mean): vectors of a label and length, and the mean of their unit vectors."""
+    sums = rows.select("space", "dim", "embedding").mapInArrow(_sums, "space long, n long, total array<double>")
+    at = sums.select("space", "n", F.posexplode("total")).groupBy("space", "pos").agg(F.sum("col").alias("x"), F.sum("n").alias("n"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("x")))), lambda s: s.x)
+    return at.groupBy("space").agg(F.max("n").alias("many"), mean.alias("mean"))
+
+
+@lru_cache(64)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng(1000).standard_normal((dim, BITS))
+
+
+@lru_cache(256)
+def _turn(p: int) -> np.ndarray:
+    """The order of signs in a pass."""
+    return np.random.default_rng(2000 + p).permutation(BITS)
+
+
+def _plan(spread: np.ndarray, many: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(passes, reach) of vectors whose squared distance from the mean is `spread`, among `many`.
+
+    Two of them at the threshold agree in a sign with probability p. They meet in a pass if they agree in the
+    log2(many / window) signs that cut a label down to a window. reach: signs in which they may differ, 4.5 deviations above the mean.
+    """
+    cosine = np.clip(1 - (1 - rule.least) / np.maximum(spread, 1e-12), 0, 1)
+    p = 1 - np.arccos(cosine) / np.pi
+    meet = p ** np.maximum(0, np.log2(many / rule.window))
+    passes = np.ceil(np.log(rule.miss) / np.log1p(-np.minimum(meet, 1 - rule.miss)))
+    reach = np.ceil(BITS * (1 - p) + 4.5 * np.sqrt(BITS * p * (1 - p)))
+    return np.clip(passes, 1, rule.most).astype(np.int64), np.minimum(reach, BITS).astype(np.int32)
+
+
+def _signed(rule: Rule, only: int | None):
+    """(cid, dim, space, embedding, many, mean, part) -> a row for each pass of a vector; `only`: so many passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pass", "space", "order", "cid", "unit"]
+        names = ["pass", "space", "order", "x", "y", "reach", "cid", "part"]
         for rb in batches:
-            dims = rb.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                some = rb.filter(pa.array(dims == dim))
-                unit = _unit(some.column("embedding"), int(dim))
-                cells = pa.array([x.tobytes() for x in unit], pa.binary())
-                for p in range(passes):
-                    planes = np.random.default_rng(1000 + p).standard_normal((int(dim), 63))
-                    signs = (unit @ planes > 0).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), p, np.int32)), some.column("space"), pa.array(signs @ (1 << np.arange(62, -1, -1, dtype=np.int64))), some.column("cid"), cells], names)
+            for dim, some in _by_dim(rb):
+                v = _unit(some.column("embedding"), dim) - np.asarray(some.column("mean").flatten(), np.float64).reshape(-1, dim)
+                passes, reach = _plan((v * v).sum(axis=1), some.column("many").to_numpy(), rule)
+                if only:
+                    passes = np.minimum(passes, only)
+                signs = v @ _planes(dim) > 0
+                space, cid, part = (some.column(x) for x in ("space", "cid", "part"))
+                for p in range(int(passes.max())):
+                    on = passes > p
+                    bits = np.zeros((int(on.sum()), BITS + 1), bool)
+                    bits[:, 1:] = signs[on][:, _turn(p)]
+                    words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                    pick = pa.array(on)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), p, np.int32)), space.filter(pick), *(pa.array(words[:, k].copy()) for k in range(3)), pa.array(reach[on]), cid.filter(pick), part.filter(pick)], names)
 
     return run
 
 
-def _near(p: np.ndarray, unit: list[bytes], cid: np.ndarray, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows in order with the next `window` rows of the same `p`; a window that is all links goes on."""
+def _pairs(c: dict[str, np.ndarray], window: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among rows in order, each with the next `window` of its pass and space, of unlike part.
+
+    spanning: only as many as hold together what would link if all were verified.
+    """
+    n = len(c["cid"])
+    key = np.cumsum(np.append(0, (c["pass"][1:] != c["pass"][:-1]) | (c["space"][1:] != c["space"][:-1]))) if n else np.zeros(0, np.int64)
+    group = np.unique(c["part"], return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    low = np.arange(int(group.max(initial=-1)) + 1)
+    words = [np.ascontiguousarray(c[k]).view(np.uint64) for k in ("order", "x", "y")]
     a, b = [], []
-    size = np.array([len(x) for x in unit])
-    for n in np.unique(size):  # one length of vectors at a time
-        rows = np.flatnonzero(size == n)
-        v = np.frombuffer(b"".join(unit[i] for i in rows), np.float64).reshape(len(rows), -1)
-        q, c = p[rows], cid[rows]
-        for step in range(1, window + 1):
-            i = np.arange(max(0, len(rows) - step))
-            i = i[q[i] == q[i + step]]
-            i = i[np.einsum("ij,ij->i", v[i], v[i + step]) >= least]
-            a.append(c[i])
-            b.append(c[i + step])
-    return (np.concatenate(a), np.concatenate(b)) if a else (cid[:0], cid[:0])
-
-
-def _windows(window: int, least: float):
-    """A sorted partition -> links, and its first and last `window` rows for the partitions beside it."""
-    names = ["a", "b", "edge", "side", "nth", "group", "unit"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    for step in range(1, min(window, n - 1) + 1):
+        near = sum(np.bitwise_count(w[step:] ^ w[:-step]).astype(np.int32) for w in words)
+        i = np.flatnonzero((near <= np.maximum(c["reach"][step:], c["reach"][:-step])) & (key[step:] == key[:-step]) & (group[step:] != group[:-step]))
+        if spanning and len(i):
+            i = i[low[group[i]] != low[group[i + step]]]
+            u, v = low[group[i]], low[group[i + step]]
+            least = np.minimum(u, v)
+            np.minimum.at(low, u, least)
+            np.minimum.at(low, v, least)
+            for _ in range(3):
+                low = low[low]
+        a.append(c["cid"][i])
+        b.append(c["cid"][i + step])
+    return (np.concatenate(a), np.concatenate(b)) if a else (c["cid"][:0], c["cid"][:0])
+
+
+def _all_pairs(c: dict[str, np.ndarray], window: int, spanning: bool) -> pa.RecordBatch:
+    """`_pairs` of rows in order, and of the ends of their runs of one part, which so take no room in a window."""
+    a, b = _pairs(c, window, spanning)
+    new = (c["part"][1:] != c["part"][:-1]) | (c["pass"][1:] != c["pass"][:-1]) if len(c["cid"]) else np.zeros(0, bool)
+    ends = np.flatnonzero(np.append(True, new) | np.append(new, True)) if len(c["cid"]) else np.zeros(0, np.int64)
+    if len(ends) < len(c["cid"]):
+        x, y = _pairs({k: v[ends] for k, v in c.items()}, window, spanning)
+        a, b = np.append(a, x), np.append(b, y)
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy(), pa.int64()), pa.array(both[:, 1].copy(), pa.int64())], ["a", "b"])
+
+
+_COLUMNS = ["pass", "space", "order", "x", "y", "reach", "cid", "part"]
+_ROW = "pass int, space long, `order` long, x long, y long, reach int, cid long, part long"
+
+
+def _arrays(rb: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+    return {k: rb.column(k).to_numpy(zero_copy_only=False) if isinstance(rb, pa.RecordBatch) else rb.column(k).to_numpy() for k in _COLUMNS}
+
+
+def _windows(window: int, spanning: bool):
+    """A sorted partition -> candidates (a, b), and the rows (its first and last `window`) that stand near its borders, with `task` and `nth`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, seen, first, tail = TaskContext.get().partitionId(), 0, [], []
+        me, seen = TaskContext.get().partitionId(), 0
+        tail: pa.RecordBatch | None = None
+        late: list[tuple[int, pa.RecordBatch]] = []
         for rb in batches:
-            rows = list(zip((rb.column("pass").to_numpy().astype(np.int64) * 1_000_003 + rb.column("space").to_numpy()).tolist(), rb.column("unit").to_pylist(), rb.column("cid").to_pylist(), strict=True))
-            if not rows:
+            if not rb.num_rows:
                 continue
-            if len(first) < window:
-                first += rows[: window - len(first)]
-            held = tail + rows
-            a, b = _near(np.array([x[0] for x in held]), [x[1] for x in held], np.array([x[2] for x in held]), window, least)
-            tail = held[-window:]
-            seen += len(rows)
-            n = len(a)
-            null = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), null, pa.nulls(n, pa.int32()), null, null, pa.nulls(n, pa.binary())], names)
-        ends = [(x[2], None, me, 1, k, x[0], x[1]) for k, x in enumerate(first)] + [(x[2], None, me + 1, 0, k, x[0], x[1]) for k, x in enumerate(tail)]
-        cols = list(zip(*ends, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            held = rb if tail is None else pa.Table.from_batches([tail, rb]).combine_chunks().to_batches()[0]
+            yield _wide(_all_pairs(_arrays(held), window, spanning))
+            if seen < window:
+                yield _ends(rb.slice(0, window - seen), me, seen)
+            tail = held.slice(max(0, held.num_rows - window))
+            seen += rb.num_rows
+            late = [(seen - tail.num_rows, tail)]
+        for at, rows in late:  # those that aren't out yet as first rows
+            skip = max(0, window - at)
+            if skip < rows.num_rows:
+                yield _ends(rows.slice(skip), me, at + skip)
 
     return run
 
 
-def _borders(window: int, least: float):
-    """Rows on both sides of the borders between partitions -> links across."""
+_OUT = f"a long, b long, task int, nth long, {_ROW}"
 
-    def fn(t: pa.Table) -> pa.RecordBatch:
-        edge, group = t.column("edge").to_numpy(), t.column("group").to_numpy()
-        both = np.unique(np.stack([edge, group], axis=1), axis=0, return_inverse=True)[1].ravel()
-        a, b = _near(both, t.column("unit").to_pylist(), t.column("a").to_numpy(), 2 * window, least)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return lambda batches: by_runs(batches, "edge", fn)
+def _wide(pairs: pa.RecordBatch) -> pa.RecordBatch:
+    n = pairs.num_rows
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([*pairs.columns, *(pa.nulls(n, k) for k in kinds)], ["a", "b", "task", "nth", *_COLUMNS])
+
+
+def _ends(rows: pa.RecordBatch, me: int, at: int) -> pa.RecordBatch:
+    n = rows.num_rows
+    null = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([null, null, pa.array(np.full(n, me, np.int32)), pa.array(np.arange(at, at + n)), *(rows.column(k) for k in _COLUMNS)], ["a", "b", "task", "nth", *_COLUMNS])
+
+
+def _borders(window: int, spanning: bool):
+    return lambda batches: by_runs(batches, "edge", lambda t: _all_pairs(_arrays(t), window, spanning))
+
+
+def _edges(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(task, edge, from, to): which rows of a task stand within `window` of which border; borders nearer than that to each other are one.
+
+    sizes: (task, rows) of tasks that have rows, in order.
+    """
+    out, end, edge, begins = [], 0, -1, []
+    for _, n in sizes:
+        begins.append(end)
+        end += n
+    spans: list[list[int]] = []
+    for b in begins[1:]:
+        if spans and b - spans[-1][1] < window:
+            spans[-1][1] = b
+        else:
+            spans.append([b, b])
+    at = 0
+    for edge, (x, y) in enumerate(spans):
+        low, high = x - window, y + window
+        while at and begins[at] > low:
+            at -= 1
+        while begins[at] + sizes[at][1] <= low:
+            at += 1
+        k = at
+        while k < len(sizes) and begins[k] < high:
+            out.append((sizes[k][0], edge, low - begins[k], high - begins[k]))
+            k += 1
+    return out
+
+
+def candidates(rows: DataFrame, rule: Rule, spanning: bool, only: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of unlike part that stand within a window in some pass and whose signs differ little; and the scratch table they come from."""
+    spark = rows.sparkSession
+    signed = rows.select("cid", "dim", "space", "embedding", "many", "mean", "part").mapInArrow(_signed(rule, only), _ROW)
+    order = ["pass", "space", "order", "cid"]
+    out = table(signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windows(rule.window, spanning), _OUT), "windows")
+    ends = out.where("task IS NOT NULL")
+    sizes = [(r.task, r.n) for r in ends.groupBy("task").agg((F.max("nth") + 1).alias("n")).orderBy("task").collect()]  # a row for each task
+    found = out.where("task IS NULL").select("a", "b")
+    if len(sizes) > 1:
+        near = spark.createDataFrame(_edges(sizes, rule.window), "at_task int, edge long, low long, high long")
+        near = ends.join(F.broadcast(near), (F.col("task") == F.col("at_task")) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
+        across = near.select("edge", "nth", *[F.col(c) for c in _COLUMNS], "task").repartition("edge").sortWithinPartitions("edge", "task", "nth")
+        found = found.unionByName(across.mapInArrow(_borders(rule.window, spanning), "a long, b long"))
+    return found.distinct(), out
+
+
+def _cosines(least: float):
+    """(a, b, of_a, of_b, dim) -> the (a, b) whose cosine is `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for dim, some in _by_dim(rb):
+                keep = np.einsum("ij,ij->i", _unit(some.column("of_a"), dim), _unit(some.column("of_b"), dim)) >= least
+                yield some.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
-def found_links(c: DataFrame, least: float = 0.93, passes: int = 20, window: int = 24) -> DataFrame:
-    """Verified links (a, b) between classes: what `passes` sorted passes find in windows of `window`."""
-    c = c.withColumn("dim", F.size("embedding")).withColumn("space", F.xxhash64("label", "dim"))
-    c = c.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    rows = c.select("cid", "dim", "space", "embedding").mapInArrow(_passes(passes), "pass int, space long, `order` long, cid long, unit binary")
-    rows = rows.repartitionByRange("pass", "space", "order", "cid").sortWithinPartitions("pass", "space", "order", "cid")
-    out = table(rows.mapInArrow(_windows(window, least), "a long, b long, edge long, side int, nth long, `group` long, unit binary"), "windows")
-    border = out.where("edge IS NOT NULL").repartition("edge").sortWithinPartitions("edge", "side", "nth")
-    across = border.mapInArrow(_borders(window, least), "a long, b long")
-    return out.where("edge IS NULL").select("a", "b").unionByName(across).distinct()
+def verified(pairs: DataFrame, c: DataFrame, least: float) -> DataFrame:
+    of = lambda side: c.select(F.col("cid").alias(side), F.col("label").alias(f"label_{side}"), F.col("dim").alias(f"dim_{side}"), F.col("embedding").alias(f"of_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where("label_a = label_b AND dim_a = dim_b")
+    return both.select("a", "b", "of_a", "of_b", F.col("dim_a").alias("dim")).mapInArrow(_cosines(least), "a long, b long")
+
+
+def found_links(c: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Verified links (a, b) between classes that hold the groups together.
+
+    A first pass gives as few candidates as its windows need; what they link, once verified, is one part. All passes then
+    compare what is of unlike parts, so that a large group isn't paired with itself again and again.
+    """
+    rows = c.withColumn("space", F.xxhash64("label", "dim"))
+    m = table(means(rows), "means")
+    small = (m.agg(F.sum(F.size("mean"))).first()[0] or 0) <= MEANS
+    rows = rows.join(F.broadcast(m) if small else m, "space")
+
+    def linked(parted: DataFrame, spanning: bool, only: int | None) -> DataFrame:
+        pairs, windows = candidates(parted, rule, spanning, only)
+        out = table(verified(pairs, c, rule.least), "links")
+        drop(windows)
+        return out
+
+    first = linked(rows.withColumn("part", F.col("cid")), True, 1)
+    parted = rows.join(components(first).withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("root", "cid"))
+    return first.unionByName(linked(parted, False, None))
 
 
 def _counts(least: float):
-    """Whole tiles -> (cid, links): links of each row with rows of the other side, copies counted."""
+    """Whole tiles (key, root, low, high, side, cid, n, dim, embedding) -> (cid, links): links of each row with rows of the other side, copies counted."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
-        key, cid, n, side, unit = t.column("key").to_numpy(), t.column("cid").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy(), t.column("unit").to_pylist()
-        out = np.zeros(len(key), np.int64)
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cid, n, side, dim = (t.column(x).to_numpy() for x in ("cid", "n", "side", "dim"))
+        tile = np.stack([t.column(x).to_numpy() for x in ("root", "low", "high")])
+        key, out = t.column("key").to_numpy(), np.zeros(len(cid), np.int64)
+        cut = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(axis=0)))
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
-            v = np.frombuffer(b"".join(unit[a:b]), np.float64).reshape(b - a, -1)
-            hit = (v @ v.T >= least) & (cid[a:b, None] != cid[None, a:b])
+            v = _unit(t.column("embedding").slice(a, b - a).combine_chunks(), int(dim[a]))
             s = side[a:b]
-            if s.any():  # two tiles: across only
-                hit &= s[:, None] != s[None, :]
-            out[a:b] = hit @ n[a:b]
+            across = bool(s.any())
+            for at in range(0, b - a, STRIP):
+                hit = v[at : at + STRIP] @ v.T >= least
+                hit &= s[at : at + STRIP, None] != s[None, :] if across else cid[a + at : min(b, a + at + STRIP), None] != cid[None, a:b]
+                out[a + at : min(b, a + at + STRIP)] = hit @ n[a:b]
         return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(out)], ["cid", "links"])
 
     return lambda batches: by_runs(batches, "key", fn)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        cells = []
-        for x in rb.column("embedding"):
-            v = np.asarray(x.values, np.float64)
-            v = v / np.abs(v).max()
-            cells.append((v / np.linalg.norm(v)).tobytes())
-        yield pa.RecordBatch.from_arrays([*(rb.column(x) for x in ("cid", "root", "n")), pa.array(cells, pa.binary())], ["cid", "root", "n", "unit"])
-
-
-def dedup(vectors: DataFrame, least: float = 0.93, passes: int = 20, window: int = 24) -> DataFrame:
+def dedup(vectors: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """vec_id, n_links, component_id, kept, a row for each row of `vectors`.
 
     Vectors of different labels or lengths are never compared. A row without label, and a vector that is
     null, empty or zero or has a null, NaN or infinite component, links with nothing. Equal vectors link.
-    A row without vec_id has a component_id if its group has one.
+    A row without vec_id has a component_id if its group has one. Other columns of `vectors` aren't looked at.
     """
-    c = table(classes(vectors), "vectors")
-    roots = components(found_links(c, least, passes, window))
+    c = table(classes(vectors).withColumn("cid", F.monotonically_increasing_id()), "vectors")  # written: the numbers stay
+    roots = components(found_links(c, rule))
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    member = table(c.join(member, c.cid == member.node).select("cid", "root", "n", "low", "embedding"), "members")
+    member = table(c.join(member, c.cid == member.node).select("cid", "root", "n", "low", "dim", "embedding"), "members")
     size = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.min("low").alias("low"))
-    tiles = member.select("cid", "root", "n", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_units, "cid long, root long, n long, unit binary")
-    tiles = tiles.join(size.drop("low"), "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")))
+    tiles = member.drop("low").join(size.drop("low"), "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "n", "unit")
-    counted = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_counts(least), "cid long, links long")
-    counted = counted.groupBy("cid").agg(F.sum("links").alias("links"))
+    tiles = tiles.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    tiles = tiles.select(F.xxhash64("root", "low", "high").alias("key"), "root", "low", "high", "side", "cid", "n", "dim", "embedding")
+    tiles = tiles.repartition("key").sortWithinPartitions("key", "root", "low", "high").mapInArrow(_counts(rule.least), "cid long, links long")
+    counted = tiles.groupBy("cid").agg(F.sum("links").alias("links"))
     known = member.select("cid", "root").join(size.select("root", F.col("low").alias("component")), "root").join(counted, "cid").select("cid", "component", "links")
     known = c.join(known, "cid", "left").select("label", "embedding", "n", F.coalesce("component", "low").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x + F.lit(0.0).cast(x_type(vectors))).alias("embedding"))

@@ -60,27 +60,26 @@ def by_runs(batches: Iterator[pa.RecordBatch], key: str, fn: Callable[[pa.Table]
         yield fn(pa.Table.from_batches(held))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of `e` (u, v) points at one root, and roots at none."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out + root > 1 AND out > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of `edges` (a, b: long) by alternating large and small stars.
+    """Connected components of `edges` (a, b: long) by alternating large and small stars, until all are stars.
 
     Returns (node, root), root < node; nodes that are their own root have no row. A hub is never
     gathered: its minimum is a partial aggregate, and the join back is one that AQE can split.
     """
     e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = F.struct(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
-    before = e.agg(sign.alias("s")).first().s
-    while before[0]:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = table(large, "large")
+        large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = nxt.agg(sign.alias("s")).first().s
         drop(e, large)
         e = nxt
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

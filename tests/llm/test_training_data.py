@@ -260,19 +260,49 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_embedding_recall(spark):
-    """Pairs that stand alone, near the threshold, among many others."""
-    rng = np.random.default_rng(4)
-    base = rng.standard_normal((3000, 32))
+def planted(n, pairs, dim, mean, seed, cosines=(0.931, 0.96)):
+    """n unit vectors around a common mean (the cosine of two of them is about mean^2), and twins of the first ones."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dim))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    turn = rng.standard_normal((300, 32))
-    turn -= (turn * base[:300]).sum(1, keepdims=True) * base[:300]
+    base = mean * np.eye(dim)[0] + np.sqrt(1 - mean**2) * base
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.standard_normal((pairs, dim))
+    turn -= (turn * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
     turn /= np.linalg.norm(turn, axis=1, keepdims=True)
-    cos = rng.uniform(0.932, 0.99, (300, 1))
-    twin = cos * base[:300] + np.sqrt(1 - cos**2) * turn
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate([*base, *twin])], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df).collect()}
-    assert sum(got[3000 + i] > 0 for i in range(300)) >= 285
+    cos = rng.uniform(*cosines, (pairs, 1))
+    return np.concatenate([base, cos * base[:pairs] + np.sqrt(1 - cos**2) * turn])
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7])
+def test_embedding_recall(spark, mean):
+    """Pairs that stand alone, near the threshold, among many others, in a label of its own kind."""
+    v = planted(6000, 300, 32, mean, 4)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df, embedding_dedup.Rule(window=64)).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum()
+
+
+@pytest.mark.parametrize("sizes", [[5, 5, 5, 5], [100, 3, 100], [40], [9, 30, 2, 2, 2, 30], []])
+def test_embedding_borders(sizes):
+    """Whatever the partitions' sizes, every two rows within a window stand together, in a partition or at a border."""
+    window, at, rows = 8, 0, []
+    for task, n in enumerate(sizes):
+        rows += [(task, k) for k in range(n)]
+    together = {(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if x[0] == y[0]}
+    at = {x: i for i, x in enumerate(rows)}
+    edges = {}
+    for task, edge, low, high in embedding_dedup._edges(list(enumerate(sizes)), window):
+        for k in range(max(0, low), min(high, sizes[task])):
+            assert k < window or k >= sizes[task] - window  # only those rows are sent
+            edges.setdefault(edge, []).append(at[task, k])
+    for members in edges.values():
+        members.sort()
+        assert members == list(range(members[0], members[-1] + 1))
+        together |= {(i, j) for i in members for j in members}
+    assert all((i, j) in together for i in range(len(rows)) for j in range(i, min(len(rows), i + window + 1)))
 
 
 def greedy(word, vocabulary):
