@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -94,8 +95,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
             for text in rb.column("text"):
                 words = (text.as_py() or "").encode().translate(_FOLD).split()
                 line = b" %s " % b" ".join(words)
-                place = lambda at: line.count(b" ", 0, at)  # noqa: B023, E731  the word that begins after the space at `at`
                 base, near = scanner.exact(line), scanner.fuzzy(line)
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if base or near else None
+                place = lambda at: int(np.searchsorted(spaces, at))  # noqa: B023, E731  the word that begins after the space at `at`
                 at = sorted(p for p, _ in base)
                 labels = {x for _, x in base}
                 score = 1.0 if base else max((1 - e / max(1, end - begin) for begin, end, e, _ in near), default=0.0)
