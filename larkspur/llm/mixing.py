@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.shared import table
+
 #: A rate above this is split into equal Poisson parts, so that exp(-rate) never underflows.
 PART = 16.0
 #: More sources than this are joined by a shuffle instead of a broadcast.
@@ -44,10 +46,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """The columns of `docs`, a row for each copy, with mix_copy (from 1) and mix_key (the place in the shuffle).
 
     Rows of equal doc_id get equal counts. A null doc_id hashes as its own value; null and empty texts
-    weigh nothing and follow their source's rate. Columns of `docs` named mix_copy or mix_key are replaced.
+    weigh nothing and follow their source's rate. Columns of `docs` named mix_copy or mix_key are replaced, all
+    others are kept, whatever their names.
     """
     docs = docs.drop("mix_copy", "mix_key")
-    r = rates(docs, weights, alpha, epochs)
+    r = table(rates(docs, weights, alpha, epochs), "rates")  # so that `docs` is summed once
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     # cdf[k] = P(X <= k), until what is left is below the uniform number's own step
     cdf = F.aggregate(
@@ -56,21 +59,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         lambda s, k: F.struct((s.p * F.col("part") / k).alias("p"), F.concat(s.c, F.array(F.element_at(s.c, -1) + s.p * F.col("part") / k)).alias("c")),
         lambda s: s.c,
     )
+    many = r.count() if weights is None else len(weights)  # sources that aren't named have rate 0 and need no row
     r = r.where("rate > 0").withColumn("parts", parts).withColumn("part", F.col("rate") / F.col("parts"))
-    r = r.select(F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), cdf.alias("mix_cdf"))
-    if weights is None:
-        small = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    else:  # sources that aren't named have rate 0 and need no row
-        small = len(weights) <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(r) if small else r, F.col("source").eqNullSafe(F.col("mix_source")))
-    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    uniform = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda j: _uniform(F.lit(str(seed)), who, j.cast("string")))
-    n = F.aggregate(uniform, F.lit(0), lambda s, u: s + F.size(F.filter("mix_cdf", lambda c: c < u)))
-    counted = joined.withColumn("mix_n", n).where("mix_n > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).withColumn("mix_copy", F.col("mix_copy").cast("long"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}p"), who, F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    copies = copies.drop("mix_source", "mix_parts", "mix_cdf", "mix_n").withColumn("mix_key", key)
-    return copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    r = r.select(F.col("source").alias("of"), "parts", cdf.alias("cdf"))
+    # the row is one struct from here on, so that no column's name can clash with these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(F.broadcast(r) if many <= BROADCAST_SOURCES else r, F.col("row.source").eqNullSafe(F.col("of")))
+    who = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
+    uniform = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: _uniform(F.lit(str(seed)), who, j.cast("string")))
+    n = F.aggregate(uniform, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c < u)))
+    counted = joined.select("row", n.alias("n")).where("n > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}p"), who, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    dealt = copies.withColumn("key", key).repartition(F.col("key")).sortWithinPartitions("key")
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("copy").alias("mix_copy"), F.col("key").alias("mix_key"))
 
 
 #: For alpha = 0.5, one epoch, seed 42 and rates up to PART.

@@ -575,3 +575,44 @@ def test_pipeline(spark):
         assert out.count() > 0
         at = out
     assert sorted(map(str, corpus_pipeline.run(spark, "/root/testdata/sf0.001").drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect())) == sorted(map(str, at.select("doc_id", "doc_tokens").distinct().collect()))
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["mix_cdf", "mix_parts", "mix_n", "mix_source", "of", "cdf", "row", "key", "copy", "a.b"]
+    df = spark.createDataFrame([(i, "some text", "s", *["v"] * len(names)) for i in range(50)], ["doc_id", "text", "source", *names])
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "mix_copy", "mix_key"]
+    rows = got.collect()
+    assert rows and all(list(r)[3 : 3 + len(names)] == ["v"] * len(names) for r in rows)
+
+
+def test_license_places_in_a_long_text(spark):
+    """Places of very many phrases: as brute force finds them, in time that follows the text."""
+    import time
+
+    text = "All rights reserved, filler CC-BY; " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    licenses.scan(df.limit(0)).count()
+    began = time.perf_counter()
+    r = licenses.scan(df).first()
+    assert time.perf_counter() - began < 60
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (120_000, 40_000, 0, 119_998, "cc-by,reserved")
+
+
+def test_license_spans_by_brute_force():
+    """The spans that seeds lead to, against the regex library's search over the whole text."""
+    import regex
+
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.LETTERS_PER_ERROR)
+    for _ in range(60):
+        words = [rng.choice(["some", "text", "of", "no", "note"]) for _ in range(12)]
+        notice, label = rng.choice(list(licenses.NOTICES.items()))
+        x = list(notice)
+        for _ in range(rng.randint(0, len(notice) // licenses.LETTERS_PER_ERROR)):
+            x[rng.randrange(len(x))] = "q"
+        line = f" {' '.join(words)} {''.join(x)} {' '.join(words)} ".encode()
+        mine = {f[:3] for f in scanner.fuzzy(line) if f[3] == label}
+        k = len(notice) // licenses.LETTERS_PER_ERROR
+        m = regex.search(rb"(?b)(?:" + regex.escape(notice).encode() + b"){e<=%d}" % k, line)
+        assert m and any(abs(a - m.start()) <= k and abs(b - m.end()) <= k and e == sum(m.fuzzy_counts) for a, b, e in mine)
