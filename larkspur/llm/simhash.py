@@ -16,7 +16,6 @@ rarest shingles and meet in its block, fingerprints discard what is far apart, t
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,6 @@ from larkspur.llm.shared import by_runs, components, drop, table
 STEP = 1 << 16
 #: A block of more rows than this is dealt out as pairs of tiles.
 TILE = 4096
-SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 
 
 @dataclass(frozen=True)
@@ -132,8 +130,38 @@ def fingerprints(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary")
 
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+
+
+def pivots(fp: np.ndarray, references: int) -> np.ndarray:
+    """The pivot table's rows: Hamming distances of fingerprints (n, words) to the reference fingerprints, 255 at most (that widens no difference)."""
+    at = np.random.default_rng(11).integers(0, 1 << 63, (references, fp.shape[1]), np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.stack([np.minimum(_apart(fp ^ r), 255) for r in at], axis=1).astype(np.uint8) if len(fp) else np.zeros((0, references), np.uint8)
+
+
+def _far(far: np.ndarray, x: np.ndarray, y: np.ndarray, max_diff: int) -> np.ndarray:
+    """Which of the pairs x, y no reference tells apart: no coordinate differs by more than max_diff."""
+    return (np.maximum(far[x], far[y]) - np.minimum(far[x], far[y])).max(axis=1, initial=0) <= max_diff
+
+
+def _matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype)
+
+
+def _tabled(rule: Rule):
+    """Adds to rows with `fp` the column `far`, their rows of the pivot table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            far = pivots(_matrix(rb.column("fp"), np.uint64), rule.references)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([x.tobytes() for x in far], pa.binary())], [*rb.schema.names, "far"])
+
+    return run
+
+
 def _blocks(rule: Rule):
-    """(fp) -> (key, node, fp): a row for each set of bits."""
+    """(node, fp, far) -> (key, node, fp, far): a row for each set of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = rule.masks()
@@ -145,40 +173,33 @@ def _blocks(rule: Rule):
                 key = np.full(len(fp), t + 1, np.uint64)
                 for x in (fp & mask).T:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ x)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rb.column("node"), rb.column("fp")], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(rb.column(x) for x in ("node", "fp", "far"))], ["key", "node", "fp", "far"])
 
     return run
 
 
-def _apart(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-
-
 def _links(rule: Rule):
-    """Whole blocks (key, node, fp, tile) -> (a, b): enough links to hold each block's groups together."""
+    """Whole blocks (key, node, fp, far) -> (a, b): enough links to hold each block's groups together."""
 
     def fn(t: pa.Table) -> pa.RecordBatch:
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), -1)
         many = np.append(False, key[1:] == key[:-1]) | np.append(key[1:] == key[:-1], False)
-        key, node, fp = key[many], node[many], fp[many]
+        key, node, fp, far = key[many], node[many], _matrix(t.column("fp"), np.uint64)[many], _matrix(t.column("far"), np.uint8)[many]
         a, b = [], []
         if len(key):
-            rng = np.random.default_rng(11)
-            references = rng.integers(0, 1 << 63, (rule.references, fp.shape[1]), np.uint64) * np.uint64(2) + np.uint64(1)
-            far = np.stack([_apart(fp ^ r) for r in references], axis=1).astype(np.int16)  # the pivot table
             o = np.lexsort((far[:, 0], key))
             key, node, fp, far = key[o], node[o], fp[o], far[o]
+            first = far[:, 0].astype(np.int16)
             group = np.arange(len(key))
             i, step = np.arange(len(key)), 0
             while True:
                 step += 1
                 i = i[i + step < len(key)]
-                i = i[(key[i + step] == key[i]) & (far[i + step, 0] - far[i, 0] <= rule.max_diff)]  # sorted: further ones are no nearer
+                i = i[(key[i + step] == key[i]) & (first[i + step] - first[i] <= rule.max_diff)]  # sorted: further ones are no nearer
                 if not len(i):
                     break
                 x = i[group[i] != group[i + step]]
-                x = x[np.abs(far[x] - far[x + step]).max(axis=1, initial=0) <= rule.max_diff]
+                x = x[_far(far, x, x + step, rule.max_diff)]
                 x = x[_apart(fp[x] ^ fp[x + step]) <= rule.max_diff]
                 if len(x):
                     a.append(node[x])
@@ -196,15 +217,16 @@ def _links(rule: Rule):
 
 def links(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that join what lies within rule.max_diff, from (node, fp), fps distinct."""
-    rows = nodes.select("node", "fp").mapInArrow(_blocks(rule), "key long, node long, fp binary")
+    tabled = nodes.select("node", "fp").mapInArrow(_tabled(rule), "node long, fp binary, far binary")
+    rows = tabled.mapInArrow(_blocks(rule), "key long, node long, fp binary, far binary")
     large = table(rows.groupBy("key").count().where(F.col("count") > TILE).select(F.col("key").alias("hot"), F.ceil(F.col("count") / TILE).alias("tiles")), "large-blocks")
     if large.isEmpty():
         return _dealt(rows, rule)
     rows = rows.join(large, F.col("key") == F.col("hot"), "left")
-    cold = rows.where("hot IS NULL").select("key", "node", "fp")
+    cold = rows.where("hot IS NULL").select("key", "node", "fp", "far")
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     tiled = rows.where("hot IS NOT NULL").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiled = tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "fp")
+    tiled = tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "fp", "far")
     return _dealt(cold.unionByName(tiled), rule)
 
 
@@ -219,8 +241,8 @@ def groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     of only such rows has a null component_id.
     """
     fp = table(fingerprints(docs, rule), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("low")).select(F.xxhash64("fp").alias("node"), "fp", "low")
-    nodes = table(nodes, "nodes")
+    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
+    nodes = table(nodes, "nodes")  # written: the numbers stay
     roots = components(links(nodes, rule))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -263,16 +285,17 @@ def _prefix(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: fl
 
 
 def _profiles(rule: Rule, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """(doc_id, text) -> (doc_id, node, fp, n, keys): the shingle set's key, the fingerprint of its members, each once, its size and its prefix."""
+    """(text, low) -> (of, low, fp, n, keys, far): 128 bits that stand for the shingle set, the fingerprint of its members, each once, its size, its prefix and its row of the pivot table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = []
             for t in rb.column("text"):
                 x = shingles(t.as_py(), rule.words)
-                rows.append((_node(x), _majority([x], rule.bits), len(x), _prefix(x, common, similarity).tobytes()))
-            node, fp, n, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "node", "fp", "n", "keys"])
+                rows.append((xxhash.xxh3_128_digest(x.tobytes()), _majority([x], rule.bits), len(x), _prefix(x, common, similarity).tobytes()))
+            of, fp, n, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
+            far = pivots(_matrix(pa.array(fp, pa.binary()), np.uint64), rule.references)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.binary()), rb.column("low"), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in far], pa.binary())], ["of", "low", "fp", "n", "keys", "far"])
 
     return run
 
@@ -285,24 +308,19 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(node)], ["key", "node"])
 
 
-def _node(x: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
-
-
 def _sets(rule: Rule):
-    """(doc_id, node, text) -> (node, members) of the texts that have the set `node`."""
+    """(node, text) -> (node, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            sets = [shingles(t.as_py(), rule.words) for t in rb.column("text")]
-            rows = [(k, x.tobytes()) for k, x in zip(rb.column("node").to_pylist(), sets, strict=True) if _node(x) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["node", "members"])
+            sets = [shingles(t.as_py(), rule.words).tobytes() for t in rb.column("text")]
+            yield pa.RecordBatch.from_arrays([rb.column("node"), pa.array(sets, pa.binary())], ["node", "members"])
 
     return run
 
 
 def _candidates(max_diff: int, similarity: float, spanning: bool):
-    """Whole blocks (key, side, node, fp, n, part) -> (a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
+    """Whole blocks (key, side, node, fp, far, n, part) -> (a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
 
     side: -1, or which of two tiles; then only pairs across count. `spanning`: only enough pairs to hold together what would link if all were verified.
     """
@@ -310,7 +328,7 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
     def fn(t: pa.Table) -> pa.RecordBatch:
         key, side, node, n, part = (t.column(x).to_numpy() for x in ("key", "side", "node", "n", "part"))
         o = np.lexsort((n, key))
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), -1)[o]
+        fp, far = _matrix(t.column("fp"), np.uint64)[o], _matrix(t.column("far"), np.uint8)[o]
         key, side, node, n, part = key[o], side[o], node[o], n[o], part[o]
         group = np.unique(np.stack([key, part], axis=1), axis=0, return_inverse=True)[1].ravel()
         low = np.arange(int(group.max(initial=-1)) + 1)
@@ -324,6 +342,7 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
                 break
             x = i[(side[i] < 0) | (side[i] != side[i + step])]
             x = x[low[group[x]] != low[group[x + step]]]
+            x = x[_far(far, x, x + step, max_diff)]
             x = x[_apart(fp[x] ^ fp[x + step]) <= max_diff]
             if len(x):
                 a.append(np.minimum(node[x], node[x + step]))
@@ -364,7 +383,7 @@ def _blocked(nodes: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float) -> DataFrame:
-    """Verified links (a, b) between `nodes` (node, low, fp, n, keys) that hold all groups of the similarity together.
+    """Verified links (a, b) between `nodes` (node, low, fp, far, n, keys) that hold all groups of the similarity together; docs: (low, text).
 
     First come pairs that are most likely near copies, as few as a block needs. What these join is then one part,
     and all other pairs of a block, those between parts, are verified.
@@ -372,16 +391,16 @@ def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float)
     blocks = _blocked(nodes)
 
     def verified(part: DataFrame, max_diff: int, spanning: bool) -> DataFrame:
-        rows = blocks.join(part.select("node", "fp", "n", "part"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+        rows = blocks.join(part.select("node", "fp", "far", "n", "part"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
-        tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "n", "part")
+        tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "far", "n", "part")
         pairs = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_diff, similarity, spanning), "a long, b long").distinct()
         pairs = table(pairs, "near-pairs")
         named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        named = nodes.select("node", F.col("low").alias("doc_id")).join(named, "node")
-        sets = docs.select("doc_id", "text").join(named, "doc_id").select("node", "text").mapInArrow(_sets(rule), "node long, members binary")
-        sets = table(sets.dropDuplicates(["node"]), "near-sets")
+        named = nodes.select("node", "low").join(named, "node")
+        sets = docs.join(named, "low").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(rule), "node long, members binary")
+        sets = table(sets, "near-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
         out = table(both.select("a", "b", "of_a", "of_b").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
         drop(pairs, sets)
@@ -395,15 +414,27 @@ def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float)
 
 
 def keep_one(docs: DataFrame, rule: Rule = NEAR, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that have their group's smallest doc_id, one row for each; rows without doc_id stay.
+    """The rows of `docs` of which one stands for each group of near copies.
 
     Documents link if the sets of their shingles have at least this Jaccard similarity; sets without a member are alike.
+    Of a group the row of the smallest doc_id stays, of several texts of that doc_id the one of the smallest MD5 (a null text counts as
+    an empty one), of rows equal in both the one whose JSON is smallest. Rows of one doc_id that aren't near copies all
+    stay, as do rows without doc_id. Columns of `docs` may have any names.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    profiles = known.select("doc_id", "text").mapInArrow(_profiles(rule, similarity, _common(known, rule)), "doc_id long, node long, fp binary, n long, keys binary")
-    nodes = table(profiles.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("fp", "n", "keys")]), "nodes")
-    roots = components(near_links(known, nodes, rule, similarity))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    low = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    known = docs.where("doc_id IS NOT NULL").select(low.alias("low"), "text", row.alias("row"))
+    common = _common(known.select(F.col("low.doc_id").alias("doc_id"), "text"), rule)
+    kinds = "of binary, low struct<doc_id:bigint,text:string>, fp binary, n long, keys binary, far binary"
+    profiles = known.select("text", "low").mapInArrow(_profiles(rule, similarity, common), kinds)
+    nodes = profiles.groupBy("of").agg(F.min("low").alias("low"), *[F.first(x).alias(x) for x in ("fp", "n", "keys", "far")]).drop("of")
+    nodes = table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written: the numbers stay
+    roots = components(near_links(known.select("low", "text"), nodes, rule, similarity))
     grouped = nodes.select("node", "low").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
-    found = grouped.groupBy("root").agg(F.min("low").alias("kept_id")).select("kept_id").distinct()
-    rows = known.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    found = grouped.groupBy("root").agg(F.min("low").alias("low")).select("low")
+    rows = known.select("low", "row").join(found, "low", "left_semi")
+    same = known.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
+    once, again = rows.join(same, "low", "left_anti"), rows.join(same, "low", "left_semi")
+    again = again.groupBy("low").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    kept = once.unionByName(again).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -12,6 +12,7 @@ import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.llm import embedding_dedup, licenses, media, mixing, packing, simhash, suffix_dedup, suffix_groups, token_counts, toxicity, url_filter
 from larkspur.llm.queries import tokenizer
@@ -616,3 +617,15 @@ def test_license_spans_by_brute_force():
         k = len(notice) // licenses.LETTERS_PER_ERROR
         m = regex.search(rb"(?b)(?:" + regex.escape(notice).encode() + b"){e<=%d}" % k, line)
         assert m and any(abs(a - m.start()) <= k and abs(b - m.end()) <= k and e == sum(m.fuzzy_counts) for a, b, e in mine)
+
+
+def test_near_copies_lose_no_row(spark):
+    """Rows of one doc_id with unlike texts all stay, whatever the other columns are called."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a"), "x", 1), (1, text("b"), "x", 1), (1, text("a"), "y", 1), (1, text("a"), "y", 1), (2, text("a"), "z", 2), (3, text("b") + " more", "z", 3), (None, text("a"), "n", 4), (None, None, "n", 4), (5, None, "e", 5), (4, "", "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, `a.b` int").withColumns({c: F.lit(c) for c in ("low", "row", "node", "of", "root")})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text, r.kept_id) for r in got.collect()), key=str)
+    assert kept == sorted([(1, text("a"), "x"), (1, text("b"), "x"), (None, text("a"), "n"), (None, None, "n"), (4, "", "e")], key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
