@@ -6,8 +6,7 @@ suffixes pointed at are moved, by how often, into new groups behind what is left
 Then one pass from the least suffix on follows the pointers and emits each group's order. Nothing is
 renamed and nothing recurses.
 
-`arrays` works on many short blocks in step, one group of each block at a time, in numpy; `one` takes
-a single long block.
+`arrays` works on many short blocks in step, one group of each block at a time, in numpy.
 """
 
 from __future__ import annotations
@@ -15,61 +14,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def one(s: list[int]) -> list[int]:
-    """The suffix array of `s`, whose last value is less than all others."""
-    n = len(s)
-    sa = sorted(range(n), key=s.__getitem__)
-    at, group, last = [0] * n, [0] * n, [0] * n
-    for x, i in enumerate(sa):
-        at[i] = x
-        group[i] = group[sa[x - 1]] if x and s[sa[x - 1]] == s[i] else x
-        last[group[i]] = x
-    prev = [-1] * n
-    end = n - 1
-    while end >= 0:
-        g = group[sa[end]]
-        times: dict[int, int] = {}
-        for i in sorted(sa[g : end + 1]):
-            p = i - 1
-            while p >= 0 and group[p] > g:
-                p = prev[p]
-            if p >= 0 and group[p] == g:
-                p = prev[p]
-            prev[i] = p
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        moved: dict[int, list[int]] = {}
-        for p in sorted(times, key=times.__getitem__, reverse=True):
-            moved.setdefault(group[p], []).append(p)
-        for old, ps in moved.items():  # most often pointed at first, from the group's end
-            x = 0
-            while x < len(ps):
-                y = x
-                while y < len(ps) and times[ps[y]] == times[ps[x]]:
-                    slot, p = last[old] - (y - x), ps[y]
-                    q, here = sa[slot], at[p]
-                    sa[slot], sa[here], at[p], at[q] = p, q, slot, here
-                    y += 1
-                new, new_last = last[old] - (y - x) + 1, last[old]
-                last[old] = new - 1
-                last[new] = new_last
-                for p in ps[x:y]:
-                    group[p] = new
-                x = y
-        end = g - 1
-    out, front, placed = [-1] * n, list(range(n)), [False] * n
-    out[0], placed[n - 1] = n - 1, True
-    for x in range(n):
-        j = out[x] - 1
-        while j >= 0 and not placed[j]:
-            g = group[j]
-            out[front[g]] = j
-            front[g] += 1
-            placed[j] = True
-            j = prev[j]
-    return out
-
-
 def arrays(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Suffix arrays of the blocks of `s` that begin at `begin`; each block's last value is less than its others.
 

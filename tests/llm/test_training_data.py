@@ -64,7 +64,6 @@ def test_suffix_arrays(blocks):
     got = suffix_groups.arrays(np.array(sum(blocks, [])), begin)
     for b, at in zip(blocks, begin, strict=True):
         want = sorted(range(len(b)), key=lambda i: b[i:])
-        assert suffix_groups.one(b) == want
         assert [x - at for x in got[at : at + len(b)]] == want
 
 
@@ -89,37 +88,62 @@ def brute_spans(rows, span=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("long_block", "hot"), [(0, 20_000), (6000, 20_000), (6000, 3), (6000, 1)])
-def test_suffix_dedup(docs, rows, none, long_block, hot, monkeypatch):
+@pytest.mark.parametrize(("long_block", "key_strings"), [(6000, 50_000), (0, 50_000), (500, 3), (6000, 0)])
+def test_suffix_dedup(docs, rows, none, long_block, key_strings, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LONG_BLOCK", long_block)
-    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "KEY_STRINGS", key_strings)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
     got = sorted((tuple(r) for r in suffix_dedup.digest(docs).collect()), key=str)
     assert got == brute_spans(rows)
     assert suffix_dedup.digest(none).count() == 0
 
 
-@pytest.mark.parametrize(("texts", "times", "hot"), [(1200, 1, True), (2, 700, True), (600, 1, False), (1, 1400, None)])
-def test_suffix_counts_strings_of_a_part(texts, times, hot):
-    """A key is split by the number of its strings, however few the parts or texts that hold them; none of one text is kept."""
+@pytest.mark.parametrize(("long_block", "gram"), [(0, 24), (300, 24), (300, 37), (6000, 24)])
+def test_least_of_windows(long_block, gram, monkeypatch):
+    """Blocks of strings cut finer and finer give what comparing all windows gives."""
+    monkeypatch.setattr(suffix_dedup, "LONG_BLOCK", long_block)
+    rng = random.Random(3)
+    letters = lambda k: "".join(rng.choice("ab") for _ in range(k)).encode()
+    common = letters(70)
+    strings, block = [], []
+    for b in range(4):
+        for _ in range(rng.randint(1, 40)):
+            at = rng.randrange(20)
+            strings.append(rng.choice([letters(rng.randint(50, 113)), letters(rng.randint(0, 20)) + common[at : at + 50] + letters(rng.randint(0, 20)), b"a" * rng.randint(50, 113)]))
+            block.append(b)
+    doc = np.array([rng.randrange(1000) for _ in strings])
+    want = {}
+    for x, b, d in zip(strings, block, doc, strict=True):
+        for i in range(len(x) - 49):
+            want[b, x[i : i + 50]] = min(want.get((b, x[i : i + 50]), d), d)
+    got = suffix_dedup._least(strings, np.array(block), doc, 50, gram)
+    assert got.tolist() == [want[b, x[i : i + 50]] for x, b in zip(strings, block, strict=True) for i in range(len(x) - 49)]
+
+
+@pytest.mark.parametrize(("texts", "times", "short", "hot"), [(1200, 1, False, False), (1200, 1, True, True), (2, 700, False, False), (1, 1400, True, None)])
+def test_suffix_keys_of_many_strings(texts, times, short, hot):
+    """A passage that all share is one string however often it stands; a short one in many surroundings is many. None of one text is kept."""
     rng = random.Random(9)
     text = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
-    line = text(150)
+    line = text(30 if short else 150)
     some = ["".join(text(60) + line for _ in range(times)) for _ in range(texts)]
     z = [zstandard.compress(x.encode()) for x in some]
-    every = pa.table({"doc": range(texts), "text_key": range(texts), "z": pa.array(z, pa.binary())})
-    known = pa.table({"part": [0] * texts, "kind": [0] * texts, "doc": range(texts), "text_key": range(texts), "tag": [0] * texts})
+    ids = [str(i).encode() for i in range(texts)]
+    every = pa.table({"doc": range(texts), "text_key": pa.array(ids, pa.binary()), "z": pa.array(z, pa.binary())})
+    known = pa.table({"part": [0] * texts, "kind": [0] * texts, "doc": range(texts), "text_key": pa.array(ids, pa.binary())})
     sketch = suffix_dedup._sketch(1, 50)(every, known)
-    got = [np.frombuffer(x, np.uint64) for rb in suffix_dedup._shared(1000)(iter(sketch.to_batches())) for x in rb.column("keys").to_pylist()]
-    assert hot is None if not got else bool((np.concatenate(got) & suffix_dedup.HOT > 0).any()) == hot
+    got = [np.frombuffer(x, np.uint64) for rb in suffix_dedup._shared(50)(iter(sketch.to_batches())) for x in rb.column("keys").to_pylist()]
+    if hot is None:
+        assert not got
+    else:
+        marked = np.concatenate(got) & suffix_dedup.HOT > 0
+        assert marked.any() if hot else (~marked).sum() > 1  # at a passage's ends surroundings differ too
 
 
 @pytest.mark.parametrize("step", [1, 50])
-def test_suffix_windows_in_steps(docs, rows, none, step, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "STEP_WINDOWS", step)
-    want = sorted(map(str, suffix_dedup.digest(docs).collect()))
-    monkeypatch.undo()
-    assert sorted(map(str, suffix_dedup.digest(docs).collect())) == want
+def test_suffix_runs_in_steps(docs, rows, none, step, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP_RUNS", step)
+    assert sorted((tuple(r) for r in suffix_dedup.digest(docs).collect()), key=str) == brute_spans(rows)
 
 
 def test_suffix_cut(docs, rows, none):
@@ -138,6 +162,8 @@ def test_suffix_cut(docs, rows, none):
                 if all(ord(c) < 128 for c in whole):
                     assert hashlib.sha256(raw).hexdigest() == d[0][1]
     assert suffix_dedup.cut(none).count() == 0
+    odd = docs.withColumns({"a.b": F.lit(1), "no_text_0": F.lit(2), "row": F.lit(3), "doc": F.lit(4), "part": F.lit(5)})
+    assert suffix_dedup.cut(odd).columns == odd.columns and {tuple(r) for r in suffix_dedup.cut(odd).select("`a.b`", "no_text_0", "row", "doc", "part").collect()} == {(1, 2, 3, 4, 5)}
 
 
 def brute_fingerprint(text, k=3):
