@@ -39,22 +39,20 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_runs(batches: Iterator[pa.RecordBatch], key: str, fn: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Calls `fn` on whole runs of equal `key` (long) of a partition sorted by it; holds one batch and one run at most."""
+def by_runs(batches: Iterator[pa.RecordBatch], key: str, fn: Callable[[pa.Table], pa.RecordBatch], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """Calls `fn` on whole runs of equal `key` (long) of a partition sorted by it, `least` rows or more at once; holds these, one batch and one run at most."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, rows = None, 0
     for rb in batches:
         if not rb.num_rows:
             continue
         k = rb.column(key).to_numpy(zero_copy_only=False)
-        if held and k[0] == k[-1] == last:
-            held.append(rb)
-            continue
-        cut = int(np.searchsorted(k, k[-1]))
-        if cut or (held and k[0] != last):
+        cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
+        if rows + cut >= least and (cut or (held and k[0] != last)):
             yield fn(pa.Table.from_batches([*held, rb.slice(0, cut)]))
-            held = []
-        held.append(rb.slice(cut))
+            held, rows = [], -cut
+        held.append(rb.slice(-rows if rows < 0 else 0))
+        rows += rb.num_rows
         last = k[-1]
     if held:
         yield fn(pa.Table.from_batches(held))

@@ -40,8 +40,10 @@ RUN = 64
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Text whose keys are made at once.
 STEP_BYTES = 1 << 20
-#: A block of more bytes than this is cut into blocks of longer strings before it is sorted.
-LONG_BLOCK = 6000
+#: A block of more bytes than this is cut into blocks of longer strings before it is sorted, as blocks are sorted in step with the longest.
+LONG_BLOCK = 1000
+#: Rows whose blocks are sorted together, at least.
+TOGETHER = 20_000
 #: Distinct strings of a key, summed over parts, beyond which its windows become keys of their own (some 100 bytes each: 6 MB).
 KEY_STRINGS = 50_000
 #: Runs of windows that are compared at once.
@@ -363,7 +365,7 @@ def _cover(span: int):
         row, run = (np.concatenate(v) for v in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (part[row], s1[row], s2[row], begin[run], windows[run], value[run])], ["part", "s1", "s2", "at", "windows", "least"])
 
-    return lambda batches: by_runs(batches, "key", fn)
+    return lambda batches: by_runs(batches, "key", fn, TOGETHER)
 
 
 def _gaps(begin: np.ndarray, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:

@@ -655,3 +655,18 @@ def test_near_copies_lose_no_row(spark):
     kept = sorted(((r.doc_id, r.text, r.kept_id) for r in got.collect()), key=str)
     assert kept == sorted([(1, text("a"), "x"), (1, text("b"), "x"), (None, text("a"), "n"), (None, None, "n"), (4, "", "e")], key=str)
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+@given(st.lists(st.integers(0, 4), max_size=40), st.integers(1, 9), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_runs_are_whole(keys, size, least):
+    from larkspur.llm.shared import by_runs
+
+    keys = sorted(keys)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size], pa.int64())], ["key"]) for i in range(0, len(keys), size)]
+    seen = []
+    for t in by_runs(iter(batches), "key", lambda t: t, least):
+        got = t.column("key").to_pylist()
+        assert got and (not seen or got[0] != seen[-1])
+        seen += got
+    assert seen == keys
