@@ -504,7 +504,7 @@ def test_toxicity(spark, none):
 def test_long_text_scores_as_a_whole():
     rng = np.random.default_rng(0)
     setup = toxicity.Setup(buckets=512, epochs=1)
-    model = toxicity.fit([(" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) + " bad" * (i % 2), i % 2, "en") for i in range(60)], setup)
+    model = toxicity.fit([(toxicity.hashed(" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) + " bad" * (i % 2), setup), i % 2, "en") for i in range(60)], setup)
     text = " ".join(f"w{x}" for x in rng.integers(0, 50, 500))
     whole = toxicity.Scorer(model).logit(text)
     step, toxicity.STEP = toxicity.STEP, 37
@@ -670,3 +670,56 @@ def test_runs_are_whole(keys, size, least):
         assert got and (not seen or got[0] != seen[-1])
         seen += got
     assert seen == keys
+
+
+def small_net(seed=0):
+    rng = np.random.default_rng(seed)
+    setup = toxicity.Setup(buckets=40, dims=3, filters=2)
+    model = toxicity.Model(setup, rng.standard_normal((41, 3)), [rng.standard_normal((w, 3, 2)) for w in toxicity.WIDTHS], [rng.standard_normal(2) for _ in toxicity.WIDTHS], rng.standard_normal(6), 0.3)
+    model.embed[-1] = 0
+    texts = ["one two three four two", "", "x", "alpha beta", "The the THE one's two-three", "é " * 9]
+    return model, texts, toxicity.Words.of([toxicity.hashed(t, setup) for t in texts], 40)
+
+
+def plain_logit(model, text):
+    """The net by loops: sums of embeddings, filters at every place, maxima, logistic layer."""
+    v = [sum(model.embed[i] for i in toxicity._ids(w, model.setup.buckets)) for w in toxicity.words(text)]
+    zero = np.zeros(model.setup.dims)
+    acts = []
+    for w, width in enumerate(toxicity.WIDTHS):
+        for f in range(model.setup.filters):
+            at = [sum((v[i + k] if i + k < len(v) else zero) @ model.conv[w][k][:, f] for k in range(width)) for i in range(max(1, len(v)))]
+            acts.append(max(0.0, max(at) + model.bias[w][f]))
+    return float(np.array(acts) @ model.out + model.const)
+
+
+def test_toxicity_net_by_loops():
+    model, texts, of = small_net()
+    want = [plain_logit(model, t) for t in texts]
+    got, _ = toxicity.gradients(model, of, np.arange(len(texts)), np.zeros(len(texts)))
+    assert got == pytest.approx(want, abs=1e-9)
+    assert [toxicity.Scorer(model).logit(t) for t in texts] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_gradients():
+    """Against differences of the loss."""
+    model, texts, of = small_net(3)
+    y, every = np.array([1, 0, 1, 0, 1, 0]), np.arange(len(texts))
+
+    def loss():
+        z, _ = toxicity.gradients(model, of, every, y)
+        return float(np.sum(np.log1p(np.exp(z)) - y * z))
+
+    _, g = toxicity.gradients(model, of, every, y)
+    embed = np.zeros_like(model.embed)
+    embed[g["embed"][0]] = g["embed"][1]
+    pairs = [(model.out, g["out"]), *zip(model.bias, g["bias"], strict=True), *zip(model.conv, g["conv"], strict=True), (model.embed[:-1], embed[:-1])]
+    for x, dx in pairs:
+        for i in range(0, x.size, max(1, x.size // 25)):
+            old = x.flat[i]
+            x.flat[i] = old + 1e-6
+            up = loss()
+            x.flat[i] = old - 1e-6
+            down = loss()
+            x.flat[i] = old
+            assert dx.flat[i] == pytest.approx((up - down) / 2e-6, abs=1e-4)
