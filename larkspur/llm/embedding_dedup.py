@@ -363,3 +363,14 @@ def dedup(vectors: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     out = out.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: For the threshold 0.93: all pairs, and what they reach.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS root, vec_id AS node FROM embeddings UNION SELECT root, b FROM r JOIN l ON node = a),
+c AS (SELECT node AS vec_id, min(root) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""

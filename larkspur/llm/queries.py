@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_embedding_dedup": embedding_dedup.SQL}

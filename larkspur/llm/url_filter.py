@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for what no rule fits.
 
-DataFrame functions and Spark's own tree learner only. The trees are trained on labelled URLs, a
-bounded sample of them; a suffix's statistics come from that sample.
+DataFrame functions and Spark's own tree learner only. The trees are trained on a bounded sample of the
+distinct labelled URLs. A suffix's statistics come from all labelled URLs; a URL that is trained on has those of the
+other folds only, so that its own label says nothing about it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.shared import drop, table
+
 #: Fixed values: (verdict, rule).
 RULES = (
     ("allow", "com/"),
@@ -79,17 +82,34 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of the labelled URLs; more suffixes than this are joined by a shuffle instead of a broadcast.
+FOLDS, BROADCAST_SUFFIXES = 5, 50_000
+
+
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 @dataclass
 class Filter:
-    """A trained filter. suffixes: statistics of the suffixes of the sample, at most as many as it has rows."""
+    """A trained filter. counts: (suffix, fold, rows, blocked) of all labelled URLs, written down."""
 
     model: GBTClassificationModel | None
-    suffixes: DataFrame
+    counts: DataFrame
+    few: bool  # whether the suffixes may be broadcast
     share: float  # of blocked rows; what is judged where there was nothing to learn
 
-    def features(self, urls: DataFrame) -> DataFrame:
-        rows = urls.join(F.broadcast(self.suffixes), "suffix", "left")
-        rows = rows.withColumns({"suffix_rows": F.coalesce("suffix_rows", F.lit(0.0)), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(self.share))})
+    def features(self, urls: DataFrame, known: bool = False) -> DataFrame:
+        """`known`: of labelled URLs, whose own fold doesn't count."""
+        hint = F.broadcast if self.few else lambda df: df
+        sums = [F.sum("rows").alias("s_rows"), F.sum("blocked").alias("s_blocked")]
+        rows = urls.join(hint(self.counts.groupBy("suffix").agg(*sums)), "suffix", "left")
+        n, k = F.coalesce("s_rows", F.lit(0)), F.coalesce("s_blocked", F.lit(0.0))
+        if known:
+            own = self.counts.select("suffix", F.col("fold").alias("own_fold"), F.col("rows").alias("own_rows"), F.col("blocked").alias("own_blocked"))
+            rows = rows.withColumn("own_fold", fold(F.col("url"))).join(hint(own), ["suffix", "own_fold"], "left")
+            n, k = n - F.coalesce("own_rows", F.lit(0)), k - F.coalesce("own_blocked", F.lit(0.0))
+        rows = rows.withColumns({"suffix_rows": F.log1p(n.cast("double")), "suffix_blocked": (k + self.share) / (n + 1)})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
     def judge(self, urls: DataFrame) -> DataFrame:
@@ -101,20 +121,19 @@ class Filter:
 
 
 def train(labelled: DataFrame, setup: Setup = Setup()) -> Filter:
-    """From `lexical` rows with blocked (0 or 1): those of least hash, setup.max_rows of them at most."""
-    half = setup.max_rows // 2
-    some = [labelled.where(F.col("blocked") == k).orderBy(F.xxhash64("url"), "url").limit(half) for k in (0.0, 1.0)]
-    rows = some[0].unionByName(some[1]).cache()
-    n = {r.blocked: r.n for r in rows.groupBy("blocked").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = n.get(1.0, 0) / max(1, sum(n.values()))
-    stats = rows.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_rows"), ((F.sum("blocked") + share) / (F.count(F.lit(1)) + 1)).alias("suffix_blocked")).collect()
-    spark = labelled.sparkSession
-    suffixes = spark.createDataFrame([tuple(r) for r in stats], "suffix string, suffix_rows double, suffix_blocked double")
-    out = Filter(None, suffixes, share)
-    if len(n) == 2:
+    """From `lexical` rows with blocked (0 or 1): statistics of all, trees of the distinct URLs of least hash, setup.max_rows of them at most."""
+    counts = table(labelled.groupBy("suffix", fold(F.col("url")).alias("fold")).agg(F.count(F.lit(1)).alias("rows"), F.sum("blocked").alias("blocked")), "suffixes")
+    total = counts.agg(F.sum("rows").alias("rows"), F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("n")).first()
+    share = (total.blocked or 0.0) / max(1, total.rows or 0)
+    out = Filter(None, counts, total.n <= BROADCAST_SUFFIXES, share)
+    if 0 < share < 1:
+        half = setup.max_rows // 2
+        distinct = labelled.dropDuplicates(["url"])
+        some = [distinct.where(F.col("blocked") == k).orderBy(F.xxhash64("url"), "url").limit(half) for k in (0.0, 1.0)]
+        rows = table(out.features(some[0].unionByName(some[1]), True).select("features", "blocked"), "sample")
         boost = GBTClassifier(featuresCol="features", labelCol="blocked", maxIter=setup.trees, maxDepth=setup.depth, seed=setup.seed)
-        out.model = boost.fit(out.features(rows).select("features", "blocked"))
-    rows.unpersist()
+        out.model = boost.fit(rows)
+        drop(rows)
     return out
 
 
@@ -133,3 +152,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, setup: S
     judged = train(labelled, setup).judge(rows)
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+
+
+#: Host, path and rule alone, in DuckDB; the trees can't be expressed.
+SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(rule, rhost, rpath) AS (VALUES ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('www.example.com/en/', 'www.example.com', '/en/'), ('net/es/', 'net', '/es/'), ('net/fr/', 'net', '/fr/'))
+SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule FROM p
+"""

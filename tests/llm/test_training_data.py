@@ -723,3 +723,34 @@ def test_toxicity_gradients():
             down = loss()
             x.flat[i] = old
             assert dx.flat[i] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
+def test_url_trees_on_unseen_urls(spark):
+    """Suffixes that stand once say nothing, and so don't hide what the letters say; repeated rows and a very long URL change nothing."""
+    rng = random.Random(7)
+    url = lambda i, bad: f"http://h{i}.s{i}/" + ("/".join(str(rng.randrange(10**6)) for _ in range(rng.randint(3, 5))) if bad else "/".join(rng.choice(["news", "about"]) for _ in range(rng.randint(1, 3))))
+    rows = [(url(i, i % 2), float(i % 2)) for i in range(800)]
+    rows += [rows[3]] * 300 + [("http://long.s/" + "a/" * 50_000, 0.0)]
+    df = spark.createDataFrame(rows, "url string, blocked double")
+    host, path = url_filter.parts(F.col("url"))
+    lexical = lambda d: url_filter.lexical(d.withColumn("host", host).withColumn("path", path))
+    trained = url_filter.train(lexical(df), url_filter.Setup(trees=5))
+    fresh = spark.createDataFrame([(url(10_000 + i, i % 2), float(i % 2)) for i in range(300)], "url string, blocked double")
+    assert trained.judge(lexical(fresh)).where("(score >= 0.5) = (blocked = 1)").count() >= 290
+
+
+def test_url_rules_in_sql(spark):
+    """Host, path and rule of whole pages, by DuckDB."""
+    import duckdb
+
+    want = sorted(duckdb.sql(url_filter.SQL.replace("FROM pages", "FROM '/root/testdata/sf0.001/pages.parquet'")).fetchall(), key=str)
+    got = url_filter.judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).select("page_id", "host", "path", "rule")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_embedding_sql(spark):
+    import duckdb
+
+    want = sorted(duckdb.sql(embedding_dedup.SQL.replace("FROM embeddings", "FROM '/root/testdata/sf0.001/embeddings.parquet'")).fetchall())
+    got = embedding_dedup.dedup(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"] and sorted(map(tuple, got.collect())) == want
