@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.geo import within_radius
 from larkspur.functions.text import fold, similarity
+from larkspur.scratch import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -54,13 +55,9 @@ def match(candidates: DataFrame, properties: DataFrame, rules: Rules = Rules())
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        df.sparkSession.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larkspur-"))
-    sc = df.sparkSession.sparkContext
+    sc, named = df.sparkSession.sparkContext, scratch_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        sc.setCheckpointDir(named)
     return df.checkpoint()
 
 
