@@ -75,6 +75,8 @@ SURE = 40
 COUNTED, RANKED = 10_000, 200_000
 #: A block of near copies of more rows than this is dealt out as pairs of tiles.
 NEAR_TILE = 2048
+#: Sets are verified in so many places that they fill each with some 40 times this at most, as a set has about as many keys.
+PLACE_BYTES = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -320,7 +322,7 @@ def _sets(rule: Rule):
 
 
 def _candidates(max_diff: int, similarity: float, spanning: bool):
-    """Whole blocks (key, side, node, fp, far, n, part) -> (a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
+    """Whole blocks (key, side, node, fp, far, n, part) -> (key, a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
 
     side: -1, or which of two tiles; then only pairs across count. `spanning`: only enough pairs to hold together what would link if all were verified.
     """
@@ -332,7 +334,7 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
         key, side, node, n, part = key[o], side[o], node[o], n[o], part[o]
         group = np.unique(np.stack([key, part], axis=1), axis=0, return_inverse=True)[1].ravel()
         low = np.arange(int(group.max(initial=-1)) + 1)
-        a, b = [], []
+        at, a, b = [], [], []
         i, step = np.arange(len(key)), 0
         while True:
             step += 1
@@ -345,6 +347,7 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
             x = x[_far(far, x, x + step, max_diff)]
             x = x[_apart(fp[x] ^ fp[x + step]) <= max_diff]
             if len(x):
+                at.append(key[x])
                 a.append(np.minimum(node[x], node[x + step]))
                 b.append(np.maximum(node[x], node[x + step]))
                 if spanning:
@@ -355,22 +358,22 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
                     for _ in range(3):
                         low = low[low]
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([cat(at), cat(a), cat(b)], ["key", "a", "b"])
 
     return lambda batches: by_runs(batches, "key", fn)
 
 
 def _similar(similarity: float):
-    """(a, b, of_a, of_b) -> the (a, b) whose sets have at least this Jaccard similarity."""
+    """Pairs (a, b) and the sets (node, members) of all of them -> the (a, b) whose sets have at least this Jaccard similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            keep = []
-            for x, y in zip(rb.column("of_a"), rb.column("of_b"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield rb.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of = {k: np.frombuffer(x.as_buffer(), np.uint64) for k, x in zip(sets.column("node").to_pylist(), sets.column("members").combine_chunks(), strict=True)}
+        keep = []
+        for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = of[x], of[y]
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -395,14 +398,19 @@ def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
         tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "far", "n", "part")
-        pairs = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_diff, similarity, spanning), "a long, b long").distinct()
-        pairs = table(pairs, "near-pairs")
-        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        named = nodes.select("node", "low").join(named, "node")
+        pairs = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_diff, similarity, spanning), "key long, a long, b long")
+        pairs = table(pairs.groupBy("a", "b").agg(F.min("key").alias("key")), "near-pairs")
+        ends = lambda g: pairs.select(*g, F.col("a").alias("node")).union(pairs.select(*g, F.col("b").alias("node"))).distinct()
+        named = nodes.select("node", "low").join(ends([]), "node")
         sets = docs.join(named, "low").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(rule), "node long, members binary")
         sets = table(sets, "near-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-        out = table(both.select("a", "b", "of_a", "of_b").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
+        # pairs of one block are verified in one place, so that a set goes to each block's place once and not with each of its pairs
+        size = sets.agg(F.coalesce(F.sum(F.length("members")), F.lit(0)).alias("n")).first().n
+        places = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PLACE_BYTES))
+        place = F.pmod(F.xxhash64("key"), F.lit(places)).alias("place")
+        there = ends([place]).join(sets, "node").groupBy("place")
+        out = pairs.select(place, "a", "b").groupBy("place").cogroup(there).applyInArrow(_similar(similarity), "a long, b long")
+        out = table(out, "near-links")
         drop(pairs, sets)
         return out
 
