@@ -303,11 +303,12 @@ def _profiles(rule: Rule, similarity: float, common: tuple[np.ndarray, np.ndarra
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, keys) -> (key, node)."""
+    """(node, keys) -> (key, node, place): place is the key's in the set, rarest first."""
     for rb in batches:
         keys = rb.column("keys").to_pylist()
-        node = np.repeat(rb.column("node").to_numpy(), [len(x) // 8 for x in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(node)], ["key", "node"])
+        many = np.array([len(x) // 8 for x in keys], np.int64)
+        place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(rb.column("node").to_numpy(), many)), pa.array(place.astype(np.int32))], ["key", "node", "place"])
 
 
 def _sets(rule: Rule):
@@ -322,16 +323,17 @@ def _sets(rule: Rule):
 
 
 def _candidates(max_diff: int, similarity: float, spanning: bool):
-    """Whole blocks (key, side, node, fp, far, n, part) -> (key, a, b): pairs of unlike `part` within max_diff and with sizes that allow the similarity.
+    """Whole blocks (key, side, node, fp, far, n, part, place) -> (key, a, b): pairs of unlike `part` within max_diff, of sizes and with the key at places that allow the similarity.
 
+    Sets of the similarity share some number of members at least, and all of these stand at or behind the first one they share, in both.
     side: -1, or which of two tiles; then only pairs across count. `spanning`: only enough pairs to hold together what would link if all were verified.
     """
 
     def fn(t: pa.Table) -> pa.RecordBatch:
-        key, side, node, n, part = (t.column(x).to_numpy() for x in ("key", "side", "node", "n", "part"))
+        key, side, node, n, part, place = (t.column(x).to_numpy() for x in ("key", "side", "node", "n", "part", "place"))
         o = np.lexsort((n, key))
         fp, far = _matrix(t.column("fp"), np.uint64)[o], _matrix(t.column("far"), np.uint8)[o]
-        key, side, node, n, part = key[o], side[o], node[o], n[o], part[o]
+        key, side, node, n, part, left = key[o], side[o], node[o], n[o], part[o], n[o] - place[o]
         group = np.unique(np.stack([key, part], axis=1), axis=0, return_inverse=True)[1].ravel()
         low = np.arange(int(group.max(initial=-1)) + 1)
         at, a, b = [], [], []
@@ -343,6 +345,7 @@ def _candidates(max_diff: int, similarity: float, spanning: bool):
             if not len(i):
                 break
             x = i[(side[i] < 0) | (side[i] != side[i + step])]
+            x = x[np.minimum(left[x], left[x + step]) >= similarity / (1 + similarity) * (n[x] + n[x + step]) - 1e-9]
             x = x[low[group[x]] != low[group[x + step]]]
             x = x[_far(far, x, x + step, max_diff)]
             x = x[_apart(fp[x] ^ fp[x + step]) <= max_diff]
@@ -379,8 +382,8 @@ def _similar(similarity: float):
 
 
 def _blocked(nodes: DataFrame) -> DataFrame:
-    """(key, node, tiles): the shingles in whose blocks nodes meet, of two nodes or more."""
-    rows = nodes.select("node", "keys").mapInArrow(_keyed, "key long, node long")
+    """(key, node, place, tiles): the shingles in whose blocks nodes meet, of two nodes or more."""
+    rows = nodes.select("node", "keys").mapInArrow(_keyed, "key long, node long, place int")
     large = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / NEAR_TILE).alias("tiles"))
     return table(rows.join(large, "key"), "near-blocks")
 
@@ -397,7 +400,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, rule: Rule, similarity: float)
         rows = blocks.join(part.select("node", "fp", "far", "n", "part"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
-        tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "far", "n", "part")
+        tiles = rows.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), side.alias("side"), "node", "fp", "far", "n", "part", "place")
         pairs = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(max_diff, similarity, spanning), "key long, a long, b long")
         pairs = table(pairs.groupBy("a", "b").agg(F.min("key").alias("key")), "near-pairs")
         ends = lambda g: pairs.select(*g, F.col("a").alias("node")).union(pairs.select(*g, F.col("b").alias("node"))).distinct()
