@@ -110,11 +110,10 @@ def reblend(metrics: DataFrame, w: Weights = Weights()) -> DataFrame:
     return metrics.withColumns(new)
 
 
-def cohort_summary(typed: DataFrame, cohort: str, listing_type: str) -> DataFrame:
-    """Mean, median, stddev and count of one cohort; nulls are 0."""
-    some = typed.where((F.col("cohort") == cohort) & (F.col("listing_type") == listing_type))
+def cohort_summary(typed: DataFrame) -> DataFrame:
+    """Mean, median, stddev and count of each cohort and listing type; nulls are 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return some.agg(zero(F.avg("ppm")).alias("mean"), zero(F.percentile("ppm", F.lit(0.5))).alias("median"), zero(F.stddev_samp("ppm")).alias("stddev"), F.count("ppm").alias("n"))
+    return typed.groupBy("cohort", "listing_type").agg(zero(F.avg("ppm")).alias("mean"), zero(F.percentile("ppm", F.lit(0.5))).alias("median"), zero(F.stddev_samp("ppm")).alias("stddev"), F.count("ppm").alias("n"))
 
 
 def rescore_one(stats: DataFrame, property_id: str) -> DataFrame:

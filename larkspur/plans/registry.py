@@ -110,10 +110,12 @@ def legacy_fallback_union(s, d):
     return cohort.typed_prices(properties(s, d), offers(s, d)).select("property_id", "cohort", "listing_type", R("ppm"))
 
 
-@query(f"WITH {TYPED} SELECT coalesce(round(avg(ppm), 6), 0) AS mean, coalesce(round(quantile_cont(ppm, 0.5), 6), 0) AS median, coalesce(round(stddev_samp(ppm), 6), 0) AS stddev, count(ppm) AS n FROM typed WHERE cohort = (SELECT min(p_brand) FROM part) AND listing_type = 'rent'")
+@query(
+    f"""WITH {TYPED} SELECT cohort, listing_type, coalesce(round(avg(ppm), 6), 0) AS mean, coalesce(round(quantile_cont(ppm, 0.5), 6), 0) AS median,
+  coalesce(round(stddev_samp(ppm), 6), 0) AS stddev, count(ppm) AS n FROM typed GROUP BY cohort, listing_type"""
+)
 def cohort_summary(s, d):
-    name = properties(s, d).agg(F.min("cohort")).first()[0]
-    return cohort.cohort_summary(cohort.typed_prices(properties(s, d), offers(s, d)), name, "rent").select(R("mean"), R("median"), R("stddev"), "n")
+    return cohort.cohort_summary(cohort.typed_prices(properties(s, d), offers(s, d))).select("cohort", "listing_type", R("mean"), R("median"), R("stddev"), "n")
 
 
 @query(
@@ -376,10 +378,13 @@ def levenshtein_pairs(s, d):
     return pairs.select("n_name", "r_name", F.levenshtein("n_name", "r_name").cast("long").alias("distance"), F.round(text.similarity(F.col("n_name"), F.col("r_name"), "levenshtein"), 6).alias("similarity"))
 
 
-@query("WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS name FROM documents) SELECT lower(strip_accents(trim(name))) AS key, arg_min(name, doc_id) AS name FROM w WHERE trim(name) <> '' AND NOT contains(name, chr(10)) GROUP BY 1")
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r]+')) AS name, generate_subscripts(string_split_regex(text, '[ \t\n\r]+'), 1) AS pos FROM documents)
+SELECT lower(strip_accents(name)) AS key, arg_min(name, (doc_id, pos)) AS name FROM w WHERE name <> '' GROUP BY 1"""
+)
 def fold_distinct(s, d):
-    w = t(s, d, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("name")).where(~F.col("name").contains("\n"))
-    return resolve.folded_names(w, "name", "doc_id")
+    w = t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("pos", "name"))
+    return resolve.folded_names(w.withColumn("at", F.struct("doc_id", "pos")), "name", "at")
 
 
 @query(r"SELECT page_id, nullif(regexp_extract(url, '(\d{4,})(?:\.html?|/)?(?:[?#].*)?$', 1), '') AS listing_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
@@ -410,18 +415,18 @@ def budget_60s(s, d):
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'BH' ELSE 'Contagem' END AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'MG' ELSE 'SP' END AS st, o_orderkey % 12 AS n FROM orders),
-q AS (SELECT id, CASE WHEN city IS NULL THEN 'city_missing' WHEN city <> 'BH' THEN 'city_not_allowed' WHEN st <> 'MG' THEN 'state_not_allowed' WHEN n < 8 THEN 'too_few_photos' END AS reason FROM r)
+    """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'BH' WHEN o_orderkey % 5 = 0 THEN 'São João' ELSE 'Contagem' END AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'MG' ELSE 'SP' END AS st, o_orderkey % 12 AS n FROM orders),
+q AS (SELECT id, CASE WHEN city IS NULL THEN 'city_missing' WHEN city = 'Contagem' THEN 'city_not_allowed' WHEN st <> 'MG' THEN 'state_not_allowed' WHEN n < 8 THEN 'too_few_photos' END AS reason FROM r)
 SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY 1"""
 )
 def gate_reasons(s, d):
     k = F.col("o_orderkey")
-    city = F.when(k % 7 == 0, None).when(k % 3 == 0, "BH").otherwise("Contagem")
+    city = F.when(k % 7 == 0, None).when(k % 3 == 0, "BH").when(k % 5 == 0, "São João").otherwise("Contagem")
     state = F.when(k % 2 == 0, "MG").otherwise("SP")
     urls = F.when(k % 12 > 0, F.array_repeat(F.lit("u"), (k % 12).cast("int"))).otherwise(F.array().cast("array<string>"))
     rows = t(s, d, "orders").select(k.alias("id"), city.alias("city"), state.alias("state"), urls.alias("urls"))
     c, st = gates.city_state(F.col("city"), F.when(F.col("city").isNotNull(), F.col("state")), F.lit(None).cast("string"))
-    return gates.reason_histogram(gates.gate(rows, gates.outside(c, st, ["belo horizonte"], ["mg"]), gates.too_few_photos(F.col("urls"), gates.photos_needed())))
+    return gates.reason_histogram(gates.gate(rows, gates.outside(c, st, ["Belo Horizonte", "SÃO JOÃO", " "], ["mg"]), gates.too_few_photos(F.col("urls"), gates.photos_needed())))
 
 
 @query("SELECT user_id, event_type AS reason, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, event_type, run HAVING count(*) >= 2")
@@ -430,9 +435,14 @@ def breaker_runs(s, d):
     return history.tripped(e, 2, "user_id", "at").select("user_id", "reason", "n")
 
 
-@query()
+@query(
+    """WITH RECURSIVE sent AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL SELECT e.user_id, min(e.ts) FROM sent s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts + INTERVAL 1 HOUR GROUP BY e.user_id, s.ts)
+SELECT user_id AS property_id, epoch_us(ts) AS us FROM sent"""
+)
 def debounced_alerts(s, d):
-    return history.debounced(t(s, d, "events").select(F.col("user_id").alias("property_id"), F.col("ts").cast("timestamp").alias("ts")))
+    sent = history.debounced(t(s, d, "events").select(F.col("user_id").alias("property_id"), F.col("ts").cast("timestamp").alias("ts")))
+    return sent.select("property_id", F.unix_micros("ts").alias("us"))
 
 
 @query()
@@ -447,12 +457,20 @@ def k_mod(c: str):
     return F.col(c).cast("long") % 3
 
 
-@query()
+FAR = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))))"
+
+
+@query(
+    f"""WITH {POINTS}, places AS (SELECT DISTINCT lon, lat FROM pts), stops AS (SELECT lon, lat, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.55 END::DOUBLE AS w FROM pts WHERE id % 7 = 0),
+near AS (SELECT p.lon, p.lat, w, {FAR} AS m FROM places p JOIN stops q ON q.lat BETWEEN p.lat - 0.0109 AND p.lat + 0.0109 WHERE {FAR} <= 1200),
+got AS (SELECT lon, lat, max((1 - m / 1200) * w) AS best, sum(CASE WHEN m <= 400 THEN w ELSE 0 END) AS close, count(*) AS n FROM near GROUP BY lon, lat)
+SELECT id, round(CASE WHEN best IS NULL THEN 0 ELSE greatest(0, least(1, 0.7 * greatest(best, 0) + 0.3 * least(1, close / 8))) END, 6) AS transit_score, coalesce(n, 0) AS n_stops FROM pts LEFT JOIN got USING (lon, lat)"""
+)
 def transit_scores(s, d):
     """Every point is a centroid; each seventh plays a stop too."""
     p = points(s, d)
     stops = p.where("id % 7 = 0").withColumn("mode", F.when(F.col("id") % 2 == 0, "metro").otherwise("bus"))
-    return quality.transit_scores(p, stops)
+    return quality.transit_scores(p, stops).select("id", R("transit_score"), "n_stops")
 
 
 @query("SELECT a.n_nationkey AS id, b.n_nationkey AS r_id FROM nation a, nation b WHERE b.n_nationkey * 0.25 <= a.n_nationkey * 0.5 + 0.75 AND b.n_nationkey * 0.25 + 0.5 >= a.n_nationkey * 0.5 AND b.n_nationkey % 3 <= a.n_nationkey % 4 + 1 AND b.n_nationkey % 3 + 0.5 >= a.n_nationkey % 4")
@@ -547,3 +565,92 @@ def probe_queue(s, d):
     k = F.col("id")
     b = base(s, d).select("id", "first_seen", (k % 3 == 0).alias("active"), F.lit("u").alias("url"), F.when(k % 9 > 0, F.col("first_seen")).alias("last_seen"))
     return coverage.probe_order(b, F.lit("1996-01-01").cast("timestamp"), 50).select("id", "first_seen")
+
+
+@query("SELECT l_orderkey AS property_id, bool_or(l_linenumber > 3) AS active FROM lineitem GROUP BY 1")
+def still_active(s, d):
+    return upserts.still_active(t(s, d, "lineitem").select(F.col("l_orderkey").alias("property_id"), (F.col("l_linenumber") > 3).alias("active")))
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def retained_rows(s, d):
+    e = t(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return upserts.retained(e, F.lit(e.agg(F.max("ts")).first()[0]), 7).select("event_id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN o_custkey // 2 ELSE o_custkey END AS property_id FROM orders")
+def moved_children(s, d):
+    k = F.col("c_custkey")
+    merges = t(s, d, "customer").where(k % 4 == 0).select(k.alias("orphan"), (k / 2).cast("long").alias("keeper"))
+    return upserts.moved(t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("long").alias("property_id")), merges)
+
+
+@query("SELECT l_partkey AS id, min(l_extendedprice) FILTER (l_returnflag = 'R') AS rent_price, min(l_extendedprice) FILTER (l_returnflag <> 'R') AS sale_price FROM lineitem GROUP BY 1")
+def merged_windows(s, d):
+    kind = F.when(F.col("l_returnflag") == "R", "rent").otherwise("sale")
+    return resolve.merged_windows(t(s, d, "lineitem").select(F.col("l_partkey").alias("id"), kind.alias("listing_type"), F.col("l_extendedprice").alias("price")))
+
+
+@query("SELECT k, min(event_id) AS event_id FROM (SELECT CASE WHEN user_id % 3 > 0 THEN user_id END AS k, event_id FROM events) WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT NULL, event_id FROM events WHERE user_id % 3 = 0")
+def unique_first(s, d):
+    k = F.when(F.col("user_id") % 3 > 0, F.col("user_id"))
+    return resolve.unique_by(t(s, d, "events").select(k.alias("k"), "event_id"), "k", "event_id")
+
+
+@query(
+    f"""WITH p AS (SELECT s_suppkey AS id, s_nationkey % 5 AS city, (s_suppkey % 97) / 500.0::DOUBLE AS lon, (s_suppkey % 89) / 500.0::DOUBLE AS lat FROM supplier),
+q AS (SELECT n_regionkey AS city, n_name AS hub, n_nationkey / 200.0::DOUBLE AS lon, n_nationkey / 300.0::DOUBLE AS lat FROM nation WHERE n_regionkey < 4),
+m AS (SELECT p.id, q.hub, {FAR} / 1000 / 30.0 * 60 AS minutes FROM p JOIN q USING (city))
+SELECT id, round(min(minutes), 6) AS minutes, round(greatest(0, least(1, 1 - min(minutes) / 45)), 6) AS access_score FROM m GROUP BY id"""
+)
+def access_scores(s, d):
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    c = t(s, d, "supplier").select(k.alias("id"), (F.col("s_nationkey") % 5).cast("string").alias("city"), (k % 97 / 500).alias("lon"), (k % 89 / 500).alias("lat"))
+    hubs = t(s, d, "nation").where("n_regionkey < 4").select(F.col("n_regionkey").cast("string").alias("city"), F.col("n_name").alias("name"), (n / 200).alias("lon"), (n / 300).alias("lat"))
+    return quality.access_scores(c, hubs).select("id", R("minutes"), R("access_score"))
+
+
+@query("SELECT lower(n_name) AS key, n_name AS name, sum(s_suppkey + 0.5)::DOUBLE AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def crime_totals(s, d):
+    """Amounts with a decimal comma, names spelt two ways; the first spelling stays."""
+    r = t(s, d, "supplier").join(t(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    first = F.row_number().over(Window.partitionBy("n_name").orderBy("s_suppkey"))
+    name = F.when(F.col("row_nth") == 1, F.col("n_name")).otherwise(F.concat(F.lit(" "), F.lower("n_name")))
+    return quality.crime_extract(r.withColumn("row_nth", first).select(name.alias("name"), F.concat(F.col("s_suppkey").cast("string"), F.lit(",5")).alias("amount"), "row_nth"))
+
+
+@query(
+    """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'skip_mode' WHEN o_orderkey % 3 = 0 THEN 'skip_images' WHEN o_orderkey % 5 = 0 THEN 'skip_photos' WHEN o_orderkey % 7 = 0 THEN 'skip_prior' ELSE 'queue' END AS action, count(*) AS n
+FROM orders GROUP BY 1"""
+)
+def rerun_actions(s, d):
+    k = F.col("o_orderkey")
+    action = gates.rerun_action(k % 2 == 0, "missing", F.lit(False), k % 3, True, k % 5 > 0, k % 7 > 0)
+    return t(s, d, "orders").groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH ok AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_id % 9 = 0 GROUP BY 1)
+SELECT e.user_id AS id, count(*) AS attempts FROM events e LEFT JOIN ok USING (user_id) WHERE event_id % 9 > 0 AND (last IS NULL OR event_id > last) GROUP BY 1 HAVING count(*) >= 3"""
+)
+def quarantine(s, d):
+    return history.quarantined(t(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), (F.col("event_id") % 9 == 0).alias("ok")), 3)
+
+
+@query("SELECT round(sum(p50), 6) AS per_row_s, round(26000 * sum(p50) / 2 / 3600, 6) AS hours, 78000 AS requests, ceil(78000 / 14000.0)::BIGINT AS days FROM (SELECT quantile_cont(value, 0.5) AS p50 FROM events GROUP BY event_type)")
+def enrichment_feasibility(s, d):
+    f = coverage.feasibility(coverage.latency_summary(t(s, d, "events"), ["event_type"], "value"), 26_000, 2, 3, 14_000)
+    return f.select(R("per_row_s"), R("hours"), "requests", F.col("days").cast("long").alias("days"))
+
+
+@query(
+    """WITH r AS (SELECT *, min(s_acctbal) OVER w AS lo, max(s_acctbal) OVER w AS hi, max(s_suppkey) OVER (PARTITION BY s_nationkey, s_suppkey % 3) AS last FROM supplier WINDOW w AS (PARTITION BY s_nationkey)),
+x AS (SELECT s_nationkey AS n, s_suppkey % 3 AS k, CASE WHEN hi = lo THEN 0.5 ELSE 1 - (s_acctbal - lo) / (hi - lo) END AS score FROM r WHERE s_suppkey = last)
+SELECT c_custkey AS id, round(score, 6) AS safety_score FROM customer JOIN x ON c_nationkey = n AND c_custkey % 3 = k"""
+)
+def safety_by_name(s, d):
+    """Rates of suppliers, three names in each nation, the last row of a name counts; customers are the neighbourhoods."""
+    name = lambda k: F.element_at(F.array(F.lit("São José"), F.lit("Centro"), F.lit("Água")), (F.col(k) % 3 + 1).cast("int"))
+    rates = t(s, d, "supplier").select(F.lower(name("s_suppkey")).alias("name"), F.col("s_nationkey").cast("string").alias("city"), F.lit("mg").alias("state"), F.col("s_acctbal").alias("rate_per_100k"), F.col("s_suppkey").alias("row_nth"))
+    n = t(s, d, "customer").select(F.col("c_custkey").alias("id"), name("c_custkey").alias("name"), F.col("c_nationkey").cast("string").alias("city"), F.lit("MG").alias("state"))
+    return quality.safety_scores(n, rates).select("id", R("safety_score"))

@@ -132,6 +132,8 @@ def test_gates(spark):
     assert column(spark, F.struct(city, state), *rows) == [("BH", None), ("Belo Horizonte", "MG"), ("Contagem", "MG"), ("Betim", None), (None, "SP"), (None, None)]
     why = gates.outside(F.col("a"), F.col("b"), ["Belo Horizonte"], ["MG"])
     assert column(spark, why, ("bh", None), (None, "MG"), ("Betim", "MG"), ("BH", "SP"), names=("a", "b")) == [None, "city_missing", "city_not_allowed:Betim", "state_not_allowed:SP"]
+    folded = gates.outside(F.col("a"), F.col("b"), ["São Paulo", "", " "], ["sp"])
+    assert column(spark, folded, ("São Paulo", "SP"), ("sao paulo", None), ("SÃO PAULO", "MG"), names=("a", "b")) == [None, None, "state_not_allowed:MG"]
     assert (gates.photos_needed(), gates.photos_needed(8, 20, 0.5), gates.photos_needed(3, 0, 1)) == (8, 10, 3)
     urls = spark.createDataFrame([(["a", " ", "b"],), (None,)], "u array<string>")
     assert [r[0] for r in urls.select(gates.too_few_photos(F.col("u"), 2)).collect()] == [None, "too_few_photos:0<2"]
