@@ -106,14 +106,20 @@ def embedding_text(title: Column, description: Column, limit: int = 8000) -> Col
     return F.substring(F.concat_ws("\n", blank(title), blank(description)), 1, limit)
 
 
-def expand_query(text: str) -> str:
-    """Appends the counterparts of the words that `SYNONYMS` knows; a second call adds nothing."""
-    has = lambda t: re.search(rf"(?<!\w){re.escape(t)}(?!\w)", out.casefold()) is not None
-    out = text
-    for group in SYNONYMS:
-        if any(has(t) for t in group):
-            out = " ".join([out, *(t for t in group if not has(t))])
-    return out
+def _plain(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.strip()) if not unicodedata.combining(c)).casefold()
+
+
+def expand_query(text: str | None) -> str:
+    """Appends the counterparts of the words that `SYNONYMS` knows; a second call adds nothing. Null is an empty text.
+
+    A group is known by any of its words without accents; a counterpart stays out only if it stands there with its accents.
+    """
+    query = (text or "").strip()
+    holds = lambda where, t: re.search(rf"(?<!\w){re.escape(t)}(?!\w)", where) is not None
+    plain, written = _plain(query), query.casefold()
+    more = [t for group in SYNONYMS if any(holds(plain, _plain(t)) for t in group) for t in group if not holds(written, t.casefold())]
+    return " ".join([query, *more])
 
 
 def _jaro_winkler(a: str, b: str) -> float:

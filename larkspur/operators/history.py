@@ -46,6 +46,16 @@ def drops(changes: DataFrame, watchlist: DataFrame) -> DataFrame:
     return c.where((F.col("drop_pct") >= F.coalesce("min_drop_pct", F.lit(5.0))) & ~again)
 
 
+def notified(watchlist: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The watchlist with each property's price of its latest alert (`drops` with a time `ts`) as last_notified_price; others keep theirs.
+
+    Alerts of one time: the smallest price counts. A next `drops` with this list is silent about the same price.
+    """
+    last = alerts.groupBy("property_id").agg(F.max_by("price", F.struct("ts", -F.col("price"))).alias("told_price"))
+    out = watchlist.join(last, "property_id", "left").withColumn("last_notified_price", F.coalesce("told_price", "last_notified_price"))
+    return out.select(*watchlist.columns)
+
+
 def watched_prices(watchlist: DataFrame, listings: DataFrame) -> DataFrame:
     """Each watch with its property's cheapest listing, active or not, of any type; watches without listings drop."""
     low = listings.groupBy("property_id").agg(F.min_by(F.struct("price", "listing_type"), F.struct(F.col("price").isNull(), "price", "listing_type")).alias("best"))

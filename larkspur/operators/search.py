@@ -12,6 +12,7 @@ from larkspur.functions import text
 from larkspur.functions.geo import in_box
 from larkspur.functions.text import property_type_spellings
 from larkspur.functions.vectors import cosine_distance
+from larkspur.operators.cohort import quality_mean
 
 #: Rows of an export at most.
 EXPORT_ROWS = 5000
@@ -150,6 +151,28 @@ def nested_listings(listings: DataFrame) -> DataFrame:
     return listings.where("active").groupBy("property_id").agg(items.alias("listings"))
 
 
+def decision_price(own: Column, primary: Column) -> Column:
+    """The primary listing's price, else the property's own."""
+    return F.coalesce(primary, own).cast("double")
+
+
+def unit_score(c: Column) -> Column:
+    """A score within 0 and 1; anything else is null."""
+    x = c.try_cast("double")
+    return F.when(x.between(0.0, 1.0), x)
+
+
+def quality_profile(areas: DataFrame) -> DataFrame:
+    """areas (id, four scores, risk_flags, quality_notes) as shown: scores outside 0 to 1 null, flags trimmed and blank ones gone, blank notes null.
+
+    neighbourhood_score is the mean of the scores there are, 0.5 without any.
+    """
+    scores = [unit_score(F.col(c)).alias(c) for c in ("amenity_score", "transit_score", "access_score", "safety_score")]
+    flags = F.filter(F.transform(F.coalesce("risk_flags", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    out = areas.select(F.col("id").cast("string").alias("id"), *scores, flags.alias("risk_flags"), F.nullif(F.trim("quality_notes"), F.lit("")).alias("quality_notes"))
+    return out.withColumn("neighbourhood_score", quality_mean(*map(F.col, ("amenity_score", "transit_score", "access_score", "safety_score"))))
+
+
 def neighborhood_label(polygon: Column, slug: Column, city: Column) -> Column:
     """The polygon's name, else the slug in words; null if it says the same as the city."""
     name = F.coalesce(polygon, F.initcap(F.trim(F.regexp_replace(slug, r"[\-_]+", " "))))

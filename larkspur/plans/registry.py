@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, text, vectors
-from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts, verdict
+from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
 from larkspur.sources import files, records
 from larkspur.streaming import jobs
 
@@ -654,3 +654,46 @@ def safety_by_name(s, d):
     rates = t(s, d, "supplier").select(F.lower(name("s_suppkey")).alias("name"), F.col("s_nationkey").cast("string").alias("city"), F.lit("mg").alias("state"), F.col("s_acctbal").alias("rate_per_100k"), F.col("s_suppkey").alias("row_nth"))
     n = t(s, d, "customer").select(F.col("c_custkey").alias("id"), name("c_custkey").alias("name"), F.col("c_nationkey").cast("string").alias("city"), F.lit("MG").alias("state"))
     return quality.safety_scores(n, rates).select("id", R("safety_score"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, n_name AS nb, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, CASE WHEN id % 5 = 0 THEN -1 WHEN n % 4 = 0 OR id % 3 = 0 OR id % 2 = 0 THEN n ELSE -1 END AS neighborhood_id FROM c"""
+)
+def assigned_by_name(s, d):
+    """Customers lie in quarters named like nations: every fifth has no name, a third no city, half of the rest the wrong one."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    name = F.when(k % 5 > 0, F.concat(F.lit(" "), F.lower("n_name"))).otherwise(" ")
+    city = F.when(k % 3 == 0, None).when(k % 2 == 0, F.concat(F.lit("SÃO "), F.col("n_regionkey"))).otherwise("elsewhere")
+    p = t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == n).select(k.alias("id"), name.alias("neighborhood"), city.alias("city"), F.lit(-1).cast("long").alias("neighborhood_id"))
+    areas = t(s, d, "nation").select(n.cast("long").alias("area_id"), F.col("n_name").alias("name"), F.when(n % 4 > 0, F.concat(F.lit("são "), F.col("n_regionkey"))).alias("city"))
+    return location.assigned_by_name(p, areas).select("id", "neighborhood_id")
+
+
+@query(
+    """SELECT CASE k WHEN 0 THEN 'corrected' WHEN 2 THEN 'out_of_geo' WHEN 3 THEN 'corrected' ELSE 'unchanged' END AS action,
+  CASE k WHEN 2 THEN 'Cabo Frio' WHEN 3 THEN 'Belo Horizonte' ELSE 'BH' END AS city, CASE k WHEN 0 THEN 'Itapoã' WHEN 3 THEN 'Savassi' WHEN 4 THEN NULL ELSE 'Savassi' END AS neighborhood,
+  CASE k WHEN 0 THEN 'Itapoã, BH, MG' WHEN 2 THEN 'Savassi, Cabo Frio, MG' WHEN 3 THEN 'Savassi, Belo Horizonte, MG' ELSE 'Rua 1' END AS address,
+  CASE k WHEN 0 THEN 'neighborhood_mismatch' WHEN 2 THEN 'city_not_allowed:Cabo Frio' WHEN 3 THEN 'neighborhood_is_city' WHEN 4 THEN 'neighborhood_missing' ELSE 'ok' END AS reason, k IN (0, 2, 3) AS clear_coords, count(*) AS n
+FROM (SELECT o_orderkey % 6 AS k FROM orders) GROUP BY ALL"""
+)
+def reconciled_places(s, d):
+    """Orders as listings of six kinds: named quarter, nothing said, city elsewhere, city as quarter, no quarter, no text."""
+    k = F.col("o_orderkey") % 6
+    title = F.when(k == 0, "Cobertura no Itapoã").when(k == 1, "Casa").when(k == 2, "Vendo casa em Cabo Frio").when(k == 3, "Apto na savassi").when(k == 4, "Casa boa")
+    nb = F.when(k == 3, "Contagem").when(k != 4, "Savassi")
+    rows = t(s, d, "orders").select(title.alias("title"), F.lit(None).cast("string").alias("description"), F.lit("BH").alias("city"), F.lit("MG").alias("state"), nb.alias("neighborhood"), F.lit("Rua 1").alias("address"))
+    out = location.reconciled(rows, ["Belo Horizonte", "Contagem"], ["MG"], ["Centro", "Savassi", "Itapoã"])
+    return out.groupBy(*[F.col(f"located.{c}").alias(c) for c in ("action", "city", "neighborhood", "address", "reason", "clear_coords")]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 10) / 10.0::DOUBLE END AS a, CASE WHEN s_suppkey % 7 < 6 THEN (s_suppkey % 7) / 5.0::DOUBLE END AS b FROM supplier),
+q AS (SELECT id, a, CASE WHEN b <= 1 THEN b END AS b FROM p)
+SELECT id, round(coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 0.5), 6) AS score, CASE WHEN id::BIGINT % 2 = 0 THEN 1 ELSE 0 END AS flags, CASE WHEN id::BIGINT % 4 = 0 THEN 'quiet' END AS notes FROM q"""
+)
+def quality_profiles(s, d):
+    k, none = F.col("s_suppkey"), F.lit(None).cast("double")
+    flags = F.when(k % 2 == 0, F.array(F.lit(" flood "), F.lit(" "), F.lit(None).cast("string")))
+    areas = t(s, d, "supplier").select(k.alias("id"), F.when(k % 3 > 0, k % 10 / 10).alias("amenity_score"), (k % 7 / 5).alias("transit_score"), none.alias("access_score"), F.lit(-0.1).alias("safety_score"), flags.alias("risk_flags"), F.when(k % 4 == 0, " quiet ").otherwise(" ").alias("quality_notes"))
+    return search.quality_profile(areas).select("id", F.round("neighbourhood_score", 6).alias("score"), F.size("risk_flags").alias("flags"), F.col("quality_notes").alias("notes"))

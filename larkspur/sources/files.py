@@ -37,8 +37,16 @@ def gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def _area(ring: Column) -> Column:
+    """Of a ring of positions, closed or not, by the shoelace rule; 0 without three of them."""
+    size = F.size(ring)
+    at = lambda i: F.get(ring, i)
+    cross = F.transform(F.sequence(F.lit(0), size - 1), lambda i: at(i)[0] * at((i + 1) % size)[1] - at((i + 1) % size)[0] * at(i)[1])
+    return F.coalesce(F.when(size >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2), F.lit(0.0))
+
+
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(properties map, kind, lon, lat, ring) of GeoJSON feature collections; each polygon of a MultiPolygon is a row, holes are left out."""
+    """(properties map, kind, lon, lat, ring) of GeoJSON feature collections; of a MultiPolygon the polygon of the largest area counts, holes are left out."""
     point = "type string, coordinates string"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"type string, features array<struct<properties:map<string,string>,geometry:struct<{point.replace(' string', ':string')}>>>").alias("c"))
     f = raw.select(F.explode("c.features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("xy"))
@@ -47,7 +55,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     points = f.where("kind = 'Point'").select("properties", "kind", at[0].alias("lon"), at[1].alias("lat"), F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("ring"))
     none = F.lit(None).cast("double")
     one = f.where("kind = 'Polygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.from_json("xy", "array<array<array<double>>>")[0]).alias("ring"))
-    many = f.where("kind = 'MultiPolygon'").withColumn("p", F.explode(F.from_json("xy", "array<array<array<array<double>>>>"))).select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.col("p")[0]).alias("ring"))
+    largest = F.get(F.array_sort(F.from_json("xy", "array<array<array<array<double>>>>"), lambda p, q: F.signum(_area(F.get(q, F.lit(0))) - _area(F.get(p, F.lit(0)))).cast("int")), F.lit(0))
+    many = f.where("kind = 'MultiPolygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.get(largest, F.lit(0))).alias("ring")).where("size(ring) > 0")
     return points.unionByName(one).unionByName(many)
 
 

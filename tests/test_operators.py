@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, text
-from larkspur.operators import cohort, coverage, gates, history, quality, resolve, search, upserts, verdict
+from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
 from larkspur.sources import files, records
 
 
@@ -233,9 +233,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "trips.txt").write_text("route_id\nr\n")
     with pytest.raises(ValueError):
         files.gtfs(spark, str(tmp_path))
-    (tmp_path / "x.geojson").write_text('{"type":"FeatureCollection","features":[{"properties":{"name":"P"},"geometry":{"type":"Point","coordinates":[1,2]}},{"properties":{"name":"Q"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"properties":{"name":"M"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}}]}')
+    (tmp_path / "x.geojson").write_text('{"type":"FeatureCollection","features":[{"properties":{"name":"P"},"geometry":{"type":"Point","coordinates":[1,2]}},{"properties":{"name":"Q"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"properties":{"name":"M"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[7,5],[7,7],[5,5]]],[]]}}]}')
     f = files.features(spark, str(tmp_path / "x.geojson")).collect()
-    assert [r.properties["name"] for r in f] == ["P", "Q", "M", "M"] and f[0].lon == 1 and f[1].ring[1].lon == 1
+    assert [r.properties["name"] for r in f] == ["P", "Q", "M"] and f[0].lon == 1 and f[1].ring[1].lon == 1 and f[2].ring[0].lon == 5
     (tmp_path / "r.yaml").write_text("provider: x\ndefaults: {city: C, state: MG}\nrates:\n- {name: A, rate_per_100k: 3}\n- {name: B, rate_per_100k: 4, city: D}\n")
     assert [(r.name, r.city) for r in files.rates(spark, str(tmp_path / "r.yaml")).orderBy("row_nth").collect()] == [("A", "C"), ("B", "D")]
     page = '<html><script type="application/ld+json">{"description": "Bela &amp; <b>ampla</b> , casa"}</script></html>'
@@ -323,3 +323,56 @@ def test_progress(spark):
     at = lambda active, rate: [tuple(r) for r in coverage.progress(c, ["a", "b"], F.lit("2026-01-31").cast("date"), F.lit(active), F.lit(5), F.lit(rate)).select("signal", "fraction", "remaining", "eta_days", F.col("done_on").cast("string")).collect()]
     assert at(True, 4.0) == [("a", None, 5, 1.25, "2026-02-02"), ("b", None, 5, 1.25, "2026-02-02")]
     assert at(False, 4.0) == at(True, 0.0) == [("a", None, 5, None, None), ("b", None, 5, None, None)]
+
+
+def test_expanded_queries_fold_accents_and_take_null():
+    assert text.expand_query(None) == text.expand_query("  ") == ""
+    assert text.expand_query("  perto do metro ") == "perto do metro subway metrô"
+    assert text.expand_query("METRÔ") == "METRÔ metro subway"
+
+
+def test_an_alert_is_not_sent_twice(spark):
+    watch = spark.createDataFrame([(1, None, None), (2, None, 70.0)], "property_id long, min_drop_pct double, last_notified_price double")
+    changes = spark.createDataFrame([(1, 100.0, 90.0, 1), (1, 90.0, 80.0, 2)], "property_id long, old_price double, price double, ts long")
+    told = history.notified(watch, history.drops(changes, watch))
+    assert sorted((r.property_id, r.last_notified_price) for r in told.collect()) == [(1, 80.0), (2, 70.0)]
+    assert history.drops(changes.where("ts = 2"), told).count() == 0
+
+
+PLACES = "title string, description string, city string, state string, neighborhood string, address string"
+
+
+def located(spark, *rows):
+    out = location.reconciled(spark.createDataFrame(list(rows), PLACES), ["Belo Horizonte", "Contagem"], ["MG"], ["Itapoã", "Savassi"])
+    return [r.located for r in out.collect()]
+
+
+def test_places_are_read_from_the_text(spark):
+    kept, nothing, moved, abroad, seller = located(
+        spark,
+        ("Casa na Savassi", None, "BH", "MG", "Savassi", "Rua 1"),
+        (None, None, None, None, None, None),
+        ("Cobertura", "fica no bairro ITAPOA", "Belo Horizonte", "MG", "Savassi", "Rua 1"),
+        ("Vendo casa em Cabo Frio", "", "Belo Horizonte", "MG", "Savassi", "Rua 1"),
+        ("Cobertura no Itapoã", "", "Contagem", "Minas Gerais", "Belo Horizonte", None),
+    )
+    assert (kept.action, kept.reason, kept.clear_coords, kept.address) == ("unchanged", "ok", False, "Rua 1")
+    assert (nothing.action, nothing.reason, nothing.city) == ("unchanged", "ok", None)
+    assert (moved.action, moved.neighborhood, moved.address, moved.confidence) == ("corrected", "Itapoã", "Itapoã, Belo Horizonte, MG", 0.55)
+    assert (abroad.action, abroad.city, abroad.reason, abroad.clear_coords) == ("out_of_geo", "Cabo Frio", "city_not_allowed:Cabo Frio", True)
+    assert (seller.action, seller.reason, seller.city) == ("out_of_geo", "state_not_allowed:Minas Gerais", "Belo Horizonte")
+
+
+def test_places_of_empty_tables_and_catalogues(spark):
+    none = spark.createDataFrame([], PLACES)
+    assert location.reconciled(none, [], [], []).count() == 0
+    row = spark.createDataFrame([("Casa", None, "X", None, None, None)], PLACES)
+    assert location.reconciled(row, [], [], []).first().located.reason == "neighborhood_missing"
+
+
+def test_names_give_neighbourhoods(spark):
+    p = spark.createDataFrame([(1, "itapoa", None, None), (2, "Itapoã", "BH", 7), (3, None, "BH", 7), (4, "Itapoã", "Vila Velha", None)], "id int, neighborhood string, city string, neighborhood_id long")
+    areas = spark.createDataFrame([(5, "Itapoã", "Vila Velha"), (6, "ITAPOA ", None), (9, None, None)], "area_id long, name string, city string")
+    out = location.assigned_by_name(p, areas)
+    assert out.columns == p.columns
+    assert sorted((r.id, r.neighborhood_id) for r in out.collect()) == [(1, 5), (2, 6), (3, 7), (4, 5)]
