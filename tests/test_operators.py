@@ -144,7 +144,10 @@ def test_transit_scores_of_all_points(spark):
     from larkspur.plans import registry
 
     sf = "/root/testdata/sf0.001"
-    got = {r.id: r for r in registry.queries()["transit_scores"](spark, sf).collect()}
+    points = registry.points(spark, sf)
+    mode = F.when(F.col("id") % 2 == 0, "metro").otherwise("bus")
+    got = {r.id: r for r in quality.transit_scores(points, points.where("id % 7 = 0").withColumn("mode", mode)).collect()}  # the query rounds
+    assert {r.id: r.transit_score for r in registry.queries()["transit_scores"](spark, sf).collect()} == {i: pytest.approx(r.transit_score, abs=5.1e-7) for i, r in got.items()}
     p = [(r.id, r.lon, r.lat) for r in registry.points(spark, sf).collect()]
     assert sorted(got) == sorted(i for i, *_ in p)
     stops = [(x, y, 1.0 if i % 2 == 0 else 0.55) for i, x, y in p if i % 7 == 0]
