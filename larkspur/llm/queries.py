@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import embedding_dedup, licenses, media, mixing, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from larkspur.llm import embedding_dedup, filter_audit, licenses, line_dedup, media, mixing, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, variants
 
 
 def tokenizer(name: str) -> str:
@@ -33,8 +33,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda s, d: toxicity.digest(docs(s, d), _read(s, d, "labels")),
         "op9_media_columns": lambda s, d: media.digest(docs(s, d)),
         "op10_simhash_dedup": lambda s, d: simhash.digest(docs(s, d)),
+        "op11_filter_audit": lambda s, d: filter_audit.audit(docs(s, d), _read(s, d, "labels")),
+        "op12_line_dedup": lambda s, d: line_dedup.digest(docs(s, d)),
+        "op13_spelling_variants": lambda s, d: variants.group(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op5_embedding_dedup": embedding_dedup.SQL}
+    return {
+        "op2_source_mixing": mixing.SQL,
+        "op5_embedding_dedup": embedding_dedup.SQL,
+        "op11_filter_audit": filter_audit.SQL,
+        "op12_line_dedup": line_dedup.SQL,
+        "op13_spelling_variants": variants.SQL,
+    }
