@@ -14,7 +14,22 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import embedding_dedup, licenses, media, mixing, packing, simhash, suffix_dedup, suffix_groups, token_counts, toxicity, url_filter
+from larkspur.llm import (
+    embedding_dedup,
+    filter_audit,
+    licenses,
+    line_dedup,
+    media,
+    mixing,
+    packing,
+    simhash,
+    suffix_dedup,
+    suffix_groups,
+    token_counts,
+    toxicity,
+    url_filter,
+    variants,
+)
 from larkspur.llm.queries import tokenizer
 from larkspur.llm.shared import components
 
@@ -754,3 +769,160 @@ def test_embedding_sql(spark):
     want = sorted(duckdb.sql(embedding_dedup.SQL.replace("FROM embeddings", "FROM '/root/testdata/sf0.001/embeddings.parquet'")).fetchall())
     got = embedding_dedup.dedup(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"] and sorted(map(tuple, got.collect())) == want
+
+
+# --- filter audit, line dedup, spelling variants ---
+
+AUDIT_SCHEMA = "doc_id long, text string, lang string, part string, mask int, good int"
+
+
+def audit_rows():
+    rng = random.Random(4)
+    words = ["plain", "Words", "of", "A", "TEXT", "x$", "ünd", "a|b", "row\tB", "ÀÉ", " ", "𝔘"]
+    text = lambda k: " ".join(rng.choice(words[: rng.randint(1, len(words))]) for _ in range(k))
+    rows = [(i, text(rng.choice([0, 3, 99, 100, 101, 140])), rng.choice(["en", "de", None, ""]), "p", 1, 2) for i in range(60)]
+    rows += [(60 + i, rows[rng.randrange(40)][1], rng.choice(["en", "de"]), None, None, None) for i in range(30)]
+    rows += [(90, None, "en", "p", 0, 0), (91, "", None, "p", 0, 0), (5, rows[5][1], "fr", "p", 0, 0), (5, "another", "en", "p", 0, 0), (None, rows[7][1], "en", "p", 0, 0), (None, "alone", None, "p", 0, 0)]
+    rows.append((99, "long " * 50_000, "en", "p", 0, 0))
+    return rows
+
+
+def brute_audit(rows, labels):
+    from itertools import permutations
+
+    blank = re.compile(r"[^\x20\x09-\x0D]+")
+    failing = []
+    for d, t, lang, *_ in rows:
+        t = t or ""
+        w = blank.findall(t)
+        fails = set()
+        fails |= {"A"} if len(w) < 100 else set()
+        fails |= {"B"} if 100 * len(set(w)) < 80 * len(w) else set()
+        fails |= {"C"} if 100 * len(re.findall("[A-Z]", t)) > 10 * len(t) else set()
+        fails |= {"D"} if re.search(r"[#$%&*|]", t) else set()
+        fails |= {"E"} if d is not None and any(o is not None and o < d and (u or "") == t for o, u, *_ in rows) else set()
+        failing.append((lang or "", fails, any(q == 1 for i, q, _ in labels if i == d and d is not None), any(x == 1 for i, _, x in labels if i == d and d is not None)))
+    out, removed_at = [], {}
+    for part in {p for p, *_ in failing}:
+        mine = [f for f in failing if f[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [m for m in left if f in m[1]]
+                left = [m for m in left if f not in m[1]]
+                removed_at[part, f] = removed_at.get((part, f), 0) + len(gone)
+                redundant = sum(f in m[1] for m in mine) - len(gone)
+                out.append((part, order, step, len(left), len(gone), redundant, sum(m[1] == {f} for m in mine), sum(m[2] for m in gone), sum(m[3] for m in gone)))
+    return sorted((*r, removed_at[r[0], r[1][r[2] - 1]]) for r in out)
+
+
+def test_filter_audit(spark):
+    rows = audit_rows()
+    labels = [(i, i % 2, i % 3 % 2) for i in range(0, 90, 2)] + [(4, 1, 1), (None, 1, 1), (7, None, None), (5, 1, 0)]
+    docs = spark.createDataFrame(rows, AUDIT_SCHEMA).repartition(3)
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in filter_audit.audit(docs, marked).collect())
+    assert got == brute_audit(rows, labels)
+    assert filter_audit.audit(docs.limit(0), marked).count() == 0
+    assert sorted(tuple(r) for r in filter_audit.audit(docs, marked.limit(0)).collect()) == brute_audit(rows, [])
+    two = {"L": lambda text, words: F.length(text) > 20, "N": lambda text, words: F.size(words) == 0}
+    assert {(r["filter_order"], r["step"]) for r in filter_audit.audit(docs, marked, filters=two).collect()} == {("LN", 1), ("LN", 2), ("NL", 1), ("NL", 2)}
+    with pytest.raises(ValueError):
+        filter_audit.audit(docs, marked, filters=dict.fromkeys("ABCDEFG"))
+
+
+def line_rows():
+    rng = random.Random(6)
+    line = lambda: rng.choice(["", " ", "short", "Ünï çödé ", "exactly10!", "nine char"]) + rng.choice(["", "\t a line that repeats ", "A Line that Repeats", f"line number {rng.randint(0, 400)}"])
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 12))), "k", "g", 3) for i in range(80)]
+    rows += [(80, None, "k", None, None), (81, "", None, "g", 1), (82, "\n", "k", "g", 1), (83, "\n".join(["same line here"] * 40), "k", "g", 1), (84, "ÄÖÜÄÖÜÄÖÜÄ\r\n" * 3, "k", "g", 1), (85, "ÄÖÜÄÖÜÄÖÜÄ", "k", "g", 1)]
+    rows += [(7, rows[7][1] + "\na line of a second row", "k", "g", 1), (9, "a line of a second row", "k", "g", 1), (None, rows[3][1], "k", "g", 1), (None, "only without an id\nsame line here", "k", "g", 1), (None, "only without an id", "k", "g", 1)]
+    rows.append((99, "\n".join(f"line number {i}" for i in range(30_000)), "k", "g", 1))
+    rows.append((100, "x" * 200_000 + "\nexactly10!" + "\n" + "y" * 100_000, "k", "g", 1))
+    return rows
+
+
+def brute_lines(rows):
+    key = lambda line: line.encode().strip(b" \t\n\v\f\r").lower().decode()
+    first = {}
+    for d, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            if d is not None and len(key(line)) >= 10:
+                first[key(line)] = min(first.get(key(line), d), d)
+    out = []
+    for d, t, *_ in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if key(x) not in first or (d is not None and first[key(x)] == d)]
+        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("setup", [line_dedup.Setup(), line_dedup.Setup(slice_lines=700, filter_bits=1 << 13), line_dedup.Setup(slice_lines=64, filter_bits=512)])
+def test_line_dedup(spark, setup):
+    """Also with filters so small that nearly all lines are suspected."""
+    rows = line_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, gone string, n_lines int").repartition(4)
+    assert sorted((tuple(r) for r in line_dedup.digest(docs, setup).collect()), key=str) == brute_lines(rows)
+    out = line_dedup.dedup(docs, setup)
+    assert out.columns == ["doc_id", "text", "key", "gone", "n_lines", "n_dropped"]
+    assert out.where("doc_id = 85").first()["text"] == "" and out.where("doc_id = 80").first()["gone"] is None
+    assert line_dedup.dedup(docs.limit(0), setup).count() == 0
+
+
+def test_bloom_filter():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b = line_dedup.Bloom(1 << 15)
+    b.add(h[:2000])
+    assert b.has(h[:2000]).all() and b.has(h[2000:]).mean() < 0.05
+
+
+def brute_variants(rows, setup):
+    import functools
+    from collections import Counter
+
+    n = Counter()
+    for d, t, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = run.encode().lower().decode()
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if setup.noise and h % setup.noise == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= setup.least_length and c >= setup.least_n}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    links = {w: [x for x in n if x != w and near(w, x)] for w in n}
+    form = {w: min(x, key=lambda y: (-n[y], y)) if x and max(n[y] for y in x) >= setup.times * n[w] else None for w, x in links.items()}
+    root = functools.cache(lambda w: root(form[w]) if form[w] else w)
+    return sorted((w, form[w] or "", root(w), n[w], len(links[w]), n[form[w]] if form[w] else 0) for w in n)
+
+
+@pytest.mark.parametrize("setup", [variants.Setup(), variants.Setup(q=2, noise=3, least_n=2, times=2), variants.Setup(tile=3, noise=5, least_n=2, times=3), variants.Setup(q=1, least_length=2, noise=0, least_n=1, tile=20)])
+def test_spelling_variants(spark, setup):
+    rng = random.Random(8)
+    stems = ["banana", "bananas", "banane", "straße", "aaaaaa", "aaaaaaa", "aabaaa", "Publication", "publications", "années", "×÷abcd", "abcabcabc"]
+
+    def typo(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abxé") + w[i:], w[:i] + rng.choice("abxÉ") + w[i + 1 :]])
+
+    words = [w for s in stems for w in [s] * rng.randint(1, 60)] + [typo(rng.choice(stems)) for _ in range(300)]
+    words += [typo(typo(s)) for s in stems for _ in range(6)]
+    rows = [(i, " 1".join(rng.choices(words, k=60)), "w", 1, None) for i in range(40)] + [(5, "banana " * 9, "w", 1, None), (None, "banana straße " * 5, None, 1, None), (41, None, "w", 1, None), (42, "", "w", 1, None)]
+    rows.append((43, "q" * 3000 + " " + "q" * 3001 + " Bananas" * 20_000 + " " + "q" * 3000, "w", 1, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, n long, form string").repartition(3)
+    got = variants.group(docs, setup)
+    assert sorted((r["word"], r["form"] or "", r["root"], r["n"], r["n_near"], r["form_n"] or 0) for r in got.collect()) == brute_variants(rows, setup)
+    assert variants.group(docs.limit(0), setup).count() == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 30), max_size=20), max_size=8), st.integers(1, 4), st.integers(0, 20))
+@settings(max_examples=200, deadline=None)
+def test_merged_postings(lists, least, start):
+    lists = [sorted(set(x)) for x in lists]
+    assert list(variants.merged(lists, least, start)) == [i for i in range(start, 31) if sum(i in x for x in lists) >= least]
