@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -133,9 +133,9 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that stand in `least` of the sorted lists or more, by a heap; what too few lists hold is skipped."""
-    heap = [(x[0], j, 0) for j, x in enumerate(lists) if x]
+def merged(lists: list[list[int]], least: int, start: int = 0) -> Iterator[int]:
+    """Numbers from `start` that stand in `least` of the sorted lists or more, by a heap; what too few lists hold is skipped."""
+    heap = [(x[i], j, i) for j, x in enumerate(lists) if (i := bisect_left(x, start)) < len(x)]
     heapq.heapify(heap)
     while len(heap) >= least:
         top, popped = heap[0][0], []
@@ -159,19 +159,27 @@ def merged(lists: list[list[int]], least: int) -> Iterator[int]:
 def near_in(lives: set[str], visits: set[str], q: int) -> Iterator[tuple[str, str]]:
     """Pairs within one edit of a word that visits and one that lives here, the shorter or lesser first. All that live here are of one length, visitors of that or one less."""
     here = sorted(lives)
+    if not here or len(lives | visits) < 2:
+        return
+    length = len(here[0])
     postings: dict[tuple[str, int], list[int]] = defaultdict(list)
     for j, w in enumerate(here):
         for i, g in enumerate(grams(w, q)):
             postings[g, i].append(j)
     none: list[int] = []
     for w in visits:
-        length, shorter = len(here[0]), len(w) < len(here[0])
-        lists = []
+        shorter = len(w) < length
+        start = 0 if shorter else bisect_right(here, w)
+        lists, least = [], length - q + 1 - q
         for i, g in enumerate(grams(w, q)):
             same, later = postings.get((g, i), none), postings.get((g, i + 1), none) if shorter else none
-            lists.append(sorted({*same, *later}) if same and later else same or later)
-        for j in merged(lists, length - q + 1 - q):
-            if (shorter or w < here[j]) and one_edit(w, here[j]):
+            both = sorted({*same, *later}) if same and later else same or later
+            if len(both) == len(here):  # such as the gram of the place: one for each, so that the rest need one less
+                least -= 1
+            elif both:
+                lists.append(both)
+        for j in merged(lists, least, start) if least > 0 else range(start, len(here)):
+            if one_edit(w, here[j]):
                 yield w, here[j]
 
 
@@ -183,6 +191,7 @@ def _pairs(shared, q: int) -> Callable:
         found: list[tuple[str, int, str, int]] = []
         places: dict[tuple, tuple[dict[int, set], dict[int, set]]] = {}
         count: dict[str, int] = {}
+        where: dict[str, tuple[set[int], set[int]]] = {}
         cols = [t.column(c).to_pylist() for c in ("place", "key", "word", "n", "lives", "visits")]
         for place, key, w, n, lives, visits in zip(*cols, strict=True):
             count[w] = n
@@ -194,8 +203,10 @@ def _pairs(shared, q: int) -> Callable:
         for (_, key), (residents, visitors) in places.items():
             for length, lives in residents.items():
                 for a, b in near_in(lives, visitors[length - 1] | visitors[length], q):
-                    home, away = _places(a, q, rank)
-                    if min((home if len(a) == len(b) else away) & _places(b, q, rank)[0]) == key:
+                    for w in (a, b):
+                        if w not in where:
+                            where[w] = _places(w, q, rank)
+                    if min(where[a][len(a) < len(b)] & where[b][0]) == key:
                         found.append((a, count[a], b, count[b]))
         a, an, b, bn = zip(*found, strict=True) if found else ((), (), (), ())
         return pa.record_batch({"a": pa.array(a, pa.string()), "a_n": pa.array(an, pa.int64()), "b": pa.array(b, pa.string()), "b_n": pa.array(bn, pa.int64())})
