@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.scratch import written
+
 #: Upper bounds of the bands of z, exclusive.
 BANDS = ((-1.0, "highly_undervalued"), (-0.2, "slightly_undervalued"), (0.2, "average"), (1.0, "slightly_overvalued"))
 
@@ -47,15 +50,45 @@ def typed_prices(properties: DataFrame, listings: DataFrame) -> DataFrame:
     return typed.unionByName(legacy)
 
 
+def ranked(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """values (by, value, n: rows of that value; each value once) with `below`: rows of the group with a lesser value, nulls last.
+
+    Values are dealt out by range, over group and value, so that one large group lies on as many tasks as its values need. Within a range they are
+    counted up, and each range of a group adds what the ranges before it hold.
+    """
+    placed = written(values.repartitionByRange(*by, F.col(value).asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("part", *by).orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = placed.groupBy("part", *by).agg(F.sum("n").alias("sum")).withColumn("ahead", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    counted = placed.withColumn("below", F.coalesce(F.sum("n").over(here), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("part", *by)]
+    ahead = ahead.select("ahead", *[F.col(c).alias(f"of_{c}") for c in ("part", *by)])
+    return counted.join(ahead, reduce(lambda x, y: x & y, same)).select(*values.columns, (F.col("below") + F.col("ahead")).alias("below"))
+
+
 def statistics(typed: DataFrame) -> DataFrame:
     """Adds mean, median, stddev (sample) and pct (0: cheapest) of ppm within cohort and listing type.
 
-    Mean, median and deviation come from one aggregate that is joined back, so that a cohort of a third of
-    all rows is summed in parts; only the rank needs its rows in order.
+    A cohort may hold a third of all rows, or one price of it: all is counted by distinct prices first, a partial aggregate, and the ranks of these
+    come from `ranked`, the median from the two ranks in the middle. Nulls have no part in mean, median and deviation and rank last.
     """
     by = ["cohort", "listing_type"]
-    stats = typed.groupBy(*by).agg(F.avg("ppm").alias("mean"), F.percentile("ppm", F.lit(0.5)).alias("median"), F.stddev_samp("ppm").alias("stddev"))
-    return typed.withColumn("pct", F.percent_rank().over(Window.partitionBy(*by).orderBy(F.col("ppm").asc_nulls_last()))).join(stats, by)
+    ranks = written(ranked(typed.groupBy(*by, "ppm").agg(F.count(F.lit(1)).alias("n")), by, "ppm"), "ranks")
+    known = F.col("ppm").isNotNull()
+    sums = ranks.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum(F.when(known, F.col("n"))).alias("prices"), (F.sum(F.col("n") * F.col("ppm")) / F.sum(F.when(known, F.col("n")))).alias("mean"))
+    named = sums.select(*[F.col(c).alias(f"of_{c}") for c in by], "rows", "prices", "mean")
+    within = F.col("cohort").eqNullSafe(F.col("of_cohort")) & F.col("listing_type").eqNullSafe(F.col("of_listing_type"))
+    r = ranks.join(named, within).drop("of_cohort", "of_listing_type")
+    # of the prices in order those at (prices - 1) / 2, rounded down and up, lie in the middle
+    low, high = F.floor((F.col("prices") - 1) / 2), F.ceil((F.col("prices") - 1) / 2)
+    at = lambda i: F.max(F.when(known & (F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col("ppm")))
+    off = F.sum(F.col("n") * (F.col("ppm") - F.col("mean")) * (F.col("ppm") - F.col("mean")))
+    spread = r.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"), F.when(F.max("prices") > 1, F.sqrt(off / (F.max("prices") - 1))).alias("stddev"))
+    spread = spread.select(*[F.col(c).alias(f"of_{c}") for c in by], "median", "stddev")
+    pct = F.when(F.col("rows") > 1, F.col("below") / (F.col("rows") - 1)).otherwise(0.0)
+    r = r.join(spread, within).select(*[F.col(c).alias(f"of_{c}") for c in (*by, "ppm")], "mean", "median", "stddev", pct.alias("pct"))
+    # back to the rows by price; AQE splits what one price makes large
+    return typed.join(r, within & F.col("ppm").eqNullSafe(F.col("of_ppm"))).drop("of_cohort", "of_listing_type", "of_ppm")
 
 
 def z_score(x: Column, mean: Column, stddev: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.scratch import discard, written
+
+#: Microseconds of a key's life that are put in order in one task: four days.
+SPAN = 4 * 86_400_000_000
 KEY = ["property_id", "listing_type", "platform", "property_listing_id"]
 
 
@@ -68,11 +72,56 @@ def evaluate_watches(watchlist: DataFrame, listings: DataFrame) -> DataFrame:
     return drops(now.select("property_id", "price", F.col("price").alias("old_price")).distinct(), watchlist)
 
 
+def followers(alerts: DataFrame, seconds: int, key: str) -> DataFrame:
+    """alerts (key, at: microseconds; each once) with `after`: the first alert of the key `seconds` later or more, null for none.
+
+    Alerts and the moments that they ask for are sorted together, by key and spans of some days, and the nearest alert ahead is carried along; where a span
+    has none ahead, the next span's first counts. So a key's whole life is in no one task.
+    """
+    wait = seconds * 1_000_000
+    both = alerts.select(key, F.col("at").alias("moment"), F.lit(True).alias("alert")).unionByName(alerts.select(key, (F.col("at") + wait).alias("moment"), F.lit(False).alias("alert")))
+    both = both.withColumn("span", F.floor(F.col("moment") / SPAN))
+    later = Window.partitionBy(key, "span").orderBy(F.desc("moment"), F.desc("alert")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("after", F.last(F.when(F.col("alert"), F.col("moment")), ignorenulls=True).over(later)).where("NOT alert")
+    starts = both.groupBy(key, "span").agg(F.min(F.when(F.col("alert"), F.col("moment"))).alias("first"))
+    ahead = Window.partitionBy(key).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("next", F.last("first", ignorenulls=True).over(ahead)).select(F.col(key).alias("of_key"), F.col("span").alias("of_span"), "next")
+    out = found.join(starts, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("span") == F.col("of_span")))
+    return out.select(key, (F.col("moment") - wait).alias("at"), F.coalesce("after", "next").alias("after"))
+
+
+def leaders(alerts: DataFrame, key: str, span: int) -> DataFrame:
+    """alerts (key, at: microseconds; each once) with `before`: the key's alert before, null for none. Again by spans, of whose first the last one of an earlier span is before."""
+    rows = alerts.withColumn("span", F.floor(F.col("at") / span))
+    inside = rows.withColumn("before", F.lag("at").over(Window.partitionBy(key, "span").orderBy("at")))
+    ends = rows.groupBy(key, "span").agg(F.max("at").alias("end"))
+    ends = ends.withColumn("end", F.lag("end").over(Window.partitionBy(key).orderBy("span"))).select(F.col(key).alias("of_key"), F.col("span").alias("of_span"), "end")
+    out = inside.join(ends, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("span") == F.col("of_span")))
+    return out.select(key, "at", F.coalesce("before", "end").alias("before"))
+
+
 def debounced(alerts: DataFrame, seconds: int = 3600, key: str = "property_id") -> DataFrame:
-    """At most one alert of a key in `seconds` after one that was sent."""
-    items = F.array_sort(F.collect_list(F.col("ts").cast("double")))
-    sent = F.aggregate(items, F.array().cast("array<double>"), lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= seconds), F.concat(s, F.array(t))).otherwise(s))
-    return alerts.groupBy(key).agg(sent.alias("sent")).select(key, F.explode("sent").alias("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
+    """At most one alert of a key in `seconds` after one that was sent.
+
+    What is sent is where the first alert of each key leads to, step by step (`followers`). An alert `seconds` after the one before it is sent whatever
+    came earlier, so all such are starts at once; the others are reached by steps that double in length each round.
+    """
+    at = alerts.where(F.col("ts").isNotNull()).select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).distinct()
+    steps = written(followers(at, seconds, key), "steps")
+    sent = written(leaders(steps.select(key, "at"), key, SPAN).where(F.col("before").isNull() | (F.col("at") - F.col("before") >= seconds * 1_000_000)).select(key, "at"), "sent")
+    known = sent.count()
+    jump = steps.where("after IS NOT NULL")
+    while True:
+        to = jump.select(F.col(key).alias("of_key"), F.col("at").alias("of_at"), "after")
+        on = F.col(key).eqNullSafe(F.col("of_key")) & (F.col("at") == F.col("of_at"))
+        more = written(sent.unionByName(sent.join(to, on).select(key, F.col("after").alias("at"))).distinct(), "sent")
+        discard(sent)
+        sent, was, known = more, known, more.count()
+        if known == was:
+            break
+        twice = jump.select(key, F.col("at").alias("start"), F.col("after").alias("at")).join(to, on).select(key, F.col("start").alias("at"), "after")
+        jump = written(twice, "steps")
+    return sent.select(key, F.timestamp_micros("at").alias("ts"))
 
 
 def rolling_sum(events: DataFrame, seconds: int, key: list[str], ts: str = "ts", amount: str = "amount") -> DataFrame:

@@ -697,3 +697,35 @@ def quality_profiles(s, d):
     flags = F.when(k % 2 == 0, F.array(F.lit(" flood "), F.lit(" "), F.lit(None).cast("string")))
     areas = t(s, d, "supplier").select(k.alias("id"), F.when(k % 3 > 0, k % 10 / 10).alias("amenity_score"), (k % 7 / 5).alias("transit_score"), none.alias("access_score"), F.lit(-0.1).alias("safety_score"), flags.alias("risk_flags"), F.when(k % 4 == 0, " quiet ").otherwise(" ").alias("quality_notes"))
     return search.quality_profile(areas).select("id", F.round("neighbourhood_score", 6).alias("score"), F.size("risk_flags").alias("flags"), F.col("quality_notes").alias("notes"))
+
+
+#: Word pairs of the benchmark's passages, which are a fixed set, as a catalogue in order of their first places.
+PAIRS = """ps AS (SELECT name, row_number() OVER (ORDER BY first) - 1 AS i FROM (SELECT w[i] || ' ' || w[i + 1] AS name, min((item_id, i)) AS first
+  FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)) GROUP BY 1)),
+pf AS (SELECT i, name, lower(name) AS f FROM ps)"""
+
+
+def word_pairs(s: SparkSession, d: str) -> list[str]:
+    words = t(s, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) > 1")
+    pairs = words.select("item_id", "w", F.explode(F.expr("sequence(1, size(w) - 1)")).alias("i")).select(F.expr("concat_ws(' ', w[i - 1], w[i])").alias("name"), "item_id", "i")
+    return [r.name for r in pairs.groupBy("name").agg(F.min(F.struct("item_id", "i")).alias("first")).orderBy("first").collect()]
+
+
+@query(
+    f"""WITH {PAIRS}, d AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS f FROM documents)
+SELECT doc_id, (SELECT name FROM ps WHERE ps.i = m) AS mentioned FROM (SELECT doc_id, min(i) AS m FROM d LEFT JOIN pf ON length(pf.f) >= 4 AND contains(d.f, pf.f) GROUP BY doc_id)"""
+)
+def catalogue_mentions(s, d):
+    """The first word pair of the benchmark that stands in a document, accents aside."""
+    return location.mentions(t(s, d, "documents"), "text", word_pairs(s, d)).select("doc_id", "mentioned")
+
+
+@query(
+    f"""WITH {PAIRS}, u AS (SELECT conv_id, turn, lower(strip_accents(regexp_extract(text, '[A-Za-z]+( [A-Za-z]+)?'))) AS f FROM conversations)
+SELECT conv_id, turn, (SELECT name FROM ps WHERE ps.i = m) AS known FROM (SELECT conv_id, turn, min(i) AS m FROM u LEFT JOIN pf ON length(u.f) >= 3 AND (contains(u.f, pf.f) OR contains(pf.f, u.f)) GROUP BY conv_id, turn)"""
+)
+def catalogue_tokens(s, d):
+    """The first word pair of the benchmark that equals, holds or lies in a turn's first words."""
+    names = location.catalogue(t(s, d, "benchmark"), word_pairs(s, d))
+    head = text.fold(F.regexp_extract("text", "[A-Za-z]+( [A-Za-z]+)?", 0))
+    return t(s, d, "conversations").select("conv_id", "turn", names.known(head).alias("known"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
+from larkspur.functions.columns import settled
 
 # Cities that a slug names, and the one of all others.
 CITIES = (("campinas", "Campinas", "SP"), ("sao-paulo", "São Paulo", "SP"), ("são-paulo", "São Paulo", "SP"))
@@ -38,7 +39,7 @@ FIELDS = ["platform_id", "title", "description", "price", "area_m2", "bedrooms",
 
 def _parsed(rows: DataFrame) -> DataFrame:
     """With the text parsed once; null for what isn't JSON."""
-    return rows.withColumn("_v", F.try_parse_json("raw"))
+    return settled(rows, _v=F.try_parse_json("raw"))
 
 
 def _get(path: str) -> Column:
@@ -100,12 +101,13 @@ def _offers(rent: Column, sale: Column, rent_base: Column, sale_base: Column, co
     return F.filter(both, lambda x: x.isNotNull())
 
 
-def _record(rows: DataFrame, **c: Column) -> DataFrame:
+def _record(rows: DataFrame, beside: list[str] | None = None, **c: Column) -> DataFrame:
+    """beside: columns to keep, where `rows` has others that are only steps."""
     rent, sale = c.pop("rent"), c.pop("sale")
     c["for_rent"], c["for_sale"] = F.coalesce(rent > 0, F.lit(False)), F.coalesce(sale > 0, F.lit(False))
     c["price"] = F.when(rent > 0, rent).when(sale > 0, sale)
     c["reason"] = F.when(c["platform_id"].isNull(), "no_id").when(c["price"].isNull(), "no_price")
-    kept = [x for x in rows.columns if x.lower() not in {"raw", "_v", "_pairs", "_prices", *FIELDS}]
+    kept = [f"`{x}`" for x in beside or rows.columns if x.lower() not in {"raw", "_v", "_pairs", "_prices", *FIELDS}]
     return rows.select(*kept, *[c[x].alias(x) for x in FIELDS])
 
 
@@ -195,45 +197,80 @@ def _priced(e: Column) -> Column:
 
 
 def from_labels(rows: DataFrame, site: str) -> DataFrame:
-    """One price, or several entries, and a list of labelled attributes; the rent's total is the price and both fees."""
-    items = F.filter(F.concat(_list("properties"), _list("attributes")), lambda x: x.startswith("{"))
-    get = lambda x, k: F.nullif(F.get_json_object(x, f"$.{k}"), F.lit(""))
-    pairs = F.flatten(F.transform(items, lambda x: F.array(*[F.struct(F.lower(get(x, k)).alias("k"), F.coalesce(get(x, "value"), get(x, "text")).alias("v")) for k in ("label", "name")])))
-    rows = _parsed(rows).withColumn("_pairs", F.filter(pairs, lambda p: p.k.isNotNull() & p.v.isNotNull()))  # later ones win
-    rows = rows.withColumn("_prices", F.filter(F.transform(_list("pricingInfos"), _priced), lambda p: p.kind.isNotNull() & p.amount.isNotNull()))
-    last = lambda k: F.try_element_at(F.filter("_pairs", lambda p: p.k == k), F.lit(-1)).v
-    label = lambda keys, parse: F.coalesce(*[parse(last(k)) for k in keys])
+    """One price, or several entries, and a list of labelled attributes; the rent's total is the price and both fees.
+
+    The fields and labels that the rules below ask for are read once, and what several rules use is settled before them: the whole as one expression
+    would compute a field anew for each of its hundreds of uses.
+    """
+    fields: dict[str, str] = {}
+    labels: dict[str, str] = {}
+
+    def field(path: str) -> Column:
+        name = fields.setdefault(path, f"_field{len(fields)}")
+        return F.when(F.trim(name) != "", F.col(name))
+
+    def label(keys: tuple[str, ...], parse) -> Column:
+        return F.coalesce(*[parse(F.col(labels.setdefault(k, f"_label{len(labels)}"))) for k in keys])
+
+    one = lambda *paths: F.coalesce(*map(field, paths))
     decimal = lambda keys: label(keys, lambda v: F.coalesce(text.brazilian_number(v), F.regexp_replace(v, r"[^\d.]", "").try_cast("double")))
     integer = lambda keys: label(keys, lambda v: F.regexp_replace(v, r"\D", "").try_cast("int"))
     yes = lambda keys: label(keys, lambda v: F.lower(v).contains("sim") | F.lower(v).contains("permit"))
-    condo, iptu = decimal(CONDO_FEE), decimal(("iptu",))
-
-    url = F.coalesce(_get("url"), F.concat(F.lit(f"{site}/detalhes/"), _one("list_id", "listId", "id", "ad_id")))
-    number = lambda *keys: F.coalesce(*[positive(_get(k)) for k in keys])
-    single = F.coalesce(number("value", "price", "pricingInfos[0].value", "pricingInfos[0].price"), *[text.brazilian_number(_get(k)) for k in ("priceValue", "price", "price_str", "value_str", "subject")])
-    title = F.coalesce(_one("subject", "title"), F.lit("Imóvel"))
-    stamp = _get("listing_type")
-    kind = F.coalesce(F.when(stamp.isin("rent", "sale"), stamp), path_type(_get("url")), text.listing_type_from(title, single, F.lit(None).cast("string")))
+    number = lambda *keys: F.coalesce(*[positive(field(k)) for k in keys])
+    place = lambda *keys: F.coalesce(*[F.coalesce(field(f"locationDetails.{k}"), F.when(field("locationDetails").isNull(), field(f"location.{k}"))) for k in keys])
+    degrees = lambda *paths: F.nullif(one(*paths).try_cast("double"), F.lit(0.0))
+
+    segment = F.nullif(F.regexp_extract(F.lower(F.coalesce(field("url"), F.lit(""))), r"(?:^|/)(apartamentos|casas|kitnets?)(?:/|$)", 1), F.lit(""))
+    step = {
+        "_id": one("list_id", "listId", "id", "ad_id"),
+        "_title": F.coalesce(one("subject", "title"), F.lit("Imóvel")),
+        "_single": F.coalesce(number("value", "price", "pricingInfos[0].value", "pricingInfos[0].price"), *[text.brazilian_number(field(k)) for k in ("priceValue", "price", "price_str", "value_str", "subject")]),
+        "_stamp": F.when(field("listing_type").isin("rent", "sale"), field("listing_type")),
+        "_path": path_type(field("url")),
+        "_rents": positive(field("window_prices.rent")),
+        "_sells": positive(field("window_prices.sale")),
+        "_condo": decimal(CONDO_FEE),
+        "_iptu": decimal(("iptu",)),
+        "_lat": degrees("location.lat", "location.latitude", "coordinates.lat"),
+        "_lon": degrees("location.lon", "location.lng", "location.longitude", "coordinates.lon", "coordinates.lng"),
+        "_area": place("neighborhood", "neighborhoodName", "neighbourhood"),
+        "_city": place("city", "cityName", "municipality"),
+        "_state": place("uf", "state"),
+        "_street": place("address", "street"),
+        "_sort": F.coalesce(text.property_type(field("property_type")), field("property_type"), text.property_type(segment)),
+        "_kind_label": F.coalesce(*[label((k,), text.property_type) for k in KIND]),
+    }
+    col = F.col
+    kind = F.coalesce("_stamp", "_path", text.listing_type_from(col("_title"), col("_single"), F.lit(None).cast("string")))
     of = lambda k: F.get(F.filter("_prices", lambda p: p.kind == k), F.lit(0)).amount
-    window_rent, window_sale = positive(_get("window_prices.rent")), positive(_get("window_prices.sale"))
-    windows, typed = window_rent.isNotNull() | window_sale.isNotNull(), F.size("_prices") > 0
-    side = lambda k, w: F.when(windows, w).when(typed, of(k)).when(kind == k, single)
-    base, sale = side("rent", window_rent), side("sale", window_sale)
-    rent = base + F.coalesce(condo, F.lit(0.0)) + F.coalesce(iptu, F.lit(0.0))
-
-    place = lambda *keys: F.coalesce(*[F.coalesce(_get(f"locationDetails.{k}"), F.when(_get("locationDetails").isNull(), _get(f"location.{k}"))) for k in keys])
-    degrees = lambda *paths: F.nullif(_one(*paths).try_cast("double"), F.lit(0.0))
-    lat, lon = degrees("location.lat", "location.latitude", "coordinates.lat"), degrees("location.lon", "location.lng", "location.longitude", "coordinates.lon", "coordinates.lng")
-    placed = lat.isNotNull() & lon.isNotNull()
-    area, city, state = place("neighborhood", "neighborhoodName", "neighbourhood"), place("city", "cityName", "municipality"), place("uf", "state")
-    before = F.coalesce(city, area, place("address", "street"), F.lit(""))
-    address = F.coalesce(_joined(place("address", "street"), area, city, F.when(~before.contains(state), state)), F.when(~_get("location").startswith("{"), _get("location")))
+    windows, typed = col("_rents").isNotNull() | col("_sells").isNotNull(), F.size("_prices") > 0
+    side = lambda k, w: F.when(windows, w).when(typed, of(k)).when(col("_kind") == k, col("_single"))
+    before = F.coalesce("_city", "_area", "_street", F.lit(""))
+    address = F.coalesce(_joined(col("_street"), col("_area"), col("_city"), F.when(~before.contains(col("_state")), col("_state"))), F.when(~field("location").startswith("{"), field("location")))
+    record = {
+        "platform_id": col("_id"), "title": col("_title"), "description": F.trim(F.coalesce(one("body", "description"), F.lit(""))), "area_m2": decimal(AREA), "bedrooms": integer(BEDROOMS), "bathrooms": integer(BATHROOMS),
+        "parking": integer(PARKING), "lon": F.when(col("_lat").isNotNull(), col("_lon")), "lat": F.when(col("_lon").isNotNull(), col("_lat")), "address": address, "type": F.coalesce("_sort", "_kind_label", text.property_type_in(one("subject", "title"))),
+        "neighborhood": col("_area"), "city": col("_city"), "state": col("_state"), "amenities": F.array().cast("array<string>"),
+    }
+    url = F.coalesce(field("url"), F.concat(F.lit(f"{site}/detalhes/"), col("_id")))
+    furnished, pets = yes(FURNISHED), yes(PETS)
+
+    # all fields and labels are known by now
+    items = F.filter(F.concat(_list("properties"), _list("attributes")), lambda x: x.startswith("{"))
+    get = lambda x, k: F.nullif(F.get_json_object(x, f"$.{k}"), F.lit(""))
+    pairs = F.flatten(F.transform(items, lambda x: F.array(*[F.struct(F.lower(get(x, k)).alias("k"), F.coalesce(get(x, "value"), get(x, "text")).alias("v")) for k in ("label", "name")])))
+    priced = F.filter(F.transform(_list("pricingInfos"), _priced), lambda p: p.kind.isNotNull() & p.amount.isNotNull())
     images = _images(F.when(F.size(_list("images")) > 0, _list("images")).otherwise(_list("photos")), ("src", "url", "path", "original", "originalWebp"))
-    stamped = _get("property_type")
-    segment = F.nullif(F.regexp_extract(F.lower(F.coalesce(_get("url"), F.lit(""))), r"(?:^|/)(apartamentos|casas|kitnets?)(?:/|$)", 1), F.lit(""))
-    sort = F.coalesce(text.property_type(stamped), stamped, text.property_type(segment), *[text.property_type(last(k)) for k in KIND], text.property_type_in(_one("subject", "title")))
-    return _record(
-        rows, rent=rent, sale=sale, platform_id=_one("list_id", "listId", "id", "ad_id"), title=title, description=F.trim(F.coalesce(_one("body", "description"), F.lit(""))), area_m2=decimal(AREA), bedrooms=integer(BEDROOMS), bathrooms=integer(BATHROOMS), parking=integer(PARKING),
-        lon=F.when(placed, lon), lat=F.when(placed, lat), address=address, image_urls=images, type=sort, neighborhood=area, city=city, state=state, amenities=F.array().cast("array<string>"),
-        listings=_offers(rent, sale, base, F.lit(None), condo, iptu, url, yes(FURNISHED), yes(PETS), F.lit(False), F.lit(None)),
-    )
+    read = {name: F.try_variant_get("_v", f"$.{path}", "string") for path, name in fields.items()}
+    wide = settled(_parsed(rows), _pairs=F.filter(pairs, lambda p: p.k.isNotNull() & p.v.isNotNull()), _prices=priced, _images=images, **read)
+
+    def last(key: str) -> Column:
+        return F.try_element_at(F.filter("_pairs", lambda p: p.k == key), F.lit(-1)).v  # of equal labels the last
+
+    wide = settled(wide, **{name: last(key) for key, name in labels.items()})
+    wide = settled(wide, **step)
+    wide = settled(wide, _kind=kind, _furnished=furnished, _pets=pets, _url=url)
+    wide = settled(wide, _base=side("rent", col("_rents")), _sale=side("sale", col("_sells")))
+    wide = settled(wide, _rent=col("_base") + F.coalesce("_condo", F.lit(0.0)) + F.coalesce("_iptu", F.lit(0.0)))
+    offers = _offers(col("_rent"), col("_sale"), col("_base"), F.lit(None), col("_condo"), col("_iptu"), col("_url"), col("_furnished"), col("_pets"), F.lit(False), F.lit(None))
+    return _record(wide, rows.columns, rent=col("_rent"), sale=col("_sale"), image_urls=col("_images"), listings=offers, **record)

@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import statistics
 from datetime import datetime, timedelta
 
 import duckdb
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.functions import geo, text
+from larkspur.functions import catalogue, geo, text
 from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
 from larkspur.sources import files, records
 
@@ -379,3 +381,59 @@ def test_names_give_neighbourhoods(spark):
     out = location.assigned_by_name(p, areas)
     assert out.columns == p.columns
     assert sorted((r.id, r.neighborhood_id) for r in out.collect()) == [(1, 5), (2, 6), (3, 7), (4, 5)]
+
+
+@given(st.lists(st.text("abc", min_size=1, max_size=5), max_size=12), st.text("abc", max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_catalogue_index(names, token):
+    """Against a look at every name."""
+    ix = catalogue.Index([(n, n, n) for n in names])
+    first = [i for i, n in enumerate(names) if n not in names[:i]]
+    assert ix.within(token) == {i for i in first if names[i] in token}
+    if token and names:
+        assert ix.around(token) == next((i for i, n in enumerate(names) if token in n), None)
+    want = next((i for i, n in enumerate(names) if n in token or token in n), None) if len(token) >= 3 else None
+    assert ix.known(token) == want
+
+
+def test_catalogue(spark):
+    names = location.catalogue(spark.range(1), ["", "Itapoã", "São João", "ITAPOA", "Centro Sul", "BH"])
+    rows = spark.createDataFrame([(0, "itapoa perto do centro sul"), (1, "sao joao itapoa"), (2, None), (3, "centro"), (4, "xx"), (5, "bh")], "k int, t string")
+    got = rows.select("k", names.mentioned(F.col("t")).alias("m"), names.known(F.col("t")).alias("n"), names.listed(F.col("t")).alias("l"), names.known_each(F.split("t", " ")).alias("e")).orderBy("k").collect()
+    assert [[x.name for x in r.m] for r in got] == [["Itapoã", "Centro Sul"], ["Itapoã", "São João"], [], [], [], []]
+    assert [r.n for r in got] == ["Itapoã", "Itapoã", None, "Centro Sul", None, None]
+    assert [r.l for r in got] == [False] * 6 and location.catalogue(rows, ["BH"]).names == [("BH", "bh", "belo horizonte")]
+    assert got[2].e is None and [x.name for x in got[1].e] == ["São João", "São João", "Itapoã"]
+    with pytest.raises(ValueError):
+        location.catalogue(rows, ["x" * 5_000_000])
+    none = location.catalogue(rows, [])
+    assert {(r.n, r.l) for r in rows.select(none.known(F.col("t")).alias("n"), none.listed(F.col("t")).alias("l")).collect()} == {(None, False)}
+
+
+def test_statistics_of_hot_cohorts(spark):
+    """Ties of a third of all rows, nulls, groups of one; against plain Python."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), "rent", rng.choice([5.0, rng.randint(0, 20) / 2, None])) for i in range(400)] + [(1000, "one", "sale", 3.0), (1001, None, "rent", 1.0), (1002, None, "rent", 4.0), (1003, "null", "rent", None)]
+    typed = spark.createDataFrame(rows, "property_id long, cohort string, listing_type string, ppm double").repartition(3)
+    for r in cohort.statistics(typed).collect():
+        same = [p for _, c, t, p in rows if (c, t) == (r.cohort, r.listing_type)]
+        known = [p for p in same if p is not None]
+        below = sum(r.ppm is None or p < r.ppm for p in known)
+        assert r.pct == pytest.approx(below / (len(same) - 1) if len(same) > 1 else 0)
+        assert r.median == (statistics.median(known) if known else None) and r["mean"] == (pytest.approx(statistics.mean(known)) if known else None)
+        assert r.stddev == (pytest.approx(statistics.stdev(known)) if len(known) > 1 else None)
+    assert cohort.statistics(typed).count() == len(rows) and cohort.statistics(typed.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seconds", [60, 3600, 500_000])
+def test_debounced_against_a_loop(spark, seconds):
+    rng = random.Random(5)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=t)) for k in (1, 2, None) for t in (sorted(rng.randint(0, 3_000_000) for _ in range(150)) if k != 2 else range(0, 40_000, 30))]
+    rows += rows[:5] + [(3, datetime(2024, 1, 1)), (4, None)]
+    want, last = set(), {}
+    for k, t in sorted((r for r in rows if r[1]), key=lambda r: r[1]):
+        if k not in last or (t - last[k]).total_seconds() >= seconds:
+            want.add((k, t))
+            last[k] = t
+    got = [tuple(r) for r in history.debounced(spark.createDataFrame(rows, "property_id long, ts timestamp"), seconds).collect()]
+    assert len(got) == len(want) and set(got) == want

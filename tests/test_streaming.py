@@ -46,12 +46,54 @@ def test_first_event_windows(spark, tmp_path):
     assert last == {T0 + timedelta(hours=5): 6, T0 + timedelta(hours=29): 2, T0 + timedelta(hours=60): 2}
 
 
-def test_price_history(spark, tmp_path):
-    schema = "property_id string, listing_type string, platform string, property_listing_id string, price double, ts timestamp"
-    frames = [[("p", "rent", "x", "1", price, T0 + timedelta(days=d))] for d, price in enumerate((10.0, 10.0, 9.0))]
-    df = stream(spark, tmp_path / "in", frames, schema)
-    q = jobs.price_history(df, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+def test_state_leaves(spark, tmp_path):
+    """After a day of other keys nothing of the first ones is held."""
+    frames = [[(k, T0) for k in range(20)], [(100, T0 + timedelta(days=1))], [(101, T0 + timedelta(days=2))], [(101, T0 + timedelta(days=2, minutes=1))]]
+    df = stream(spark, tmp_path / "in", frames, "property_id long, ts timestamp")
+    q = jobs.debounced(df).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted((r.price, r.start_ts.day, r.end_ts and r.end_ts.day) for r in spark.read.parquet(str(tmp_path / "out/v2")).collect())
-    batch = history.intervals(spark.createDataFrame(sum(frames, []), schema).withColumn("ts", F.col("ts")))
-    assert got == sorted((r.price, r.start_ts.day, r.end_ts and r.end_ts.day) for r in batch.collect()) == [(9.0, 3, None), (10.0, 1, 3)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held[0] == 20 and held[-1] <= 2
+
+
+PRICES = "property_id string, listing_type string, platform string, property_listing_id string, price double, ts timestamp"
+
+
+def observed(key, price, hours):
+    return (key, "rent", "x", None if key == "none" else "1", price, T0 + timedelta(hours=hours))
+
+
+def run_history(spark, folder, df, compact=20):
+    q = jobs.price_history(df, str(folder / "out"), str(folder / "cp"), compact).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return sorted((r.property_id, r.price, r.start_ts, r.end_ts) for r in jobs.price_table(spark, str(folder / "out")).collect())
+
+
+def test_price_history(spark, tmp_path):
+    frames = [
+        [observed("p", 10.0, 0), observed("q", 5.0, 0), observed("none", 1.0, 0)],
+        [observed("p", 10.0, 24), observed("q", 6.0, 30), observed("q", 7.0, 26)],
+        [observed("p", None, 40)],
+        [observed("p", 9.0, 48), observed("q", 1.0, 2)],
+        [observed("none", 2.0, 50)],
+    ]
+    for compact in (20, 2):
+        folder = tmp_path / str(compact)
+        folder.mkdir()
+        got = run_history(spark, folder, stream(spark, folder / "in", frames, PRICES), compact)
+        rows = [r for r in sum(frames, []) if r[4] is not None and r[4] != 1.0 or r[0] == "none"]  # without the late one
+        batch = history.intervals(spark.createDataFrame(rows, PRICES))
+        assert got == sorted((r.property_id, r.price, r.start_ts, r.end_ts) for r in batch.collect())
+        written = sorted(x.name for x in (folder / "out/open").iterdir() if x.name.startswith("version"))
+        assert written == (["version=0", "version=2", "version=6", "version=8"] if compact == 20 else ["version=7", "version=8"])
+        assert len(list((folder / "out/open/version=8").glob("bucket=*"))) == 1  # its one key's
+
+
+def test_price_history_again(spark, tmp_path):
+    """A batch that runs again, as after a failure, changes nothing; neither does an empty one."""
+    frames = [[observed("p", 10.0, 0)], [observed("p", 9.0, 24)]]
+    got = run_history(spark, tmp_path, stream(spark, tmp_path / "in", frames, PRICES))
+    for commit in (tmp_path / "cp/commits").glob("*1*"):
+        commit.unlink()
+    assert run_history(spark, tmp_path, stream(spark, tmp_path / "in", frames, PRICES)) == got and len(got) == 2
+    assert jobs.price_table(spark, str(tmp_path / "nowhere")).count() == 0
