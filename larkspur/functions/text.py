@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,11 +71,15 @@ def property_type_spellings(raw: str) -> list[str]:
     return sorted({raw.strip().lower()} | ({k for k, v in PROPERTY_TYPES.items() if v == kind} | {k.replace("_", " ") for k, v in PROPERTY_TYPES.items() if v == kind} if kind else set()))
 
 
+#: A quarter whose name reads like a cue, and whole words of sale.
+MASKED, SALE_WORDS = r"(?i)venda[\s\-]*nova", (r"\bvendo\b", r"\bvenda\b")
+
+
 def listing_type_from(title: Column, price: Column, current: Column) -> Column:
     """Title cues, else price band; where they differ the price; else the current type; else sale."""
-    t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)venda[\s\-]*nova", " "))
+    t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), MASKED, " "))
     has = lambda cues: F.greatest(*[t.contains(x) for x in cues])
-    rent, sale = has(RENT_CUES), has(SALE_CUES) | t.rlike(r"\bvendo\b") | t.rlike(r"\bvenda\b")
+    rent, sale = has(RENT_CUES), has(SALE_CUES) | t.rlike(SALE_WORDS[0]) | t.rlike(SALE_WORDS[1])
     by_title = F.when(rent & sale, None).when(rent, "rent").when(sale, "sale")
     by_price = F.when(price >= SALE_FLOOR, "sale").when((price > 0) & (price < RENT_CEILING), "rent")
     return F.coalesce(by_price, by_title, F.when(current.isin("rent", "sale"), current), F.lit("sale"))
@@ -122,6 +127,7 @@ def expand_query(text: str | None) -> str:
     return " ".join([query, *more])
 
 
+@lru_cache(maxsize=100_000)  # titles of one market repeat
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -151,6 +157,15 @@ def _jaro_winklers(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def jaro_winkler_at_most(a: Column, b: Column) -> Column:
+    """What `similarity` by Jaro-Winkler can't exceed, from the lengths and the first four letters alone: a shorter text has no more letters in common than its own."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    jaro = (2 + F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))) / 3
+    same = [F.substring(x, 1, n) == F.substring(y, 1, n) for n in (4, 3, 2, 1)]
+    prefix = F.when(same[0], 4).when(same[1], 3).when(same[2], 2).when(same[3], 1).otherwise(0)
+    return F.when((F.length(x) > 0) & (F.length(y) > 0), jaro + 0.1 * prefix * (1 - jaro)).otherwise(0.0)
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """0 for null or empty strings."""
     return F.pandas_udf(_jaro_winklers, "double")(a, b)

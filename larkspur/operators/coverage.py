@@ -70,15 +70,9 @@ def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.agg(F.avg(F.when(both, (F.col("c1") == F.col("c2")).cast("double"))).alias("agreement"), F.avg(F.col("s2") - F.col("s1")).alias("mean_delta"), F.avg(F.abs(F.col("s2") - F.col("s1"))).alias("mean_abs_delta"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, distance: Column) -> DataFrame:
-    """queries (a stated set, blocked by broadcast only if small) against all vectors, with distance."""
-    return queries.crossJoin(vectors).withColumn("distance", distance)
-
-
-def retrieval(ranked: DataFrame) -> DataFrame:
-    """Top-1 share and mean reciprocal rank of (query, rank, relevant)."""
-    first = ranked.where("relevant").groupBy("query").agg(F.min("rank").alias("rank"))
-    return first.agg(F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.avg(1 / F.col("rank")).alias("mrr"))
+def retrieval(ranks: DataFrame) -> DataFrame:
+    """Top-1 share and mean reciprocal rank of (query, rank): the rank of each query's first relevant answer."""
+    return ranks.agg(F.avg((F.col("rank") == 1).cast("double")).alias("top1"), F.avg(1 / F.col("rank")).alias("mrr"))
 
 
 def progress(counts: DataFrame, fields: list[str], today: Column, active: Column, remaining: Column, per_day: Column) -> DataFrame:

@@ -216,12 +216,21 @@ def saturating_score(s, d):
     return n.select("l_partkey", F.round(score, 6).alias("score"))
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], q.e), 9) AS distance FROM embeddings, q ORDER BY list_cosine_distance(embedding::DOUBLE[], q.e), vec_id LIMIT 20")
+def all_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors without nulls; a null label is a group that no other is like."""
+    e = t(s, d, "embeddings").where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    return e.select(F.col("vec_id").cast("long").alias("id"), F.coalesce(F.col("label").cast("string"), F.concat(F.lit("none "), F.col("vec_id"))).alias("group"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query, vec_id, round(list_cosine_distance(embedding::DOUBLE[], e), 9) AS distance FROM q, embeddings WHERE vec_id <> query)
+SELECT query, vec_id, distance FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 20"""
+)
 def knn_cosine(s, d):
-    e = t(s, d, "embeddings")
-    v = e.where("vec_id = 0").first().embedding
-    rows = e.withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in v])))
-    return rows.orderBy("distance", "vec_id").limit(20).select("vec_id", F.round("distance", 9).alias("distance"))
+    """The 20 nearest of every vector whose id is divisible by 50, of all vectors."""
+    e = all_vectors(s, d)
+    return vectors.nearest(e.where("id % 50 = 0"), e, 20).withColumnRenamed("id", "vec_id")
 
 
 @query(
@@ -230,11 +239,8 @@ r AS (SELECT query, ql = label AS relevant, row_number() OVER (PARTITION BY quer
 f AS (SELECT query, min(rank) AS rank FROM r WHERE relevant GROUP BY 1) SELECT round(avg((rank = 1)::DOUBLE), 6) AS top1, round(avg(1.0 / rank), 6) AS mrr FROM f"""
 )
 def mrr_eval(s, d):
-    e = t(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    pairs = coverage.nearest(q, e, F.round(vectors.cosine_distance(F.col("v"), F.col("qv")), 9)).where("vec_id <> query")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
-    return coverage.retrieval(pairs.select("query", (F.col("label") == F.col("ql")).alias("relevant"), rank.alias("rank"))).select(R("top1"), R("mrr"))
+    e = all_vectors(s, d)
+    return coverage.retrieval(vectors.first_relevant(e.where("id % 50 = 0"), e)).select(R("top1"), R("mrr"))
 
 
 @query(

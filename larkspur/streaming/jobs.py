@@ -83,6 +83,36 @@ def first_event_windows(events: DataFrame, hours: int = 24, late: str = "10 minu
     return out.select("key", F.timestamp_micros("us").alias("opened"), "used")
 
 
+def merged_windows(ads: DataFrame, hours: int = 48, late: str = "10 minutes") -> DataFrame:
+    """(id, rent_price, sale_price) each time an ad's other side arrives: first with the side that came first, once more with both. An ad without id passes as it is.
+
+    ads: id, listing_type, price, ts. Of rows of one id in a micro-batch the earliest of each side counts; a side that is known stays, and so does an ad
+    whose new row is of neither side, or has no price above 0. An ad is forgotten `hours` after its last news.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rent, sale = state.get[:2] if state.exists else (None, None)
+        seen, rows = state.exists, []
+        all_rows = [r for b in batches for r in zip(b["us"], b["listing_type"], b["price"], strict=True)]
+        for _, kind, price in sorted(all_rows, key=lambda r: (r[0], str(r[1]), r[2])):
+            good = kind in ("rent", "sale") and price > 0
+            if not seen or (good and (rent if kind == "rent" else sale) is None):
+                rent, sale = (price, sale) if good and kind == "rent" else (rent, price) if good else (rent, sale)
+                rows.append((key[0], rent, sale))
+                seen = True
+        _keep_until(state, (rent, sale), int(max(r[0] for r in all_rows)) // 1000 + hours * 3_600_000)
+        yield pd.DataFrame(rows, columns=["id", "rent_price", "sale_price"]).astype({"rent_price": "float64", "sale_price": "float64"})
+
+    rows = ads.withWatermark("ts", late).select("id", "ts", F.unix_micros("ts").alias("us"), "listing_type", "price")
+    kinds = "id string, rent_price double, sale_price double"
+    known = rows.where("id IS NOT NULL").groupBy("id").applyInPandasWithState(step, kinds, "rent double, sale double", "append", GroupStateTimeout.EventTimeTimeout)
+    side = lambda k: F.when((F.col("listing_type") == k) & (F.col("price") > 0), F.col("price")).alias(f"{k}_price")
+    return known.unionByName(rows.where("id IS NULL").select("id", side("rent"), side("sale")))
+
+
 HISTORY = "property_id string, listing_type string, platform string, property_listing_id string, price double, start_ts timestamp"
 #: Buckets that the open intervals are dealt to by key.
 BUCKETS = 64

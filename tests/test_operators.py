@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.functions import catalogue, geo, text
+from larkspur.functions import catalogue, geo, text, vectors
 from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
 from larkspur.sources import files, records
 
@@ -437,3 +437,37 @@ def test_debounced_against_a_loop(spark, seconds):
             last[k] = t
     got = [tuple(r) for r in history.debounced(spark.createDataFrame(rows, "property_id long, ts timestamp"), seconds).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_jaro_winkler_bound(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc é") for _ in range(rng.randint(0, 8)))
+    a, b = F.col("a"), F.col("b")
+    rows = spark.createDataFrame([(word(), word()) for _ in range(3000)], "a string, b string").select(text.similarity(a, b).alias("s"), text.jaro_winkler_at_most(a, b).alias("most")).collect()
+    assert all(r.s <= r.most + 1e-9 for r in rows)
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Many small blocks, zero vectors, ties and equal groups against all pairs."""
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "VECTORS", 7)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("xyz"), [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)] + [(60, "x", [0.0, 0.0, 0.0]), (61, "alone", [1.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, group string, v array<double>")
+
+    def distance(a, b):
+        n = math.hypot(*a) * math.hypot(*b)
+        return None if n == 0 else round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / n, 9)
+
+    near, rank = {}, {}
+    for i, g, v in rows[::4] + rows[-1:]:
+        order = sorted((d, j, h) for j, h, w in rows if j != i and (d := distance(v, w)) is not None)
+        near[i] = [(d, j) for d, j, _ in order[:5]]
+        rank |= {i: next(n for n, (_, _, h) in enumerate(order, 1) if h == g)} if any(h == g for _, _, h in order) else {}
+    q = e.where("id % 4 = 0 OR id = 61")
+    got = {}
+    for r in vectors.nearest(q, e, 5).collect():
+        got.setdefault(r.query, []).append((r.distance + 0.0, r.id))
+    assert {i: sorted(x) for i, x in got.items()} == {i: [(d + 0.0, j) for d, j in x] for i, x in near.items() if x}
+    assert {r.query: r.rank for r in vectors.first_relevant(q, e).collect()} == rank
+    assert vectors.nearest(q.limit(0), e, 5).count() == vectors.nearest(q, e.limit(0), 5).count() == 0

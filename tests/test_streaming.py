@@ -97,3 +97,17 @@ def test_price_history_again(spark, tmp_path):
         commit.unlink()
     assert run_history(spark, tmp_path, stream(spark, tmp_path / "in", frames, PRICES)) == got and len(got) == 2
     assert jobs.price_table(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_second_side_is_told_again(spark, tmp_path):
+    """Both orders of the sides, over batches and within one; repeats and strange types are silent."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    frames = [
+        [("a", "rent", 10.0, at(0)), ("b", "sale", 500.0, at(0)), ("c", "sale", 7.0, at(2)), ("c", "rent", 1.0, at(1)), (None, "rent", 3.0, at(0)), ("d", "other", 9.0, at(0))],
+        [("a", "sale", 900.0, at(3)), ("a", "rent", 11.0, at(3)), ("b", "sale", 501.0, at(3)), (None, "rent", 3.0, at(3)), ("d", "rent", None, at(3))],
+        [("b", "rent", 5.0, at(4)), ("a", "rent", 12.0, at(4)), ("d", "rent", 2.0, at(4))],
+    ]
+    df = stream(spark, tmp_path / "in", frames, "id string, listing_type string, price double, ts timestamp")
+    got = [tuple(None if x is None or x != x else x for x in r) for r in drain(jobs.merged_windows(df), tmp_path, "merged")]
+    want = [("a", 10.0, None), ("a", 10.0, 900.0), ("b", None, 500.0), ("b", 5.0, 500.0), ("c", 1.0, None), ("c", 1.0, 7.0), ("d", None, None), ("d", 2.0, None)]
+    assert sorted(got, key=str) == sorted([*want, (None, 3.0, None), (None, 3.0, None)], key=str)
