@@ -926,3 +926,16 @@ def test_spelling_variants(spark, setup):
 def test_merged_postings(lists, least, start):
     lists = [sorted(set(x)) for x in lists]
     assert list(variants.merged(lists, least, start)) == [i for i in range(start, 31) if sum(i in x for x in lists) >= least]
+
+
+def test_toxicity_learns_beside_a_long_text(spark):
+    """A text longer than all that is learnt from, wherever its hash puts it, doesn't end the sample."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["calm", "lamp", "tree", "road"] + (["vilefoe", "hateslur"] if i % 2 else [])) for _ in range(12)), "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    setup = toxicity.Setup(max_words=2000)
+    for longs in ((), range(0, 300, 7)):
+        docs = spark.createDataFrame([(i, t + " tree" * 3000 * (i in longs), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+        got = {r.doc_id: (r.score, r.predicted) for r in toxicity.digest(docs, labels, setup).collect()}
+        assert len({s for s, _ in got.values()}) > 10
+        assert sum(got[i][1] == i % 2 for i in range(300) if i not in longs) > 250
