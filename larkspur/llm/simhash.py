@@ -71,8 +71,10 @@ class Rule:
 NEAR = Rule(words=5, bits=256, max_diff=80)
 #: Differing bits of pairs verified first: most are near copies, and the groups that they make need no more pairs.
 SURE = 40
-#: Documents whose shingles are counted, and how many of the commonest are ranked. They order shingles, no more: any order finds all pairs.
-COUNTED, RANKED = 10_000, 200_000
+#: Shingles are counted in one document of so many, in at least so many documents. Counts order shingles, no more: any order finds all pairs.
+SHARE, COUNTED = 8, 10_000
+#: Cells of the table of counts, which every task gets: a byte each.
+CELLS = 1 << 22
 #: A block of near copies of more rows than this is dealt out as pairs of tiles.
 NEAR_TILE = 2048
 #: Sets are verified in so many places that they fill each with some 40 times this at most, as a set has about as many keys.
@@ -257,36 +259,39 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.hex(number)).alias("fingerprint"), "component_id")
 
 
-def _common(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, ascending, and how often some documents have them."""
+def _common(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How common shingles are, by cells of their hashes: the greatest count of a cell's shingles, on a scale of logarithms.
+
+    The documents counted grow with the corpus, the table doesn't. Cells are shared the more, but a common shingle never looks rare for it: the error is
+    to the other side, and a set has its rarest shingles in cells without a common one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for t in rb.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), rule.words).view(np.int64))], ["h"])
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // COUNTED))) == 0)
-    top = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(RANKED).toArrow()
-    h, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
-    o = np.argsort(h)
-    return h[o], n[o]
+    of = min(SHARE, max(1, docs.count() // COUNTED))
+    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0)
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    code = F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("int")
+    got = counts.groupBy(F.pmod(F.col("h"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.max(code).alias("code")).toArrow()  # CELLS rows at most
+    out = np.zeros(CELLS, np.uint8)
+    out[got.column("cell").to_numpy()] = got.column("code").to_numpy()
+    return out
 
 
-def _prefix(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def _prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """Members of a set, rarest first, of which two sets of the similarity share one.
 
     They share at least similarity * len(x) members; if none of the others but fewer than that many is shared, one of these is.
     """
-    known, times = common
-    rank = np.zeros(len(x), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        rank = np.where(known[at] == x, times[at], 0)
+    rank = common[x & np.uint64(len(common) - 1)]
     least = int(np.ceil(similarity * len(x) - 1e-9))
     return x[np.lexsort((x, rank))[: len(x) - least + 1]]
 
 
-def _profiles(rule: Rule, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+def _profiles(rule: Rule, similarity: float, common: np.ndarray):
     """(text, low) -> (of, low, fp, n, keys, far): 128 bits that stand for the shingle set, the fingerprint of its members, each once, its size, its prefix and its row of the pivot table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
