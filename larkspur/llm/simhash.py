@@ -274,10 +274,12 @@ def _common(docs: DataFrame, rule: Rule) -> np.ndarray:
     of = min(SHARE, max(1, docs.count() // COUNTED))
     some = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0)
     counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    code = F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("int")
+    code = F.least(F.lit(127), F.round(4 * F.log2("count"))).cast("byte")
     got = counts.groupBy(F.pmod(F.col("h"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.max(code).alias("code")).toArrow()  # CELLS rows at most
     out = np.zeros(CELLS, np.uint8)
     out[got.column("cell").to_numpy()] = got.column("code").to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
     return out
 
 
