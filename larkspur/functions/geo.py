@@ -35,6 +35,31 @@ def covers(ring: Column, lon: Column, lat: Column) -> Column:
     return F.coalesce(on | (hits % 2 == 1), F.lit(False))
 
 
+def on_ring(ring: Column, lon: Column, lat: Column) -> Column:
+    """Whether a point lies on an edge."""
+    cross = lambda e: (e.b.lon - e.a.lon) * (lat - e.a.lat) - (e.b.lat - e.a.lat) * (lon - e.a.lon)
+    beside = lambda e: lon.between(F.least(e.a.lon, e.b.lon), F.greatest(e.a.lon, e.b.lon)) & lat.between(F.least(e.a.lat, e.b.lat), F.greatest(e.a.lat, e.b.lat))
+    return F.coalesce(F.exists(F.when(F.size(ring) >= 2, _edges(ring)), lambda e: (F.abs(cross(e)) < 1e-12) & beside(e)), F.lit(False))
+
+
+def covers_outside_holes(ring: Column, holes: Column, lon: Column, lat: Column) -> Column:
+    """`covers`, but not strictly inside one of `holes` (array of rings; null for none); points on a hole's edge are inside."""
+    out = F.exists(holes, lambda h: covers(h, lon, lat) & ~on_ring(h, lon, lat))
+    return covers(ring, lon, lat) & ~F.coalesce(out, F.lit(False))
+
+
+def edge_distance(ring: Column, lon: Column, lat: Column) -> Column:
+    """Least distance from a point to a ring's edges, on the plane of degrees; null for rings without edges."""
+
+    def to(e: Column) -> Column:
+        dx, dy = e.b.lon - e.a.lon, e.b.lat - e.a.lat
+        along = F.coalesce(((lon - e.a.lon) * dx + (lat - e.a.lat) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.hypot(lon - e.a.lon - t * dx, lat - e.a.lat - t * dy)
+
+    return F.array_min(F.transform(F.when(F.size(ring) >= 1, _edges(ring)), to))
+
+
 def centroid(ring: Column) -> Column:
     """(lon, lat) by the shoelace rule; the mean of the corners where the area is 0."""
     edges = _edges(ring)
@@ -99,6 +124,56 @@ def points_in_areas(points: DataFrame, areas: DataFrame, step: float = 0.05) ->
     return pairs.where(covers(F.col("ring"), F.col("lon"), F.col("lat"))).drop("cx", "cy", "west", "south", "east", "north")
 
 
+#: Metres in a degree by which buffers are measured.
+BUFFER_DEGREE_M = 111_320.0
+
+
+def points_near_areas(points: DataFrame, areas: DataFrame, buffer_m: float, step: float = 0.05) -> DataFrame:
+    """Pairs of points (lon, lat) and areas (ring, holes where there are any) that cover them or have an edge within `buffer_m`, by an equi-join on grid cells.
+
+    Metres are read as degrees of longitude at the area's centroid, so the buffer is at least that wide on both axes. Without a buffer areas cover as they are.
+    """
+    holes = F.col("holes") if "holes" in areas.columns else F.lit(None).cast("array<array<struct<lon:double,lat:double>>>")
+    reach = buffer_m / (BUFFER_DEGREE_M * F.greatest(F.cos(F.radians(centroid(F.col("ring")).lat)), F.lit(1e-6))) if buffer_m > 0 else F.lit(0.0)
+    a = with_box(areas.withColumn("reach", F.coalesce(reach, F.lit(0.0))))
+    a = a.withColumns({"west": F.col("west") - F.col("reach"), "south": F.col("south") - F.col("reach"), "east": F.col("east") + F.col("reach"), "north": F.col("north") + F.col("reach")})
+    a = a.withColumn("cell", F.explode(cells_of_box(step))).select("*", "cell.cx", "cell.cy").drop("cell")
+    p = points.withColumns({"cx": cell(F.col("lon"), step), "cy": cell(F.col("lat"), step)})
+    pairs = p.join(a, ["cx", "cy"]).where(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
+    lon, lat = F.col("lon"), F.col("lat")
+    nearest = F.least(edge_distance(F.col("ring"), lon, lat), F.array_min(F.transform(holes, lambda h: edge_distance(h, lon, lat))))
+    near = (F.col("reach") > 0) & (F.size("ring") >= 3) & F.coalesce(nearest <= F.col("reach"), F.lit(False))
+    return pairs.where(covers_outside_holes(F.col("ring"), holes, lon, lat) | near).drop("cx", "cy", "reach", "west", "south", "east", "north")
+
+
+def with_validity(areas: DataFrame, key: str = "id") -> DataFrame:
+    """Adds valid: whether the ring is simple, with three corners or more, an area, and edges that share nothing but the corners between neighbours.
+
+    Repeated positions in a row count once and a closing one is optional; null rings aren't valid. Edges meet by an equi-join on the cells of a grid over their own
+    ring's box, as many as it has edges, so a ring of any number of corners is neither held in one row's expression nor compared edge by edge. `key` must be unique.
+    """
+    ring = F.filter(F.col("ring"), lambda p: p.lon.isNotNull() & p.lat.isNotNull())
+    once = F.filter(F.transform(ring, lambda p, i: F.when((i == 0) | (p != F.get(ring, i - 1)), p)), lambda p: p.isNotNull())
+    areas_ = areas.select(key, once.alias("ring")).withColumn("ring", F.when((F.size("ring") > 1) & (F.get("ring", F.lit(0)) == F.element_at("ring", -1)), F.slice("ring", F.lit(1), F.size("ring") - 1)).otherwise(F.col("ring")))
+    boxed = with_box(areas_.where("size(ring) >= 3")).withColumn("n", F.size("ring"))
+    e = boxed.select(key, "n", "west", "south", (F.col("east") - F.col("west")).alias("width"), (F.col("north") - F.col("south")).alias("height"), F.posexplode(_edges(F.col("ring"))).alias("i", "e"))
+    cells = F.ceil(F.sqrt("n"))
+    at = lambda x, low, size: F.least(F.greatest(F.coalesce(F.floor((x - F.col(low)) / F.nullif(F.col(size), F.lit(0.0)) * cells), F.lit(0)), F.lit(0)), cells - 1)
+    span = lambda k, low, size: F.sequence(at(F.least(F.col(f"e.a.{k}"), F.col(f"e.b.{k}")), low, size), at(F.greatest(F.col(f"e.a.{k}"), F.col(f"e.b.{k}")), low, size))
+    e = e.withColumn("gx", F.explode(span("lon", "west", "width"))).withColumn("gy", F.explode(span("lat", "south", "height"))).select(key, "n", "i", "e", "gx", "gy")
+    f = e.select(F.col(key).alias("of"), F.col("i").alias("j"), F.col("e").alias("f"), F.col("gx").alias("hx"), F.col("gy").alias("hy"))
+    pairs = e.join(f, (F.col(key) == F.col("of")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.col("i") < F.col("j")))
+    a, b = F.col("e"), F.col("f")
+    side = lambda e, p: F.signum((e.b.lon - e.a.lon) * (p.lat - e.a.lat) - (e.b.lat - e.a.lat) * (p.lon - e.a.lon))
+    on = lambda e, p: (side(e, p) == 0) & p.lon.between(F.least(e.a.lon, e.b.lon), F.greatest(e.a.lon, e.b.lon)) & p.lat.between(F.least(e.a.lat, e.b.lat), F.greatest(e.a.lat, e.b.lat))
+    cross = (side(b, a.a) * side(b, a.b) < 0) & (side(a, b.a) * side(a, b.b) < 0)
+    apart = F.when(F.col("j") == F.col("i") + 1, on(a, b.b) | on(b, a.a)).when((F.col("i") == 0) & (F.col("j") == F.col("n") - 1), on(a, b.a) | on(b, a.b))
+    bad = pairs.where(apart.otherwise(cross | on(b, a.a) | on(b, a.b) | on(a, b.a) | on(a, b.b))).select(F.col(key).alias("bad")).distinct()
+    whole = areas_.where("size(ring) >= 3").select(F.col(key).alias("whole"))
+    out = areas.join(bad, F.col(key) == F.col("bad"), "left").join(whole, F.col(key) == F.col("whole"), "left")
+    return out.select(areas["*"], (F.col("bad").isNull() & F.col("whole").isNotNull()).alias("valid"))
+
+
 def rings_meet(a: Column, b: Column) -> Column:
     """Whether two polygons share a point: edges that cross or touch, or one that lies in the other; false for null rings."""
     side = lambda e, p: F.signum((e.b.lon - e.a.lon) * (p.lat - e.a.lat) - (e.b.lat - e.a.lat) * (p.lon - e.a.lon))

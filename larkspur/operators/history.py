@@ -143,3 +143,56 @@ def quarantined(attempts: DataFrame, most: int) -> DataFrame:
     ok = attempts.where("ok").groupBy("id").agg(F.max("ts").alias("last_ok"))
     bad = attempts.where("NOT ok").join(ok, "id", "left").where("last_ok IS NULL OR ts > last_ok")
     return bad.groupBy("id").agg(F.count(F.lit(1)).alias("attempts")).where(F.col("attempts") >= most)
+
+
+def _carried(rows: DataFrame, key: str, order: list[str], span: str, take: str) -> DataFrame:
+    """`rows` with `take` of the last row before or at each, by `order` within `key`, that has one; a key is put in order by spans (`span`), not in one task."""
+    inside = Window.partitionBy(key, span).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(key, span).agg(F.max_by(take, F.when(F.col(take).isNotNull(), F.struct(*order))).alias("end"))
+    before = Window.partitionBy(key).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(key).alias("of_key"), F.col(span).alias("of_span"), F.last("end", ignorenulls=True).over(before).alias("end"))
+    out = rows.withColumn("last", F.last(take, ignorenulls=True).over(inside)).join(ends, F.col(key).eqNullSafe(F.col("of_key")) & F.col(span).eqNullSafe(F.col("of_span")))
+    return out.withColumn(take, F.coalesce("last", "end")).drop("last", "end", "of_key", "of_span")
+
+
+def _numbered(requests: DataFrame, key: str) -> DataFrame:
+    """Adds nth (from 1) and upto, the running sum of need, in order of at and id; sums of spans of time are added up, so a key's whole life is in no one task."""
+    rows = requests.withColumn("span", F.floor(F.col("at") / SPAN))
+    w = Window.partitionBy(key, "span").orderBy("at", "id")
+    sums = rows.groupBy(key, "span").agg(F.count(F.lit(1)).alias("n"), F.sum("need").alias("total"))
+    earlier = Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias("of_key"), F.col("span").alias("of_span"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("total"))
+    rows = rows.withColumns({"row": F.row_number().over(w), "sum": F.sum("need").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = rows.join(sums, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("span") == F.col("of_span")))
+    return out.select(key, "id", "at", "need", (F.col("row") + F.col("n")).alias("nth"), (F.col("sum") + F.col("total")).alias("upto"))
+
+
+def launches(requests: DataFrame, limit: int, seconds: int = 60, key: str = "platform") -> DataFrame:
+    """requests (key, id, at: microseconds, need: tokens >= 0) with wait (microseconds): first come, first served, each starts at the first moment at which
+    what started less than `seconds` ago leaves room for it under `limit`; one that needs more waits until all before it has aged out.
+
+    Of each request the prefix sums tell which earlier one must have aged out: the last whose tokens, with all from it on, are more than the limit. Starts
+    are then a largest sum along these pointers, a(p) + `seconds` a step, as later requests point at later ones; the pointers double in length each round,
+    so a key takes as many rounds as the logarithm of its longest chain. Rows without a moment drop; null needs count as 0; ids must be unique in a key.
+    """
+    rows = written(_numbered(requests.where("at IS NOT NULL").select(key, "id", "at", F.coalesce("need", F.lit(0)).cast("long").alias("need")), key), "requests")
+    # where a request's tokens begin, beside the sums that ask for the last beginning below them
+    begins = rows.select(key, (F.col("upto") - F.col("need")).alias("tokens"), F.lit(1).alias("asks"), "nth", F.col("nth").alias("to"))
+    asks = rows.select(key, (F.col("upto") - limit).alias("tokens"), F.lit(0).alias("asks"), "nth", F.lit(None).cast(rows.schema["nth"].dataType).alias("to"))
+    both = begins.unionByName(asks).withColumn("span", F.floor(F.col("tokens") / (1000 * limit)))
+    found = _carried(both, key, ["tokens", "asks", "nth"], "span", "to").where("asks = 0 AND to IS NOT NULL")
+    jump = written(found.select(key, "nth", F.least("to", F.col("nth") - 1).alias("to")).where("to >= 1"), "jumps")
+    start = written(rows.select(key, "nth", F.col("at").alias("start")), "starts")
+    step = seconds * 1_000_000
+    while not jump.isEmpty():
+        ahead = jump.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), "to")
+        target = start.select(F.col(key).alias("to_key"), F.col("nth").alias("to_nth"), (F.col("start") + step).alias("reached"))
+        far = ahead.join(target, F.col("of_key").eqNullSafe(F.col("to_key")) & (F.col("to") == F.col("to_nth"))).select("of_key", "of_nth", "reached")
+        on = F.col(key).eqNullSafe(F.col("of_key")) & (F.col("nth") == F.col("of_nth"))
+        more = written(start.join(far, on, "left").select(key, "nth", F.greatest("start", "reached").alias("start")), "starts")
+        twice = jump.select(F.col(key).alias("by_key"), F.col("nth").alias("by_nth"), F.col("to").alias("by"))
+        twice = written(twice.join(ahead, F.col("by_key").eqNullSafe(F.col("of_key")) & (F.col("by") == F.col("of_nth"))).select(F.col("by_key").alias(key), F.col("by_nth").alias("nth"), "to"), "jumps")
+        discard(start, jump)
+        start, jump, step = more, twice, 2 * step
+    out = start.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), "start")
+    return rows.join(out, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("nth") == F.col("of_nth"))).select(key, "id", "at", "need", (F.col("start") - F.col("at")).alias("wait"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.geo import haversine_m, points_in_areas, within_radius
+from larkspur.functions.geo import haversine_m, points_in_areas, points_near_areas, within_radius
 from larkspur.functions.text import flag_text, fold, unit_clamp
 
 # Weights of transit modes, modes of route types, rank of modes.
@@ -77,9 +77,10 @@ def saturation(count: Column, target: float) -> Column:
     return F.least(F.lit(1.0), count / target) if target > 0 else F.lit(0.0)
 
 
-def amenity_scores(areas: DataFrame, pois: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """(id, <category>_n, amenity_score) of areas (id, ring): mean of the saturations of the categories."""
-    found = points_in_areas(pois.withColumn("category", category(F.col("tags"))).where("category IS NOT NULL"), areas.select("id", "ring"))
+def amenity_scores(areas: DataFrame, pois: DataFrame, targets: dict[str, float] = TARGETS, buffer_m: float = 0.0) -> DataFrame:
+    """(id, <category>_n, amenity_score) of areas (id, ring, holes where there are any), widened by `buffer_m`: mean of the saturations of the categories."""
+    shapes = areas.select("id", "ring", *[c for c in areas.columns if c == "holes"])
+    found = points_near_areas(pois.withColumn("category", category(F.col("tags"))).where("category IS NOT NULL").select("lon", "lat", "category"), shapes, buffer_m)
     n = found.groupBy("id").pivot("category", list(targets)).agg(F.count(F.lit(1)))
     out = areas.select("id").join(n, "id", "left").na.fill(0, list(targets))
     score = sum((saturation(F.col(c), t) for c, t in targets.items()), F.lit(0.0)) / len(targets)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo, text, vectors
-from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
-from larkspur.sources import files, records
+from larkspur.operators import cohort, coverage, gates, history, location, quality, reruns, resolve, search, upserts, verdict
+from larkspur.sources import files, flight, records
 from larkspur.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,3 +735,178 @@ def catalogue_tokens(s, d):
     names = location.catalogue(t(s, d, "benchmark"), word_pairs(s, d))
     head = text.fold(F.regexp_extract("text", "[A-Za-z]+( [A-Za-z]+)?", 0))
     return t(s, d, "conversations").select("conv_id", "turn", names.known(head).alias("known"))
+
+
+@query(
+    """SELECT page_id, 2::BIGINT AS n_ads, (page_id + 1) || ',x' AS ids, url || ' \\ "q" ]} é' AS title FROM pages WHERE url IS NOT NULL AND html IS NOT NULL"""
+)
+def pushed_page_ads(s, d):
+    """Ads that each page pushes behind its own text, cut in two at a place of the page's, inside an escape or a string too."""
+    title = F.concat("url", F.lit(' \\ "q" ]} é'))
+    ads = F.concat(F.lit('5:{"before":[1],"ads":[{"listId":'), (F.col("page_id") + 1).cast("string"), F.lit(',"title":'), F.substring(F.to_json(F.struct(title.alias("t"))), 6, 1_000_000), F.lit(',{"advertisingId":1},7,{"id":"x"},{"title":"no id"}],"after":"]"}'))
+    pages = t(s, d, "pages").where("url IS NOT NULL AND html IS NOT NULL").withColumn("text", ads)
+    script = lambda c: F.concat(F.lit('<script>self.__next_f.push([1,"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
+    at = (F.col("page_id") % F.length("text") + 1).cast("int")
+    html = F.concat("html", script(F.substring(F.col("text"), F.lit(1), at)), script(F.substring(F.col("text"), at + 1, F.length("text"))))
+    found = pages.select("page_id", flight.page_ads(html).alias("ads"))
+    ids = F.array_join(F.transform("ads", lambda a: F.coalesce(F.get_json_object(a, "$.listId"), F.get_json_object(a, "$.id"))), ",")
+    return found.select("page_id", F.size("ads").cast("long").alias("n_ads"), ids.alias("ids"), F.get_json_object(F.get("ads", F.lit(0)), "$.title").alias("title"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT event_type AS k, event_id AS id, epoch_us(ts) AS t0, 1 + event_id % 5 AS need, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth FROM events),
+l AS (SELECT k, id, t0, need, nth, t0 AS start, [{'t': t0, 'n': need}] AS open FROM r WHERE nth = 1
+  UNION ALL SELECT k, id, t0, need, nth, start, list_append(list_filter(open, lambda o: o.t > start - 3600000000), {'t': start, 'n': need}) FROM (
+    SELECT r.*, l.open, list_min(list_filter(list_append(list_transform(l.open, lambda o: o.t + 3600000000), greatest(r.t0, l.start)), lambda c: c >= greatest(r.t0, l.start)
+      AND coalesce(list_sum(list_transform(list_filter(l.open, lambda o: o.t > c - 3600000000), lambda o: o.n)), 0) + r.need <= 9)) AS start
+    FROM l JOIN r ON r.k = l.k AND r.nth = l.nth + 1))
+SELECT id AS event_id, (start - t0)::BIGINT AS wait_us FROM l"""
+)
+def budget_waits(s, d):
+    """Each event asks for one to five units of its type's nine an hour; the SQL lets them in one after the other."""
+    e = t(s, d, "events").select(F.col("event_type").alias("platform"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (1 + F.col("event_id") % 5).alias("need"))
+    return history.launches(e, 9, seconds=3600).select(F.col("id").alias("event_id"), F.col("wait").alias("wait_us"))
+
+
+DIAMONDS = """q AS (SELECT p.id, n_nationkey AS area, abs(lon - (n_nationkey * 0.002::DOUBLE + 0.001::DOUBLE)) AS u, abs(lat - 0.015::DOUBLE) AS v, 40 / (111320.0 * cos(radians(0.015::DOUBLE))) AS reach FROM pts p, nation)"""
+
+
+def diamonds(s: SparkSession, d: str) -> DataFrame:
+    x = F.col("n_nationkey") * 0.002 + 0.001
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), F.lit(0.015 + dy).alias("lat"))
+    turned = lambda r: F.array(corner(-r, 0.0), corner(0.0, -r), corner(r, 0.0), corner(0.0, r))
+    square = lambda h: F.array(corner(-h, -h), corner(h, -h), corner(h, h), corner(-h, h))
+    return t(s, d, "nation").select(F.col("n_nationkey").alias("area"), turned(0.00332).alias("ring"), F.array(square(0.00072)).alias("holes"))
+
+
+@query(
+    f"""WITH {POINTS}, {DIAMONDS}, f AS (SELECT *, greatest(0, least(0.00332::DOUBLE, (v - u + 0.00332::DOUBLE) / 2)) AS t FROM q)
+SELECT id, area FROM f WHERE u + v <= 0.00332::DOUBLE OR sqrt(pow(u - (0.00332::DOUBLE - t), 2) + pow(v - t, 2)) <= reach"""
+)
+def buffered_points(s, d):
+    """Points in diamonds or within 40 m of them."""
+    return geo.points_near_areas(points(s, d), diamonds(s, d).drop("holes"), 40, step=0.01).select("id", "area")
+
+
+@query(f"WITH {POINTS}, {DIAMONDS} SELECT id, area FROM q WHERE u + v <= 0.00332::DOUBLE AND NOT (u < 0.00072::DOUBLE AND v < 0.00072::DOUBLE)")
+def points_outside_holes(s, d):
+    """Points in diamonds with a square hole."""
+    return geo.points_near_areas(points(s, d), diamonds(s, d), 0, step=0.01).select("id", "area")
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS id, [o_orderkey % 7, o_orderkey % 11, o_custkey % 7, o_custkey % 11, o_orderkey % 13, o_custkey % 13, (o_orderkey + o_custkey) % 7, (o_orderkey + o_custkey) % 5] AS v FROM orders),
+e AS (SELECT id, i, v[2 * i + 1] AS ax, v[2 * i + 2] AS ay, v[2 * ((i + 1) % 4) + 1] AS bx, v[2 * ((i + 1) % 4) + 2] AS b_y FROM c, (SELECT unnest([0, 1, 2, 3]) AS i)),
+ok AS (SELECT id FROM e GROUP BY id HAVING bool_and(ax <> bx OR ay <> b_y)),
+p AS (SELECT e.id, e.i, f.i AS j, e.ax, e.ay, e.bx, e.b_y, f.ax AS cx, f.ay AS cy, f.bx AS dx, f.b_y AS dy,
+  sign((e.bx - e.ax) * (f.ay - e.ay) - (e.b_y - e.ay) * (f.ax - e.ax)) AS sc, sign((e.bx - e.ax) * (f.b_y - e.ay) - (e.b_y - e.ay) * (f.bx - e.ax)) AS sd,
+  sign((f.bx - f.ax) * (e.ay - f.ay) - (f.b_y - f.ay) * (e.ax - f.ax)) AS sa, sign((f.bx - f.ax) * (e.b_y - f.ay) - (f.b_y - f.ay) * (e.bx - f.ax)) AS sb FROM e JOIN e f ON e.id = f.id AND e.i < f.i),
+bad AS (SELECT DISTINCT id FROM p WHERE CASE WHEN j - i = 2 THEN (sc * sd <= 0 AND sa * sb <= 0 AND greatest(ax, bx) >= least(cx, dx) AND greatest(cx, dx) >= least(ax, bx) AND greatest(ay, b_y) >= least(cy, dy) AND greatest(cy, dy) >= least(ay, b_y))
+  ELSE sc = 0 AND sd = 0 AND (bx - ax) * (dx - cx) + (b_y - ay) * (dy - cy) < 0 END)
+SELECT id, id NOT IN (FROM bad) AS valid FROM ok"""
+)
+def ring_validity(s, d):
+    """Four corners from each order's numbers; those with a repeated corner are left out, as the SQL has no rule for them."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    corner = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    rings = t(s, d, "orders").select(k.alias("id"), F.array(corner(k % 7, k % 11), corner(c % 7, c % 11), corner(k % 13, c % 13), corner((k + c) % 7, (k + c) % 5)).alias("ring"))
+    apart = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get("ring", i) != F.get("ring", (i + 1) % 4))
+    return geo.with_validity(rings.where(apart)).select("id", "valid")
+
+
+@query(
+    """SELECT l_orderkey AS id, coalesce(count(*) FILTER (l_extendedprice BETWEEN 10000 AND 50000 AND l_extendedprice > 0) / nullif(count(*) FILTER (l_extendedprice > 0), 0) >= 0.5, false) AS holds FROM lineitem GROUP BY 1"""
+)
+def price_band_holds(s, d):
+    return t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(flight.band_holds(F.col("l_extendedprice"), 10_000, 50_000).alias("holds"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 14) AS nth, (l_partkey % 14)::INT AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem), q AS (SELECT * FROM p WHERE nth <= 3),
+b AS (SELECT id, min(least(c, 3)) AS c, min(nth) FILTER (n < 10) AS bad FROM q GROUP BY 1), e AS (SELECT b.id, coalesce(b.bad - CASE WHEN q.n = 0 THEN 1 ELSE 0 END, b.c) AS pages, b.bad FROM b LEFT JOIN q ON q.id = b.id AND q.nth = b.bad)
+SELECT e.id, e.pages, coalesce((SELECT sum(n) FROM q WHERE q.id = e.id AND q.nth <= e.pages), 0) AS n_rows, e.bad IS NULL AND e.pages = 3 AS saturated FROM e"""
+)
+def window_pages(s, d):
+    """Lines as pages of 0 to 13 rows, three read at most."""
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 14).cast("int").alias("n")))), lambda x: x.n)
+    w = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(sizes.alias("sizes")).select("id", flight.pages_read(F.col("sizes"), 3).alias("w"))
+    return w.select("id", F.col("w.pages").cast("long").alias("pages"), F.col("w.rows").cast("long").alias("n_rows"), "w.saturated")
+
+
+RERUNS = """p AS (SELECT o_orderkey AS id, o_orderkey % 11 <> 0 AS active, o_orderstatus AS platform, o_custkey % 25 AS area_id, CASE WHEN o_orderkey % 8 = 0 THEN '{}' WHEN o_orderkey % 9 = 0 THEN '[]' ELSE '["a", " ", null' || repeat(', "b"', (o_orderkey % 4)::INT) || ']' END AS urls FROM orders),
+m AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN NULL ELSE value END AS ai_score, event_id % 3 > 0 AS sentiment, event_id % 5 = 2 AS no_verdict, ts - CASE WHEN event_id % 2 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS moment, event_id % 7 = 0 AS undated FROM events),
+c AS (SELECT p.*, m.id AS mid, m.ai_score, m.sentiment, m.no_verdict, m.moment, m.undated, CASE WHEN o % 8 = 0 OR o % 9 = 0 THEN 0 ELSE 1 + o % 4 END AS photos, NOT (o % 8 = 0 OR o % 9 = 0) AS has_urls FROM (SELECT *, id AS o FROM p) p LEFT JOIN m USING (id))"""
+
+
+def rerun_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as properties, events as metrics of the same id; moments with zones and without."""
+    k, e = F.col("o_orderkey"), F.col("event_id")
+    urls = F.when(k % 8 == 0, "{}").when(k % 9 == 0, "[]").otherwise(F.concat(F.lit('["a", " ", null'), F.repeat(F.lit(', "b"'), (k % 4).cast("int")), F.lit("]")))
+    p = t(s, d, "orders").select(k.alias("id"), (k % 11 != 0).alias("active"), F.col("o_orderstatus").alias("platform"), (F.col("o_custkey") % 25).alias("area_id"), urls.alias("image_urls"))
+    text = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    at = F.when(e % 7 == 0, '"soon"').otherwise(F.concat(F.lit('"'), text, F.when(e % 2 == 0, "+02:00").when(e % 3 == 0, "Z").otherwise(""), F.lit('"')))
+    meta = F.concat(F.lit('{"visual": {"a": 1}, "sentiment": '), F.when(e % 3 == 0, "null").otherwise('{"flags": []}'), F.when(e % 5 == 0, ', "deal_verdict": null').when(e % 5 != 2, ', "deal_verdict": "good"').otherwise(""), F.lit(', "enriched_at": '), at, F.lit("}"))
+    score = F.when(e % 4 == 0, 0.0).when(e % 4 != 1, F.col("value"))
+    return p, t(s, d, "events").select(e.alias("property_id"), score.alias("ai_score"), meta.alias("meta"))
+
+
+@query(
+    f"""WITH {RERUNS}, r AS (SELECT 'missing' AS mode, c.* FROM c WHERE active AND coalesce(ai_score, 0) = 0 UNION ALL SELECT 'force', c.* FROM c WHERE platform = 'F' UNION ALL SELECT 'stale_before', c.* FROM c WHERE active AND area_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND (mid IS NULL OR undated OR moment < TIMESTAMP '2024-01-11 12:00:00'))
+SELECT mode, CASE WHEN mode = 'force' THEN CASE WHEN coalesce(sentiment, false) THEN 'queue' ELSE 'skip_prior' END WHEN NOT has_urls THEN 'skip_images' WHEN photos < 3 THEN 'skip_photos' ELSE 'queue' END AS action, count(*) AS n, sum(id)::BIGINT AS ids FROM r GROUP BY ALL"""
+)
+def rerun_candidates(s, d):
+    p, m = rerun_tables(s, d)
+    areas = t(s, d, "nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_regionkey").cast("string").alias("city"))
+    missing = reruns.classified(reruns.candidates(p, m, "missing"), "all", 3)
+    force = reruns.classified(reruns.candidates(p, m, "force", platform="F", active_only=False), "verdict_only", 3)
+    stale = reruns.classified(reruns.candidates(p, m, "stale_before", before=F.lit("2024-01-11T12:00:00Z").cast("timestamp"), areas=areas, city="1"), "visual+sentiment", 3)
+    every = [x.select(F.lit(mode).alias("mode"), "action", "id") for mode, x in (("missing", missing), ("force", force), ("stale_before", stale))]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("mode", "action").agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("long").alias("ids"))
+
+
+@query(f"WITH {RERUNS} SELECT id FROM c WHERE active AND mid IS NOT NULL AND no_verdict")
+def verdict_backlog(s, d):
+    return reruns.without_verdict(*rerun_tables(s, d)).select("id")
+
+
+@query(f"WITH {RERUNS} SELECT area_id, count(*) AS n FROM c WHERE mid IS NOT NULL GROUP BY 1")
+def sentiment_rows(s, d):
+    """A sentiment of JSON null is one."""
+    return reruns.with_sentiment(*rerun_tables(s, d)).groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {RERUNS} SELECT (SELECT count(*) FROM c WHERE active AND coalesce(ai_score, 0) = 0 AND photos >= 3) AS remaining, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM m WHERE ai_score > 0) AS enriched,
+  (SELECT nullif(count(*), 0) * 24.0::DOUBLE FROM m WHERE NOT undated AND moment > (SELECT max(ts) FROM events) - INTERVAL 4 HOUR) AS per_day"""
+)
+def enrichment_health(s, d):
+    """The rate is that of the hour three hours before the last event on, as moments in zones lie two hours back."""
+    p, m = rerun_tables(s, d)
+    last = t(s, d, "events").agg(F.date_format(F.max("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()[0]
+    as_of = F.lit(last).cast("timestamp") - F.expr("interval 3 hours")
+    return reruns.remaining(p, m, 3).crossJoin(reruns.health(p, m)).crossJoin(reruns.observed_per_day(m, as_of))  # one row each
+
+
+@query("SELECT n_nationkey AS area_id, n_name AS name, count(o_orderkey) FILTER (o_orderkey % 11 <> 0) AS property_count FROM nation LEFT JOIN orders ON o_custkey % 30 = n_nationkey GROUP BY 1, 2")
+def area_details(s, d):
+    areas = t(s, d, "nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_name").alias("name"))
+    p = t(s, d, "orders").select((F.col("o_custkey") % 30).alias("area_id"), (F.col("o_orderkey") % 11 != 0).alias("active"))
+    return reruns.area_detail(areas, p)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 > 0 AND o_orderstatus IN ('F', 'O')),
+l AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber = 4 THEN ' ' ELSE l_linestatus || l_partkey END AS url, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_shipdate END AS seen FROM lineitem WHERE l_returnflag <> 'R')
+SELECT id, arg_min(url, (seen IS NULL, -epoch_us(seen::TIMESTAMP), url)) AS url FROM l JOIN o USING (id) WHERE trim(url) <> '' GROUP BY 1"""
+)
+def empty_descriptions(s, d):
+    k = F.col("o_orderkey")
+    p = t(s, d, "orders").select(k.alias("id"), (k % 11 != 0).alias("active"), F.col("o_orderstatus").alias("platform"), F.when(k % 3 == 0, "text").when(k % 3 == 1, "  ").alias("description"))
+    url = F.when(F.col("l_linenumber") == 4, " ").otherwise(F.concat("l_linestatus", F.col("l_partkey").cast("string")))
+    u = t(s, d, "lineitem").select(F.col("l_orderkey").alias("property_id"), (F.col("l_returnflag") != "R").alias("active"), url.alias("url"), F.when(F.col("l_linenumber") != 2, F.col("l_shipdate").cast("timestamp")).alias("last_seen"))
+    return reruns.without_description(p, u, ["F", "O"]).select("id", "url")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def contents_once(s, d):
+    return reruns.images_once(t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))

@@ -46,17 +46,22 @@ def _area(ring: Column) -> Column:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(properties map, kind, lon, lat, ring) of GeoJSON feature collections; of a MultiPolygon the polygon of the largest area counts, holes are left out."""
+    """(properties map, kind, lon, lat, ring, holes) of GeoJSON feature collections; of a MultiPolygon the polygon of the largest area counts, with its holes.
+
+    Whether a ring crosses itself is told by `geo.with_validity`; `geo.covers` reads such a ring by even and odd crossings.
+    """
     point = "type string, coordinates string"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"type string, features array<struct<properties:map<string,string>,geometry:struct<{point.replace(' string', ':string')}>>>").alias("c"))
     f = raw.select(F.explode("c.features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("xy"))
     ring = lambda c: F.transform(c, lambda p: F.struct(F.element_at(p, 1).alias("lon"), F.element_at(p, 2).alias("lat")))
     at = F.from_json("xy", "array<double>")
-    points = f.where("kind = 'Point'").select("properties", "kind", at[0].alias("lon"), at[1].alias("lat"), F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("ring"))
+    points = f.where("kind = 'Point'").select("properties", "kind", at[0].alias("lon"), at[1].alias("lat"), F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("ring"), F.lit(None).cast("array<array<struct<lon:double,lat:double>>>").alias("holes"))
+    holes = lambda rings: F.transform(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), ring).alias("holes")
+    rings = F.from_json("xy", "array<array<array<double>>>")
     none = F.lit(None).cast("double")
-    one = f.where("kind = 'Polygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.from_json("xy", "array<array<array<double>>>")[0]).alias("ring"))
+    one = f.where("kind = 'Polygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.get(rings, F.lit(0))).alias("ring"), holes(rings))
     largest = F.get(F.array_sort(F.from_json("xy", "array<array<array<array<double>>>>"), lambda p, q: F.signum(_area(F.get(q, F.lit(0))) - _area(F.get(p, F.lit(0)))).cast("int")), F.lit(0))
-    many = f.where("kind = 'MultiPolygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.get(largest, F.lit(0))).alias("ring")).where("size(ring) > 0")
+    many = f.where("kind = 'MultiPolygon'").select("properties", "kind", none.alias("lon"), none.alias("lat"), ring(F.get(largest, F.lit(0))).alias("ring"), holes(largest)).where("size(ring) > 0")
     return points.unionByName(one).unionByName(many)
 
 
