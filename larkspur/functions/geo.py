@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import settled
+
 RADIUS_M = 6_371_000.0
 #: Metres in a degree of latitude, rounded down, so that a cell is never too small.
 DEGREE_M = 111_000.0
@@ -154,9 +156,10 @@ def with_validity(areas: DataFrame, key: str = "id") -> DataFrame:
     """
     ring = F.filter(F.col("ring"), lambda p: p.lon.isNotNull() & p.lat.isNotNull())
     once = F.filter(F.transform(ring, lambda p, i: F.when((i == 0) | (p != F.get(ring, i - 1)), p)), lambda p: p.isNotNull())
-    areas_ = areas.select(key, once.alias("ring")).withColumn("ring", F.when((F.size("ring") > 1) & (F.get("ring", F.lit(0)) == F.element_at("ring", -1)), F.slice("ring", F.lit(1), F.size("ring") - 1)).otherwise(F.col("ring")))
-    boxed = with_box(areas_.where("size(ring) >= 3")).withColumn("n", F.size("ring"))
-    e = boxed.select(key, "n", "west", "south", (F.col("east") - F.col("west")).alias("width"), (F.col("north") - F.col("south")).alias("height"), F.posexplode(_edges(F.col("ring"))).alias("i", "e"))
+    kept = settled(areas.select(key, "ring"), ring=once)
+    kept = settled(kept, ring=F.when((F.size("ring") > 1) & (F.get("ring", F.lit(0)) == F.element_at("ring", -1)), F.slice("ring", F.lit(1), F.size("ring") - 1)).otherwise(F.col("ring"))).where("size(ring) >= 3")
+    edges = settled(with_box(kept), edges=_edges(F.col("ring")))
+    e = edges.select(key, F.size("ring").alias("n"), "west", "south", (F.col("east") - F.col("west")).alias("width"), (F.col("north") - F.col("south")).alias("height"), F.posexplode("edges").alias("i", "e"))
     cells = F.ceil(F.sqrt("n"))
     at = lambda x, low, size: F.least(F.greatest(F.coalesce(F.floor((x - F.col(low)) / F.nullif(F.col(size), F.lit(0.0)) * cells), F.lit(0)), F.lit(0)), cells - 1)
     span = lambda k, low, size: F.sequence(at(F.least(F.col(f"e.a.{k}"), F.col(f"e.b.{k}")), low, size), at(F.greatest(F.col(f"e.a.{k}"), F.col(f"e.b.{k}")), low, size))
@@ -169,7 +172,7 @@ def with_validity(areas: DataFrame, key: str = "id") -> DataFrame:
     cross = (side(b, a.a) * side(b, a.b) < 0) & (side(a, b.a) * side(a, b.b) < 0)
     apart = F.when(F.col("j") == F.col("i") + 1, on(a, b.b) | on(b, a.a)).when((F.col("i") == 0) & (F.col("j") == F.col("n") - 1), on(a, b.a) | on(b, a.b))
     bad = pairs.where(apart.otherwise(cross | on(b, a.a) | on(b, a.b) | on(a, b.a) | on(a, b.b))).select(F.col(key).alias("bad")).distinct()
-    whole = areas_.where("size(ring) >= 3").select(F.col(key).alias("whole"))
+    whole = kept.select(F.col(key).alias("whole"))
     out = areas.join(bad, F.col(key) == F.col("bad"), "left").join(whole, F.col(key) == F.col("whole"), "left")
     return out.select(areas["*"], (F.col("bad").isNull() & F.col("whole").isNotNull()).alias("valid"))
 

@@ -748,7 +748,7 @@ def pushed_page_ads(s, d):
     script = lambda c: F.concat(F.lit('<script>self.__next_f.push([1,"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
     at = (F.col("page_id") % F.length("text") + 1).cast("int")
     html = F.concat("html", script(F.substring(F.col("text"), F.lit(1), at)), script(F.substring(F.col("text"), at + 1, F.length("text"))))
-    found = pages.select("page_id", flight.page_ads(html).alias("ads"))
+    found = flight.with_ads(pages.select("page_id", html.alias("html"))).select("page_id", "ads")
     ids = F.array_join(F.transform("ads", lambda a: F.coalesce(F.get_json_object(a, "$.listId"), F.get_json_object(a, "$.id"))), ",")
     return found.select("page_id", F.size("ads").cast("long").alias("n_ads"), ids.alias("ids"), F.get_json_object(F.get("ads", F.lit(0)), "$.title").alias("title"))
 
@@ -824,7 +824,7 @@ def price_band_holds(s, d):
 @query(
     """WITH p AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 14) AS nth, (l_partkey % 14)::INT AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem), q AS (SELECT * FROM p WHERE nth <= 3),
 b AS (SELECT id, min(least(c, 3)) AS c, min(nth) FILTER (n < 10) AS bad FROM q GROUP BY 1), e AS (SELECT b.id, coalesce(b.bad - CASE WHEN q.n = 0 THEN 1 ELSE 0 END, b.c) AS pages, b.bad FROM b LEFT JOIN q ON q.id = b.id AND q.nth = b.bad)
-SELECT e.id, e.pages, coalesce((SELECT sum(n) FROM q WHERE q.id = e.id AND q.nth <= e.pages), 0) AS n_rows, e.bad IS NULL AND e.pages = 3 AS saturated FROM e"""
+SELECT e.id, e.pages, coalesce((SELECT sum(n) FROM q WHERE q.id = e.id AND q.nth <= e.pages), 0)::BIGINT AS n_rows, e.bad IS NULL AND e.pages = 3 AS saturated FROM e"""
 )
 def window_pages(s, d):
     """Lines as pages of 0 to 13 rows, three read at most."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import settled
 from larkspur.sources.files import NEXT_DATA
 
 # How pages push their pieces, and the places of an ad list in a page's state, first match first.
@@ -31,9 +32,9 @@ def values_after(text: Column, marker: str, opens: str) -> Column:
 
     Where the value ends is for the JSON parser to say, which knows brackets from those in strings. A text of n markers is read n times.
     """
-    parts = F.split(text, rf"{marker}\s*:")
-    rests = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), f"{marker}:"))
-    starts = F.transform(rests, lambda r: F.when(F.contains(r, F.lit(opens)), F.substring(r, F.locate(opens, r), F.length(r))))
+    # a name within a lambda is computed once, so the text is split once
+    rests = lambda parts: F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), f"{marker}:"))
+    starts = F.transform(F.flatten(F.transform(F.array(F.split(text, rf"{marker}\s*:")), rests)), lambda r: F.when(F.contains(r, F.lit(opens)), F.substring(r, F.locate(opens, r), F.length(r))))
     found = F.transform(starts, lambda r: F.get_json_object(r, "$"))
     return F.filter(found, lambda v: v.isNotNull() & F.startswith(v, F.lit(opens)))
 
@@ -46,10 +47,13 @@ def real_ads(items: Column) -> Column:
     return F.filter(array, ad)
 
 
-def state_ads(html: Column) -> Column:
-    """The ads in a page's app state: the first of the known places that holds an array decides, even one without ads; null where none does."""
-    page = F.nullif(F.regexp_extract(html, NEXT_DATA, 1), F.lit(""))
-    props = F.get_json_object(page, "$.props.pageProps")
+def page_props(html: Column) -> Column:
+    """The properties in a page's app state, as JSON; null without."""
+    return F.get_json_object(F.nullif(F.regexp_extract(html, NEXT_DATA, 1), F.lit("")), "$.props.pageProps")
+
+
+def state_ads(props: Column) -> Column:
+    """The ads in `page_props`: the first of the known places that holds an array decides, even one without ads; null where none does."""
     full = lambda c: F.when(~c.isin("{}", "[]", "", "0", "false"), c)
     state = F.coalesce(full(F.get_json_object(props, "$.initialState")), full(F.get_json_object(props, "$.state")))
     array = lambda c: F.when(F.startswith(c, F.lit("[")), c)
@@ -57,16 +61,19 @@ def state_ads(html: Column) -> Column:
     return real_ads(F.coalesce(array(state), *places))
 
 
-def pushed_ads(html: Column) -> Column:
-    """The ads of the first pushed list that has any; null without."""
-    lists = F.filter(F.transform(values_after(pushed(html), '"ads"', "["), real_ads), lambda ads: F.size(ads) > 0)
+def pushed_ads(text: Column) -> Column:
+    """The ads of the first list in `pushed` that has any; null without."""
+    lists = F.filter(F.transform(values_after(text, '"ads"', "["), real_ads), lambda ads: F.size(ads) > 0)
     return F.get(lists, F.lit(0))
 
 
-def page_ads(html: Column) -> Column:
-    """A search page's ads as JSON objects: those in its app state, else those that it pushed, else none."""
-    own = state_ads(html)
-    return F.coalesce(F.when(F.size(own) > 0, own), pushed_ads(html), F.array().cast("array<string>"))
+def with_ads(pages: DataFrame, html: str = "html", name: str = "ads") -> DataFrame:
+    """Adds a search page's ads as JSON objects: those in its app state, else those that it pushed, else none. Each page is searched once."""
+    props, text, own = "page props of ads", "pushed text of ads", "own ads"
+    rows = settled(pages, **{props: page_props(F.col(html)), text: pushed(F.col(html))})
+    rows = settled(rows, **{own: state_ads(F.col(f"`{props}`"))})
+    ads = F.coalesce(F.when(F.size(f"`{own}`") > 0, F.col(f"`{own}`")), pushed_ads(F.col(f"`{text}`")), F.array().cast("array<string>"))
+    return settled(rows, **{name: ads}).drop(props, text, own)
 
 
 def band_holds(price: Column, low: int, high: int) -> Column:

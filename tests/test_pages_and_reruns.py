@@ -21,6 +21,11 @@ def test_unescaped(spark):
     assert got == ['a\nb\t"q"\\n', "é/bx", "raw\nline", "", None]
 
 
+def ads_of(spark, *pages):
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    return [r.ads for r in flight.with_ads(rows).orderBy("i").collect()]
+
+
 def push(text):
     return '<script>self.__next_f.push([1,' + json.dumps(text, ensure_ascii=False) + "])</script>"
 
@@ -32,15 +37,15 @@ def test_page_ads(spark):
     state = lambda props: f'<script id="__NEXT_DATA__" type="application/json">{json.dumps({"props": {"pageProps": props}})}</script>'
     pages = [*cut, state({"initialState": {"search": {"ads": ads}}}), state({"state": {"data": {"ads": ads}}}), state({"initialState": {}, "listings": ads}), state({"initialState": {"ads": []}}) + push(text)]
     want = [ads[0], ads[3]]
-    got = of(spark, flight.page_ads(F.col("x")), *pages)
+    got = ads_of(spark, *pages)
     assert [[json.loads(a) for a in g] for g in got] == [want] * len(pages)
-    assert of(spark, flight.page_ads(F.col("x")), "", None, push('"ads":[{"id":1}'), push("x") * 50, state({"ads": 5})) == [[]] * 5
+    assert ads_of(spark, "", None, push('"ads":[{"id":1}'), push("x") * 50, state({"ads": 5})) == [[]] * 5
 
 
 def test_long_page(spark):
     """A page of megabytes is read whole."""
     text = json.dumps({"pad": "x\\" * 400_000, "ads": [{"id": 5, "d": "y" * 1_000_000}]})
-    got = of(spark, flight.page_ads(F.col("x")), push(text[:700_000]) + push(text[700_000:]))
+    got = ads_of(spark, push(text[:700_000]) + push(text[700_000:]))
     assert [json.loads(a)["id"] for a in got[0]] == [5]
 
 
