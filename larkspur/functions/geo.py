@@ -166,12 +166,14 @@ def with_validity(areas: DataFrame, key: str = "id") -> DataFrame:
     e = e.withColumn("gx", F.explode(span("lon", "west", "width"))).withColumn("gy", F.explode(span("lat", "south", "height"))).select(key, "n", "i", "e", "gx", "gy")
     f = e.select(F.col(key).alias("of"), F.col("i").alias("j"), F.col("e").alias("f"), F.col("gx").alias("hx"), F.col("gy").alias("hy"))
     pairs = e.join(f, (F.col(key) == F.col("of")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.col("i") < F.col("j")))
-    a, b = F.col("e"), F.col("f")
-    side = lambda e, p: F.signum((e.b.lon - e.a.lon) * (p.lat - e.a.lat) - (e.b.lat - e.a.lat) * (p.lon - e.a.lon))
-    on = lambda e, p: (side(e, p) == 0) & p.lon.between(F.least(e.a.lon, e.b.lon), F.greatest(e.a.lon, e.b.lon)) & p.lat.between(F.least(e.a.lat, e.b.lat), F.greatest(e.a.lat, e.b.lat))
-    cross = (side(b, a.a) * side(b, a.b) < 0) & (side(a, b.a) * side(a, b.b) < 0)
-    apart = F.when(F.col("j") == F.col("i") + 1, on(a, b.b) | on(b, a.a)).when((F.col("i") == 0) & (F.col("j") == F.col("n") - 1), on(a, b.a) | on(b, a.b))
-    bad = pairs.where(apart.otherwise(cross | on(b, a.a) | on(b, a.b) | on(a, b.a) | on(a, b.b))).select(F.col(key).alias("bad")).distinct()
+    side = lambda e, p: F.signum((F.col(f"{e}.b.lon") - F.col(f"{e}.a.lon")) * (F.col(f"{p}.lat") - F.col(f"{e}.a.lat")) - (F.col(f"{e}.b.lat") - F.col(f"{e}.a.lat")) * (F.col(f"{p}.lon") - F.col(f"{e}.a.lon")))
+    within = lambda e, p, k: F.col(f"{p}.{k}").between(F.least(f"{e}.a.{k}", f"{e}.b.{k}"), F.greatest(f"{e}.a.{k}", f"{e}.b.{k}"))
+    on = lambda e, p: (side(e, p) == 0) & within(e, p, "lon") & within(e, p, "lat")
+    # in steps, as one expression of all is too large for the JVM to compile
+    pairs = settled(pairs.select(key, "n", "i", "j", "e", "f"), a_on=on("f", "e.a"), b_on=on("f", "e.b"), c_on=on("e", "f.a"), d_on=on("e", "f.b"))
+    pairs = settled(pairs, crossed=(side("f", "e.a") * side("f", "e.b") < 0) & (side("e", "f.a") * side("e", "f.b") < 0))
+    meet = F.when(F.col("j") == F.col("i") + 1, F.expr("a_on OR d_on")).when((F.col("i") == 0) & (F.col("j") == F.col("n") - 1), F.expr("b_on OR c_on"))
+    bad = pairs.where(meet.otherwise(F.expr("crossed OR a_on OR b_on OR c_on OR d_on"))).select(F.col(key).alias("bad")).distinct()
     whole = kept.select(F.col(key).alias("whole"))
     out = areas.join(bad, F.col(key) == F.col("bad"), "left").join(whole, F.col(key) == F.col("whole"), "left")
     return out.select(areas["*"], (F.col("bad").isNull() & F.col("whole").isNotNull()).alias("valid"))
