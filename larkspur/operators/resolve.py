@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.geo import within_radius
 from larkspur.functions.text import fold, jaro_winkler_at_most, similarity
-from larkspur.scratch import scratch_dir
+from larkspur.scratch import dealt, scratch_dir, written
 
 
 @dataclass(frozen=True)
@@ -78,17 +78,28 @@ def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def corrected_duplicates(rows: DataFrame, threshold: float, area: float, algorithm: str = "jaro_winkler") -> DataFrame:
     """(id, r_id, similarity), id < r_id, of rows of one city whose known areas and titles agree; blocked by city and area.
 
-    By Jaro-Winkler a pair is compared letter by letter only if its lengths and first letters allow the threshold, which is seen without leaving the JVM.
+    Titles are compared once for all rows of a city and block that bear them, and only rows of titles that agree meet, so the work grows with the distinct titles
+    and with the pairs returned. By Jaro-Winkler a pair is compared letter by letter only if its lengths and first letters allow the threshold.
     """
     step = max(area, 1e-9)
-    a = rows.where("area_m2 > 0").select("id", "title", "area_m2", fold(F.col("city")).alias("city_key"))
-    bucket = F.floor(F.col("area_m2") / step)
-    left = a.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = a.withColumn("bucket", bucket).withColumnsRenamed({"id": "r_id", "title": "r_title", "area_m2": "r_area"})
-    pairs = left.join(right, ["city_key", "bucket"]).where((F.col("id") < F.col("r_id")) & (F.abs(F.col("area_m2") - F.col("r_area")) <= area))
+    a = rows.where("area_m2 > 0").select("id", F.lower(F.trim("title")).alias("text"), "area_m2", fold(F.col("city")).alias("city_key"), F.floor(F.col("area_m2") / step).alias("bucket")).where("city_key IS NOT NULL")
+    kinds = written(a.select("city_key", "bucket", "text").distinct().withColumn("kind", F.monotonically_increasing_id()), "titles")  # written: the numbers stay
+    own = kinds.select(F.col("city_key").alias("of_city"), F.col("bucket").alias("of_bucket"), F.col("text").alias("of_text"), "kind")
+    members = written(a.join(own, (F.col("city_key") == F.col("of_city")) & (F.col("bucket") == F.col("of_bucket")) & F.col("text").eqNullSafe(F.col("of_text"))).select("id", "area_m2", "kind"), "members")
+    left = dealt(kinds).withColumn("at", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    right = own.withColumnsRenamed({"of_text": "r_text", "kind": "r_kind"})
+    pairs = left.join(right, (F.col("city_key") == F.col("of_city")) & (F.col("at") == F.col("of_bucket"))).where((F.col("at") > F.col("bucket")) | (F.col("kind") <= F.col("r_kind")))
     if algorithm == "jaro_winkler" and threshold > 0:
-        pairs = pairs.where(jaro_winkler_at_most(F.col("title"), F.col("r_title")) >= threshold - 1e-9)
-    return pairs.withColumn("similarity", similarity(F.col("title"), F.col("r_title"), algorithm)).where(F.col("similarity") >= threshold).select("id", "r_id", "similarity")
+        pairs = pairs.where(jaro_winkler_at_most(F.col("text"), F.col("r_text")) >= threshold - 1e-9)
+    # a similarity may differ by which of the two comes first
+    pairs = pairs.withColumns({"there": similarity(F.col("text"), F.col("r_text"), algorithm), "back": similarity(F.col("r_text"), F.col("text"), algorithm)})
+    links = written(pairs.where(F.greatest("there", "back") >= threshold).select("kind", "r_kind", "there", "back"), "links")
+    asks = dealt(members.join(links, "kind"), "r_kind")
+    others = members.select(F.col("id").alias("other"), F.col("area_m2").alias("r_area"), F.col("kind").alias("r_kind"))
+    met = asks.join(others, "r_kind").where((F.abs(F.col("area_m2") - F.col("r_area")) <= area) & F.when(F.col("kind") == F.col("r_kind"), F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other")))
+    first = F.col("id") < F.col("other")
+    met = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("r_id"), F.when(first, F.col("there")).otherwise(F.col("back")).alias("similarity"))
+    return met.where(F.col("similarity") >= threshold)
 
 
 def unique_by(rows: DataFrame, key: str, order: str) -> DataFrame:

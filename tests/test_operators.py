@@ -471,3 +471,16 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert {i: sorted(x) for i, x in got.items()} == {i: [(d + 0.0, j) for d, j in x] for i, x in near.items() if x}
     assert {r.query: r.rank for r in vectors.first_relevant(q, e).collect()} == rank
     assert vectors.nearest(q.limit(0), e, 5).count() == vectors.nearest(q, e.limit(0), 5).count() == 0
+
+
+def test_titles_are_compared_once_for_all_rows_that_bear_them(spark):
+    rng = random.Random(5)
+    titles = ["".join(rng.choices("abc", k=rng.randint(3, 7))) for _ in range(25)] + [" Old Plate", "old plate ", "", None]
+    rows = [(i, rng.choice(titles), rng.choice([1.0, 2.5, 3.0, 4.9, 7.0]), rng.choice(["São", "sao", "x", None])) for i in range(150)]
+    got = resolve.corrected_duplicates(spark.createDataFrame(rows, "id long, title string, area_m2 double, city string"), 0.8, 2.0)
+    plain = lambda t: (t or "").strip().lower()
+    town = {"São": "sao", "sao": "sao", "x": "x"}
+    like = lambda a, b: text._jaro_winkler(a, b) if a and b else 0.0
+    want = {(a[0], b[0]): like(plain(a[1]), plain(b[1])) for a in rows for b in rows if a[0] < b[0] and a[3] and b[3] and town[a[3]] == town[b[3]] and abs(a[2] - b[2]) <= 2}
+    assert {(r.id, r.r_id): r.similarity for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.8}
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # no comparison letter by letter for each pair of rows
