@@ -484,3 +484,13 @@ def test_titles_are_compared_once_for_all_rows_that_bear_them(spark):
     want = {(a[0], b[0]): like(plain(a[1]), plain(b[1])) for a in rows for b in rows if a[0] < b[0] and a[3] and b[3] and town[a[3]] == town[b[3]] and abs(a[2] - b[2]) <= 2}
     assert {(r.id, r.r_id): r.similarity for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.8}
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # no comparison letter by letter for each pair of rows
+
+
+def test_distances_are_taken_once_for_all_rows_of_a_position(spark):
+    a = spark.createDataFrame([(i, 0.001 * (i % 3), -0.0 if i % 2 else 0.0) for i in range(30)] + [(99, None, 0.0)], "id long, lon double, lat double")
+    b = spark.createDataFrame([(i, 0.001 * (i % 4), 0.0) for i in range(40)] + [(98, 0.0, None)], "r_id long, r_lon double, r_lat double")
+    got = geo.within_radius(a, b, 150, digits=1)
+    assert sorted((r.id, r.r_id, r.distance_m) for r in got.collect()) == sorted((i, j, round(abs(i % 3 - j % 4) * math.radians(0.001) * geo.RADIUS_M, 1)) for i in range(30) for j in range(40) if abs(i % 3 - j % 4) <= 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ASIN") > plan.rindex("Join Inner", 0, plan.index("ASIN"))  # below the joins that bring the rows
+    assert plan[: plan.index("ASIN")].count("Join Inner") >= 2
