@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.geo import within_radius
+from larkspur.functions.geo import near_places
 from larkspur.functions.text import fold, jaro_winkler_at_most, similarity
 from larkspur.scratch import dealt, scratch_dir, written
 
@@ -20,21 +21,34 @@ class Rules:
     algorithm: str = "jaro_winkler"
 
 
-def _alike(rules: Rules) -> Column:
-    area = F.coalesce(F.nullif("area_m2", F.lit(0.0)).isNull() | F.nullif("r_area_m2", F.lit(0.0)).isNull() | (F.abs(F.col("area_m2") - F.col("r_area_m2")) <= rules.area), F.lit(False))
-    rooms = [F.coalesce(F.col(c) == F.col(f"r_{c}"), F.lit(True)) for c in ("bedrooms", "bathrooms", "parking")]
-    return area & rooms[0] & rooms[1] & rooms[2]
+ROOMS = ["bedrooms", "bathrooms", "parking"]
 
 
-COLUMNS = ["id", "title", "area_m2", "bedrooms", "bathrooms", "parking", "lon", "lat"]
+def _numbered(rows: DataFrame, columns: list[str], number: str) -> DataFrame:
+    """Adds `number`, one for all rows alike in `columns`, nulls too."""
+    kinds = written(rows.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()), number)  # written: the numbers stay
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in columns])
+    return rows.join(kinds.withColumnsRenamed({c: f"of_{c}" for c in columns}), same).drop(*[f"of_{c}" for c in columns])
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(id, r_id, similarity) of rows that lie near each other and are alike; cheap rules are applied before the text."""
-    left = a.select(*COLUMNS).where("lon IS NOT NULL AND lat IS NOT NULL AND lon <> 0 AND lat <> 0")
-    right = b.select(*[F.col(c).alias(f"r_{c}") for c in COLUMNS]).where("r_lon IS NOT NULL AND r_lat IS NOT NULL")
-    pairs = within_radius(left, right, rules.radius_m).where(_alike(rules))
-    return pairs.withColumn("similarity", similarity(F.col("title"), F.col("r_title"), rules.algorithm)).where(F.col("similarity") >= rules.text).select("id", "r_id", "similarity")
+def _near_sites(rows: DataFrame, radius_m: float) -> DataFrame:
+    """(site, r_site) of those of `rows` (site, lon, lat, rooms) that lie near each other and whose known rooms agree; a site at 0 asks for none."""
+    sites = rows.select("site", "lon", "lat", *ROOMS).distinct()
+    asks = sites.where("lon <> 0 AND lat <> 0")
+    others = sites.withColumnsRenamed({c: f"r_{c}" for c in sites.columns})
+    near = near_places(asks, others, radius_m).withColumnsRenamed({"lon": "of_lon", "lat": "of_lat", "r_lon": "to_lon", "r_lat": "to_lat"})
+    here = dealt(near.join(asks, (F.col("lon") == F.col("of_lon")) & (F.col("lat") == F.col("of_lat"))), "to_lon", "to_lat")
+    pairs = here.join(others, (F.col("to_lon") == F.col("r_lon")) & (F.col("to_lat") == F.col("r_lat")))
+    rooms = [F.coalesce(F.col(c) == F.col(f"r_{c}"), F.lit(True)) for c in ROOMS]
+    return pairs.where(rooms[0] & rooms[1] & rooms[2]).select("site", "r_site")
+
+
+def _similar(left: DataFrame, right: DataFrame, near: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs of `left` and `right` (both site, text, low, high; right's with r_) of near sites, with areas that come as near as allowed or aren't known, and of similar texts; adds similarity."""
+    asks = dealt(left.join(near, "site"), "r_site")
+    area = F.coalesce((F.col("low") - F.col("r_high") <= rules.area) & (F.col("r_low") - F.col("high") <= rules.area), F.lit(True))
+    pairs = asks.join(right, "r_site").where(area).withColumn("similarity", similarity(F.col("text"), F.col("r_text"), rules.algorithm))
+    return pairs.where(F.col("similarity") >= rules.text)
 
 
 def match(candidates: DataFrame, properties: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -42,18 +56,46 @@ def match(candidates: DataFrame, properties: DataFrame, rules: Rules = Rules())
 
     New candidates that are alike form one property, named by the least id among them (components of the links between
     them, by repeated minima; each step is checkpointed). Ties go to the least id.
+
+    Rows alike in all that is compared are one kind and compared once. Among new ones, kinds of one site and text whose areas follow each other closely are one
+    run, which links like its members do: where two runs come near enough, so do two of their areas.
     """
     key = ["platform", "platform_id"]
     exact = candidates.select("id", *key).join(properties.groupBy(*key).agg(F.min("id").alias("property_id")), key).select("id", "property_id", F.lit("exact").alias("how"))
-    rest = candidates.join(exact, "id", "left_anti")
-    near = similar_pairs(rest, properties.where("active"), rules)
-    fuzzy = near.groupBy("id").agg(F.min_by("r_id", F.struct(-F.col("similarity"), "r_id")).alias("property_id")).withColumn("how", F.lit("fuzzy"))
-    new = rest.join(fuzzy, "id", "left_anti")
-    links = similar_pairs(new, new, rules).where("id <> r_id").select("id", "r_id")
-    created = clusters(new.select("id"), links).withColumn("how", F.lit("new"))
+    columns = ["id", "lon", "lat", *ROOMS, F.lower(F.trim("title")).alias("text"), F.nullif("area_m2", F.lit(0.0)).alias("area")]
+    rest = candidates.join(exact, "id", "left_anti").select(*columns, F.lit(True).alias("asks"))
+    rows = rest.unionByName(properties.where("active").select(*columns, F.lit(False).alias("asks")))
+    rows = written(_numbered(_numbered(rows, ["lon", "lat", *ROOMS], "site"), ["site", "text", "area"], "kind"), "rows")
+    near = written(_near_sites(rows, rules.radius_m), "near-sites")
+    kinds = lambda some: some.groupBy("kind", "site", "text", "area").agg(F.min("id").alias("first")).withColumns({"low": F.col("area"), "high": F.col("area")})
+    renamed = lambda some: some.select(*[F.col(c).alias(f"r_{c}") for c in some.columns])
+    known = renamed(kinds(rows.where("NOT asks")))
+    best = _similar(kinds(rows.where("asks")), known, near, rules).groupBy("kind").agg(F.min_by("r_first", F.struct(-F.col("similarity"), "r_first")).alias("property_id"))
+    best = written(best, "best")
+    asks = rows.where("asks").select("id", "kind")
+    fuzzy = asks.join(best, "kind").select("id", "property_id", F.lit("fuzzy").alias("how"))
+    new = _runs(kinds(rows.where("asks").join(best, "kind", "left_anti")), rows, rules)
+    runs = new.groupBy("run", "site", "text").agg(F.min("area").alias("low"), F.max("area").alias("high"), F.min("first").alias("first"))
+    links = written(_similar(runs, renamed(runs), near, rules).select(F.col("run").alias("id"), F.col("r_run").alias("r_id")), "links")
+    linked = links.select("id").union(links.select("r_id")).distinct()  # also those whose rows link among themselves only
+    roots = clusters(linked, links.where("id <> r_id")).join(runs.select(F.col("run").alias("id"), "first"), "id")
+    named = roots.groupBy("property_id").agg(F.min("first").alias("name"))
+    named = roots.join(named, "property_id").select(F.col("id").alias("run"), "name")
+    created = asks.join(new.select("kind", "run"), "kind").join(named, "run", "left").select("id", F.coalesce("name", "id").alias("property_id"), F.lit("new").alias("how"))
     return exact.unionByName(fuzzy).unionByName(created)
 
 
+def _runs(kinds: DataFrame, rows: DataFrame, rules: Rules) -> DataFrame:
+    """Adds `run` to kinds, written: one for kinds of a site and text that link, each with the next by area; rows: (site, lon, lat). A kind without area or without links of its own is alone."""
+    asking = rows.where("lon <> 0 AND lat <> 0").select(F.col("site").alias("of_site")).distinct()
+    k = kinds.join(asking, F.col("site") == F.col("of_site"), "left")
+    k = k.withColumn("own", F.col("of_site").isNotNull() & (similarity(F.col("text"), F.col("text"), rules.algorithm) >= rules.text)).drop("of_site")
+    w = Window.partitionBy("site", "text").orderBy("area", "kind")
+    follows = F.coalesce(F.col("own") & (F.col("area") - F.lag("area").over(w) <= rules.area), F.lit(False))
+    starts = k.withColumn("start", F.when(~follows, F.col("kind")))
+    return written(starts.withColumn("run", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("start", "own", "low", "high"), "runs")
+
+
 def _saved(df: DataFrame) -> DataFrame:
     sc, named = df.sparkSession.sparkContext, scratch_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:

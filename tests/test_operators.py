@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import catalogue, geo, text, vectors
 from larkspur.operators import cohort, coverage, gates, history, location, quality, resolve, search, upserts, verdict
+from larkspur.scratch import written
 from larkspur.sources import files, records
 
 
@@ -494,3 +495,45 @@ def test_distances_are_taken_once_for_all_rows_of_a_position(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ASIN") > plan.rindex("Join Inner", 0, plan.index("ASIN"))  # below the joins that bring the rows
     assert plan[: plan.index("ASIN")].count("Join Inner") >= 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_entities_of_many_copies_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    titles = ["old plate", "Old plates", "new ring", "large bolt", " large bolts", "", None]
+    spots = [(0.1, 0.1), (0.1003, 0.1), (0.1006, 0.1), (0.0, 0.1), (0.0003, 0.1), (None, 0.1)]
+    row = lambda i, who: (f"{who}{i:03}", who, str(i), rng.choice(titles), rng.choice([None, 0.0, 10.0, 14.0, 20.0, 25.0, 33.0]), rng.choice([1, 1, None]), rng.choice([1, 2]), 1, *rng.choice(spots), rng.random() < 0.7)
+    new, known = [row(i, "c") for i in range(90)], [row(i, "k") for i in range(8)]
+    schema = "id string, platform string, platform_id string, title string, area_m2 double, bedrooms int, bathrooms int, parking int, lon double, lat double, active boolean"
+
+    def like(a, b):
+        if None in (a[8], b[8]) or a[8] == 0 or abs(a[8] - b[8]) * math.radians(1) * geo.RADIUS_M > 50:
+            return 0.0
+        if (a[4] and b[4] and abs(a[4] - b[4]) > 5) or any(a[k] is not None and b[k] is not None and a[k] != b[k] for k in (5, 6, 7)):
+            return 0.0
+        x, y = ((r[3] or "").strip().lower() for r in (a, b))
+        return text._jaro_winkler(x, y) if x and y else 0.0
+
+    want, rest = {}, []
+    for a in new:
+        best = min(((-like(a, b), b[0]) for b in known if b[10] and like(a, b) >= 0.65), default=None)
+        want[a[0]] = (best[1], "fuzzy") if best else None
+        rest += [] if best else [a]
+    name = {a[0]: a[0] for a in rest}
+    for _ in rest:
+        for a in rest:
+            for b in rest:
+                if like(a, b) >= 0.65:
+                    name[a[0]] = name[b[0]] = min(name[a[0]], name[b[0]])
+    want |= {k: (v, "new") for k, v in name.items()}
+    got = {r.id: (r.property_id, r.how) for r in resolve.match(spark.createDataFrame(new, schema), spark.createDataFrame(known, schema)).collect()}
+    assert got == want and {how for _, how in want.values()} == {"fuzzy", "new"}
+
+
+def test_copies_of_entities_are_compared_once(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(resolve, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    k = F.col("id")
+    p = spark.range(3000).select(k.cast("string").alias("id"), F.lit("a").alias("platform"), k.cast("string").alias("platform_id"), F.lit("old plate").alias("title"), (10.0 + k % 20).alias("area_m2"), F.lit(1).alias("bedrooms"), F.lit(1).alias("bathrooms"), F.lit(1).alias("parking"), F.lit(0.1).alias("lon"), F.lit(0.1).alias("lat"), F.lit(True).alias("active"))
+    assert {r.property_id for r in resolve.match(p, p.limit(0)).collect()} == {"0"}
+    assert made["kind"].count() == 20 and made["links"].count() == 1  # not 3,000 by 3,000 rows
