@@ -158,3 +158,20 @@ def test_small_selections(spark):
     assert reruns.history_minutes(snaps, 0, F.timestamp_seconds(F.lit(600))).count() == 2
     assert reruns.history_minutes(snaps, 10**9, F.timestamp_seconds(F.lit(600))).count() == 11
     assert spark.range(1).select(reruns.ai_score(F.lit(0.5), F.lit(1.0))).first()[0] == pytest.approx(0.65)
+
+
+def test_small_rings_are_settled_in_their_row_like_large_ones(spark):
+    import random
+
+    from larkspur.functions import geo
+
+    rng = random.Random(3)
+    at = lambda: {"lon": float(rng.randint(0, 5)), "lat": float(rng.randint(0, 5))}
+    rings = [[at() for _ in range(rng.randint(0, 7))] for _ in range(400)] + [None, [{"lon": None, "lat": 1.0}] * 4]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(rings)], "id long, ring array<struct<lon:double,lat:double>>")
+    out = geo.with_validity(rows)
+    got, want = ({r.id: r.valid for r in x.collect()} for x in (out, geo._validity_by_cells(rows, "id")))
+    assert got == want and set(got.values()) == {True, False}
+    assert out.columns == ["id", "ring", "valid"] and out.where("ring IS NULL").count() == 1
+    # no join gathers edges on the driver, whatever the optimizer takes their size for
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
