@@ -157,5 +157,6 @@ def merged_windows(rows: DataFrame) -> DataFrame:
 
 
 def folded_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """(key, name): distinct folded names with their first spelling."""
-    return rows.withColumn("key", fold(F.col(name))).where("key <> ''").groupBy("key").agg(F.min_by(name, order).alias("name"))
+    """(key, name): distinct folded names with their first spelling. A spelling is folded once for all its rows; where `order` is a number these meet in a hash table, unsorted."""
+    spelled = rows.groupBy(name).agg(F.min(order).alias("at")).withColumnRenamed(name, "name")
+    return spelled.withColumn("key", fold(F.col("name"))).where("key <> ''").groupBy("key").agg(F.min_by("name", "at").alias("name"))

@@ -537,3 +537,12 @@ def test_copies_of_entities_are_compared_once(spark, monkeypatch):
     p = spark.range(3000).select(k.cast("string").alias("id"), F.lit("a").alias("platform"), k.cast("string").alias("platform_id"), F.lit("old plate").alias("title"), (10.0 + k % 20).alias("area_m2"), F.lit(1).alias("bedrooms"), F.lit(1).alias("bathrooms"), F.lit(1).alias("parking"), F.lit(0.1).alias("lon"), F.lit(0.1).alias("lat"), F.lit(True).alias("active"))
     assert {r.property_id for r in resolve.match(p, p.limit(0)).collect()} == {"0"}
     assert made["kind"].count() == 20 and made["links"].count() == 1  # not 3,000 by 3,000 rows
+
+
+def test_spellings_are_folded_once_and_meet_unsorted(spark):
+    from larkspur.plans import registry
+
+    rows = spark.createDataFrame([("São", 3), ("sao", 2), ("SAO", 5), ("sao", 1), ("São", 0), ("x", 7), (None, 0), (" ", 4)], "n string, at int")
+    assert {r.key: r.name for r in resolve.folded_names(rows, "n", "at").collect()} == {"sao": "São", "x": "x"}
+    plan = registry.queries()["fold_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[name" in plan and "SortAggregate(keys=[name" not in plan
