@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larkspur.scratch import discard, written
 
 #: Microseconds of a key's life that are put in order in one task: four days.
 SPAN = 4 * 86_400_000_000
+#: Requests of a key whose waits are followed in one task.
+BLOCK = 50_000
 KEY = ["property_id", "listing_type", "platform", "property_listing_id"]
 
 
@@ -167,32 +172,58 @@ def _numbered(requests: DataFrame, key: str) -> DataFrame:
     return out.select(key, "id", "at", "need", (F.col("row") + F.col("n")).alias("nth"), (F.col("sum") + F.col("total")).alias("upto"))
 
 
+def _inside(step: int):
+    """A block of requests in a row (key, id, at, need, nth, to) -> with start, exit, steps: what pointers within the block lead to, and where they leave it, so many steps away; exit is null for nowhere."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("nth")
+        first = t.column("nth")[0].as_py()
+        start = t.column("at").to_numpy().copy()
+        jump, steps = t.column("to").fill_null(0).to_numpy() - first, np.ones(len(start), np.int64)
+        while len(i := np.flatnonzero(jump >= 0)):
+            j = jump[i]
+            start[i], steps[i], jump[i] = np.maximum(start[i], start[j] + step * steps[i]), steps[i] + steps[j], jump[j]
+        out = jump + first
+        return t.drop_columns(["to"]).append_column("start", pa.array(start)).append_column("exit", pa.array(out, mask=out < 1)).append_column("steps", pa.array(steps))
+
+    return run
+
+
 def launches(requests: DataFrame, limit: int, seconds: int = 60, key: str = "platform") -> DataFrame:
     """requests (key, id, at: microseconds, need: tokens >= 0) with wait (microseconds): first come, first served, each starts at the first moment at which
     what started less than `seconds` ago leaves room for it under `limit`; one that needs more waits until all before it has aged out.
 
     Of each request the prefix sums tell which earlier one must have aged out: the last whose tokens, with all from it on, are more than the limit. Starts
-    are then a largest sum along these pointers, a(p) + `seconds` a step, as later requests point at later ones; the pointers double in length each round,
-    so a key takes as many rounds as the logarithm of its longest chain. Rows without a moment drop; null needs count as 0; ids must be unique in a key.
+    are then a largest sum along these pointers, a(p) + `seconds` a step, as later requests point at later ones. Pointers are followed within blocks of BLOCK
+    requests of a key at once; between blocks only those that they leave a block for are left, whose pointers double in length each round.
+    Rows without a moment drop; null needs count as 0; ids must be unique in a key.
     """
-    rows = written(_numbered(requests.where("at IS NOT NULL").select(key, "id", "at", F.coalesce("need", F.lit(0)).cast("long").alias("need")), key), "requests")
+    step = seconds * 1_000_000
+    rows = written(_numbered(requests.where("at IS NOT NULL").select(key, "id", F.col("at").cast("long").alias("at"), F.coalesce("need", F.lit(0)).cast("long").alias("need")), key), "requests")
     # where a request's tokens begin, beside the sums that ask for the last beginning below them
-    begins = rows.select(key, (F.col("upto") - F.col("need")).alias("tokens"), F.lit(1).alias("asks"), "nth", F.col("nth").alias("to"))
-    asks = rows.select(key, (F.col("upto") - limit).alias("tokens"), F.lit(0).alias("asks"), "nth", F.lit(None).cast(rows.schema["nth"].dataType).alias("to"))
+    kept = lambda on: [F.col(c) if on else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "at", "need")]
+    begins = rows.select(key, (F.col("upto") - F.col("need")).alias("tokens"), F.lit(1).alias("asks"), "nth", F.col("nth").cast("long").alias("to"), *kept(False))
+    asks = rows.select(key, (F.col("upto") - limit).alias("tokens"), F.lit(0).alias("asks"), "nth", F.lit(None).cast("long").alias("to"), *kept(True))
     both = begins.unionByName(asks).withColumn("span", F.floor(F.col("tokens") / (1000 * limit)))
-    found = _carried(both, key, ["tokens", "asks", "nth"], "span", "to").where("asks = 0 AND to IS NOT NULL")
-    jump = written(found.select(key, "nth", F.least("to", F.col("nth") - 1).alias("to")).where("to >= 1"), "jumps")
-    start = written(rows.select(key, "nth", F.col("at").alias("start")), "starts")
-    step = seconds * 1_000_000
-    while not jump.isEmpty():
-        ahead = jump.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), "to")
-        target = start.select(F.col(key).alias("to_key"), F.col("nth").alias("to_nth"), (F.col("start") + step).alias("reached"))
-        far = ahead.join(target, F.col("of_key").eqNullSafe(F.col("to_key")) & (F.col("to") == F.col("to_nth"))).select("of_key", "of_nth", "reached")
-        on = F.col(key).eqNullSafe(F.col("of_key")) & (F.col("nth") == F.col("of_nth"))
-        more = written(start.join(far, on, "left").select(key, "nth", F.greatest("start", "reached").alias("start")), "starts")
-        twice = jump.select(F.col(key).alias("by_key"), F.col("nth").alias("by_nth"), F.col("to").alias("by"))
-        twice = written(twice.join(ahead, F.col("by_key").eqNullSafe(F.col("of_key")) & (F.col("by") == F.col("of_nth"))).select(F.col("by_key").alias(key), F.col("by_nth").alias("nth"), "to"), "jumps")
-        discard(start, jump)
-        start, jump, step = more, twice, 2 * step
-    out = start.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), "start")
-    return rows.join(out, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("nth") == F.col("of_nth"))).select(key, "id", "at", "need", (F.col("start") - F.col("at")).alias("wait"))
+    found = _carried(both, key, ["tokens", "asks", "nth"], "span", "to").where("asks = 0")
+    found = found.select(key, "id", "at", "need", F.col("nth").cast("long").alias("nth"), F.when(F.col("to").isNotNull(), F.least("to", F.col("nth") - 1)).cast("long").alias("to"), F.floor((F.col("nth") - 1) / BLOCK).alias("block"))
+    kinds = StructType([f for f in found.schema if f.name != "to"]).add("start", "long").add("exit", "long").add("steps", "long")
+    block = written(found.groupBy(key, "block").applyInArrow(_inside(step), kinds).drop("block"), "blocks")
+    discard(rows)
+    start = _reached(block, key, step)
+    out = block.join(start, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("exit") == F.col("of_nth")), "left")
+    return out.select(key, "id", "at", "need", (F.greatest("start", F.col("reached") + step * F.col("steps")) - F.col("at")).alias("wait"))
+
+
+def _reached(block: DataFrame, key: str, step: int) -> DataFrame:
+    """(of_key, of_nth, reached): the starts of the requests that pointers leave a block for."""
+    ends = block.where("exit IS NOT NULL").select(F.col(key).alias("of_key"), F.col("exit").alias("of_nth")).distinct()
+    on = F.col(key).eqNullSafe(F.col("of_key")) & (F.col("nth") == F.col("of_nth"))
+    now = written(block.join(ends, on, "left_semi").select(key, "nth", "start", F.col("exit").alias("to"), "steps"), "starts")
+    while not now.where("to IS NOT NULL").isEmpty():
+        ahead = now.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), F.col("start").alias("reached"), F.col("to").alias("far"), F.col("steps").alias("more"))
+        far = now.join(ahead, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("to") == F.col("of_nth")), "left")
+        nxt = written(far.select(key, "nth", F.greatest("start", F.col("reached") + step * F.col("steps")).alias("start"), F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "starts")
+        discard(now)
+        now = nxt
+    return now.select(F.col(key).alias("of_key"), F.col("nth").alias("of_nth"), F.col("start").alias("reached"))

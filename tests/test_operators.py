@@ -546,3 +546,25 @@ def test_spellings_are_folded_once_and_meet_unsorted(spark):
     assert {r.key: r.name for r in resolve.folded_names(rows, "n", "at").collect()} == {"sao": "São", "x": "x"}
     plan = registry.queries()["fold_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[name" in plan and "SortAggregate(keys=[name" not in plan
+
+
+@pytest.mark.parametrize("block", [3, 50_000])
+def test_waits_are_followed_within_blocks(spark, monkeypatch, block):
+    rng = random.Random(4)
+    rows = [(k, i, rng.randint(0, 200) * 1_000_000, rng.choice([0, 1, 2, 5, 12, None])) for k in ("a", None) for i in range(60)]
+    rows += [("full", i, 0, 9) for i in range(300)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        open_, now = [], 0
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            need, base = r[3] or 0, max(now, r[2])
+            free = lambda at: sum(n for t, n in open_ if t > at - 60_000_000) + need <= 9 or not any(t > at - 60_000_000 for t, _ in open_)  # noqa: B023, E731
+            now = min(at for at in [base, *(t + 60_000_000 for t, _ in open_)] if at >= base and free(at))
+            open_.append((now, need))
+            want[key, r[1]] = now - r[2]
+    made = []
+    monkeypatch.setattr(history, "BLOCK", block)
+    monkeypatch.setattr(history, "written", lambda df, name: made.append(name) or written(df, name))
+    got = history.launches(spark.createDataFrame(rows, "platform string, id long, at long, need long"), 9)
+    assert {(r.platform, r.id): r.wait for r in got.collect()} == want
+    assert block == 3 or len(made) == 3  # no round between blocks where there is one
