@@ -71,10 +71,10 @@ class Rule:
 NEAR = Rule(words=5, bits=256, max_diff=80)
 #: Differing bits of pairs verified first: most are near copies, and the groups that they make need no more pairs.
 SURE = 40
-#: Shingles are counted in one document of so many, in at least so many documents. Counts order shingles, no more: any order finds all pairs.
-SHARE, COUNTED = 8, 10_000
-#: Cells of the table of counts, which every task gets: a byte each.
-CELLS = 1 << 22
+#: Cells of the table of counts, which every task gets: a byte each. It is made in SLICES slices.
+CELLS, SLICES = 1 << 22, 1 << 16
+#: Shingles counted at once within a task; of a cell that these fill so often or oftener the multiples of WEIGHT travel apart.
+COUNTED, WEIGHT = 1 << 22, 64
 #: A block of near copies of more rows than this is dealt out as pairs of tiles.
 NEAR_TILE = 2048
 #: Sets are verified in so many places that they fill each with some 40 times this at most, as a set has about as many keys.
@@ -259,28 +259,72 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.hex(number)).alias("fingerprint"), "component_id")
 
 
-def _common(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """How common shingles are, by cells of their hashes: the greatest count of a cell's shingles, on a scale of logarithms.
+def _sliced(rule: Rule):
+    """(text) -> (slice, weight, cells): the shingles of whole sets as cells of SLICES slices, COUNTED at once; a cell that COUNTED rows hold often stands there by WEIGHT."""
 
-    The documents counted grow with the corpus, the table doesn't. Cells are shared the more, but a common shingle never looks rare for it: the error is
-    to the other side, and a set has its rarest shingles in cells without a common one.
-    """
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(held)
+        h, n = np.unique((h >> np.uint32(6) << np.uint32(16)) | (h & np.uint32(63)) << np.uint32(10) | h >> np.uint32(22), return_counts=True)  # slice, its cell of the table, the rest
+        n = n.astype(np.int32)
+        for weight, times in ((1, n % WEIGHT), (WEIGHT, n // WEIGHT)):
+            x = np.repeat(h, times)
+            if len(x):
+                slices, at = np.unique(x >> np.uint32(16), return_index=True)
+                cells = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((2 * np.append(at, len(x))).astype(np.int32)), pa.py_buffer(x.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int64)), pa.array(np.full(len(at), weight, np.int64)), cells], ["slice", "weight", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for rb in batches:
             for t in rb.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), rule.words).view(np.int64))], ["h"])
-
-    of = min(SHARE, max(1, docs.count() // COUNTED))
-    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0)
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    code = F.least(F.lit(127), F.round(4 * F.log2("count"))).cast("byte")
-    got = counts.groupBy(F.pmod(F.col("h"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.max(code).alias("code")).toArrow()  # CELLS rows at most
-    out = np.zeros(CELLS, np.uint8)
-    out[got.column("cell").to_numpy()] = got.column("code").to_numpy()
+                held.append(shingles(t.as_py(), rule.words).astype(np.uint32))  # the lower half
+                many += len(held[-1])
+                if many >= COUNTED:
+                    yield from rows(held)
+                    held, many = [], 0
+        if held:
+            yield from rows(held)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, weight, cells), whole slices one behind another -> (slice, codes): for each of the slice's cells of the table the greatest count of a cell of 32 bits, as a code; 0 up to 2."""
+
+    def codes(counts: np.ndarray) -> bytes:
+        most = counts.reshape(64, 1024).max(axis=1)
+        return np.where(most > 2, np.minimum(np.round(4 * np.log2(np.maximum(most, 1))), 127), 0).astype(np.uint8).tobytes()
+
+    last, counts = None, np.zeros(1 << 16, np.int64)
+    for rb in batches:
+        done, out = [], []
+        for slice_, weight, cells in zip(rb.column("slice").to_pylist(), rb.column("weight").to_pylist(), rb.column("cells"), strict=True):
+            if slice_ != last:
+                if last is not None:
+                    done.append(last)
+                    out.append(codes(counts))
+                last = slice_
+                counts[:] = 0
+            np.add.at(counts, np.frombuffer(cells.as_buffer(), np.uint16), weight)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array(out, pa.binary())], ["slice", "codes"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([codes(counts)], pa.binary())], ["slice", "codes"])
+
+
+def _common(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How common shingles are in all of `docs`, by cells of their hashes: the greatest count of a cell's shingles, on a scale of logarithms.
+
+    Every shingle of every document is counted, by 32 bits of its hash: it travels as two bytes. The table of CELLS cells doesn't grow, they are shared the more;
+    but a common shingle never looks rare for it: the error is to the other side, and a set has its rarest shingles in cells without a common one.
+    """
+    sliced = docs.select("text").mapInArrow(_sliced(rule), "slice long, weight long, cells binary")
+    got = sliced.repartition("slice").sortWithinPartitions("slice").mapInArrow(_counted, "slice long, codes binary").toArrow()  # CELLS bytes
+    out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+    out[got.column("slice").to_numpy()] = _matrix(got.column("codes"), np.uint8) if len(got) else 0
     del got
     pa.default_memory_pool().release_unused()
-    return out
+    # a slice's 64 cells lie side by side: slice and place are the upper and lower bits of the cell
+    return out.ravel()
 
 
 def _prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -442,7 +486,7 @@ def keep_one(docs: DataFrame, rule: Rule = NEAR, similarity: float = 0.8) -> Dat
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     low = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
     known = docs.where("doc_id IS NOT NULL").select(low.alias("low"), "text", row.alias("row"))
-    common = _common(known.select(F.col("low.doc_id").alias("doc_id"), "text"), rule)
+    common = _common(known, rule)
     kinds = "of binary, low struct<doc_id:bigint,text:string>, fp binary, n long, keys binary, far binary"
     profiles = known.select("text", "low").mapInArrow(_profiles(rule, similarity, common), kinds)
     nodes = profiles.groupBy("of").agg(F.min("low").alias("low"), *[F.first(x).alias(x) for x in ("fp", "n", "keys", "far")]).drop("of")

@@ -939,3 +939,22 @@ def test_toxicity_learns_beside_a_long_text(spark):
         got = {r.doc_id: (r.score, r.predicted) for r in toxicity.digest(docs, labels, setup).collect()}
         assert len({s for s, _ in got.values()}) > 10
         assert sum(got[i][1] == i % 2 for i in range(300) if i not in longs) > 250
+
+
+def test_shingles_of_all_documents_are_counted(spark, monkeypatch):
+    """Not of a share of them: the table has the counts of all sets."""
+    monkeypatch.setattr(simhash, "COUNTED", 5000)
+    rule = simhash.NEAR
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('a very common line stands here', if(id % 1000 = 7, concat(' with ', id % 3000, ' behind'), '')) AS text").repartition(5)
+    counts = {}
+    for text in [None, "", *(r.text for r in docs.collect())]:
+        for h in simhash.shingles(text, rule.words).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    got = simhash._common(docs.unionByName(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")), rule)
+    want = np.zeros(simhash.CELLS, np.uint8)
+    for h, n in counts.items():
+        if n > 2:
+            at = h % simhash.CELLS
+            want[at] = max(want[at], min(127, round(4 * np.log2(n))))
+    assert len(counts) > 5 and want.max() == 59 and (got == want).all()
+    assert not simhash._common(docs.limit(0), rule).any()
