@@ -1,6 +1,7 @@
 """Each operator against brute force, on small fixtures with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -958,3 +959,19 @@ def test_shingles_of_all_documents_are_counted(spark, monkeypatch):
             want[at] = max(want[at], min(127, round(4 * np.log2(n))))
     assert len(counts) > 5 and want.max() == 59 and (got == want).all()
     assert not simhash._common(docs.limit(0), rule).any()
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not the sample."""
+    real = toxicity.fit
+
+    def fit(rows, setup):
+        model = real(rows, setup)
+        model.thresholds["process"] = os.getpid()
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs = spark.createDataFrame([(i, "calm lamp" + " vilefoe" * (i % 2), "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, toxicity.Setup(buckets=512, epochs=1))
+    assert model.constant is None and model.thresholds["process"] != os.getpid()
