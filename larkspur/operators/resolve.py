@@ -32,10 +32,10 @@ def _numbered(rows: DataFrame, columns: list[str], number: str) -> DataFrame:
 
 
 def _near_sites(rows: DataFrame, radius_m: float) -> DataFrame:
-    """(site, r_site) of those of `rows` (site, lon, lat, rooms) that lie near each other and whose known rooms agree; a site at 0 asks for none."""
-    sites = rows.select("site", "lon", "lat", *ROOMS).distinct()
-    asks = sites.where("lon <> 0 AND lat <> 0")
-    others = sites.withColumnsRenamed({c: f"r_{c}" for c in sites.columns})
+    """(site, r_site) of those of `rows` (site, lon, lat, rooms, asks) that lie near each other and whose known rooms agree; a site at 0, or one without rows that ask, asks for none."""
+    columns = ["site", "lon", "lat", *ROOMS]
+    asks = rows.where("asks AND lon <> 0 AND lat <> 0").select(*columns).distinct()
+    others = rows.select(*columns).distinct().withColumnsRenamed({c: f"r_{c}" for c in columns})
     near = near_places(asks, others, radius_m).withColumnsRenamed({"lon": "of_lon", "lat": "of_lat", "r_lon": "to_lon", "r_lat": "to_lat"})
     here = dealt(near.join(asks, (F.col("lon") == F.col("of_lon")) & (F.col("lat") == F.col("of_lat"))), "to_lon", "to_lat")
     pairs = here.join(others, (F.col("to_lon") == F.col("r_lon")) & (F.col("to_lat") == F.col("r_lat")))

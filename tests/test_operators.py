@@ -530,6 +530,51 @@ def test_entities_of_many_copies_against_brute_force(spark, seed):
     assert got == want and {how for _, how in want.values()} == {"fuzzy", "new"}
 
 
+def test_every_step_of_entity_matches_decides(spark):
+    """Against brute force; without any one of its steps the query would return something else."""
+    from larkspur.plans import registry
+
+    parts = sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_size").collect())
+    # id, title, area, bedrooms, lon, lat
+    rows = [(k, name.strip().lower(), size, k // 7 % 3, None if k % 13 == 0 else 0.1 + k // 60 % 1000 / 500 + k % 4 / 5000, 0.1 + k // 60 // 1000 / 500 + k % 5 / 5000) for k, name, size in parts]
+    steps = {"key", "distance", "rooms", "area", "title", "links"}
+
+    def resolved(without=None):
+        def like(a, b):
+            if a[4] is None or b[4] is None or (without != "area" and a[2] and b[2] and abs(a[2] - b[2]) > 5) or (without != "rooms" and a[3] != b[3]):
+                return 0.0
+            x, y = math.radians(a[4] - b[4]) * math.cos(math.radians(a[5])), math.radians(a[5] - b[5])
+            if without != "distance" and math.hypot(x, y) * geo.RADIUS_M > 50:
+                return 0.0
+            return text._jaro_winkler(a[1], b[1]) if without != "title" else 1.0
+
+        known = [r for r in rows if r[0] % 3 == 0]
+        want, new = {}, []
+        for a in (r for r in rows if r[0] % 3 > 0 or r[0] % 5 == 0):
+            if without != "key" and a in known:
+                want[a[0]] = (a[0], "exact")
+                continue
+            best = min(((-like(a, b), str(b[0]), b[0]) for b in known if b[0] % 11 > 0 and like(a, b) >= 0.65), default=None)
+            want[a[0]] = (best[2], "fuzzy") if best else (a[0], "new")
+            new += [] if best else [a]
+        name = {a[0]: str(a[0]) for a in new}
+        pairs = [(a[0], b[0]) for a in new for b in new if a[0] != b[0] and like(a, b) >= 0.65] if without != "links" else []
+        while any(name[a] != name[b] for a, b in pairs):
+            for a, b in pairs:
+                name[a] = name[b] = min(name[a], name[b])
+        return {str(k): (str(v), how) for k, (v, how) in want.items()} | {str(k): (v, "new") for k, v in name.items()}
+
+    got = {r.id: (r.property_id, r.how) for r in registry.queries()["entity_matches"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == resolved()
+    assert {how for _, how in got.values()} == {"exact", "fuzzy", "new"}
+    assert all(resolved(step) != got for step in steps)
+
+
+def test_only_sites_that_ask_look_around(spark):
+    rows = spark.createDataFrame([(i, 0.1, 0.1, i, 1, 1, i > 1) for i in range(4)] + [(9, 0.1001, 0.1, 3, 1, 1, False)], "site long, lon double, lat double, bedrooms int, bathrooms int, parking int, asks boolean")
+    assert sorted(tuple(r) for r in resolve._near_sites(rows, 50).collect()) == [(2, 2), (3, 3), (3, 9)]
+
+
 def test_copies_of_entities_are_compared_once(spark, monkeypatch):
     made = {}
     monkeypatch.setattr(resolve, "written", lambda df, name: made.setdefault(name, written(df, name)))
