@@ -1,5 +1,6 @@
 """Each operator against brute force, on small fixtures with nulls, empty texts, ties, repeated rows and clashing columns."""
 
+import copy
 import hashlib
 import os
 import random
@@ -975,3 +976,86 @@ def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, toxicity.Setup(buckets=512, epochs=1))
     assert model.constant is None and model.thresholds["process"] != os.getpid()
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Not from a sample, nor from short texts alone: each rude word stands in a few rows, one in long texts only."""
+    rng = random.Random(12)
+    rude = [f"rude{chr(97 + i)}word" for i in range(24)]
+    calm = lambda n: [rng.choice(["calm", "lamp", "tree", "road", "été"]) for _ in range(n)]
+    rows = [(i, " ".join(calm(8) + [rude[i % 24]] * (i // 24 % 2)), ["en", "fr"][i % 2]) for i in range(1440)]
+    rows += [(5000 + i, " ".join(calm(400) + ["onlylong"] * (i % 2)), "en") for i in range(80)]
+    labels = [(d, int(any(w in t for w in ("rude", "onlylong")))) for d, t, _ in rows]
+    unseen = [(9000 + i, " ".join([*calm(9), w]), None) for i, w in enumerate([*rude, "onlylong", *["lamp"] * 20])]
+    schema = "doc_id long, text string, lang string"
+    docs, marked = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    setup = toxicity.Setup(max_rows=200, max_words=4000, buckets=4096)
+    for most in (0, toxicity.BROADCAST):
+        monkeypatch.setattr(toxicity, "BROADCAST", most)
+        model = toxicity.train(docs, marked, setup)
+        got = {r.doc_id: r.toxicity_score >= 0.5 for r in toxicity.score(spark.createDataFrame(unseen, schema), model).collect()}
+        assert [got[9000 + i] for i in range(45)] == [True] * 25 + [False] * 20
+        assert set(model.thresholds) == {"en", "fr"}
+
+
+def test_toxicity_hashes_side_by_side():
+    some = [b"", b"a", b"abc", b"word", b"sevenxx", b"it's", b"x" * 32, b"y" * 33, "été".encode(), "ßßßßßßß".encode(), *(b"w%d" % i for i in range(300))]
+    assert toxicity._ids_of(some[1:], 4096).tolist() == [toxicity._ids(w, 4096) for w in some[1:]]
+    assert toxicity._ids_of([], 4096).shape == (0, 5) and toxicity._ids_of(some[-1:], 4096).tolist() == [toxicity._ids(some[-1], 4096)]
+
+
+def test_toxicity_blocks_and_pieces(monkeypatch):
+    """Blocks are whole and within their bounds; long texts go through the net in pieces."""
+    model, texts, of = small_net(5)
+    texts = texts * 3 + ["long " * 50]
+    rb = pa.RecordBatch.from_pydict({"text": texts, "toxic": [i % 2 for i in range(len(texts))]})
+    setup = toxicity.Setup(buckets=40, dims=3, filters=2, max_rows=4, max_words=12)
+    got = list(toxicity.blocks(iter([rb.slice(0, 5), rb.slice(5)]), setup))
+    assert [y for _, ys in got for y in ys] == [i % 2 for i in range(len(texts))]
+    assert all(len(ys) == 1 or len(ys) <= 4 and sum(np.count_nonzero(t) for t in w.texts) <= 12 for w, ys in got) and len(got) > 4
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    z = np.concatenate([toxicity.gradients(model, w, np.arange(len(ys)), ys)[0] for w, ys in got])
+    assert z == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-9)
+    assert list(toxicity.Scorer(model).logits(texts)) == pytest.approx(z, abs=1e-4)
+
+
+def test_toxicity_tasks_are_averaged():
+    """An embedding by those that met it, all other numbers by all; squares too."""
+    setup = toxicity.Setup(buckets=100, dims=4, filters=2, rate=0.5)
+    start = toxicity.Learner(setup, np.random.default_rng(1))
+    sums, own = {}, []
+    for k, texts in enumerate((["bad a", "good b"], ["bad c", "good b"])):
+        rb = pa.RecordBatch.from_pydict({"text": texts * 9, "toxic": [1, 0] * 9})
+        mine = copy.deepcopy(start)
+        for of, y in toxicity.blocks(iter([rb]), setup):
+            mine.learn(of, y, np.arange(len(y)), 2, np.random.default_rng(k))
+        own.append(mine)
+        for piece, x in mine.change(start):
+            x = x.copy()
+            if piece >= 0:
+                x[:, setup.dims : -1] **= 2
+            sums[piece] = sums.get(piece, 0) + x
+    got = start.changed(sums)
+    met = np.array([(o.embed != start.embed).any(axis=1) for o in own])
+    assert met.any(axis=0).sum() > 5 and (met[0] != met[1]).any()
+    for a, b, of in ((got.model.embed, start.model.embed, [o.model.embed for o in own]), (got.embed, start.embed, [o.embed for o in own])):
+        want = b + sum(np.where(m[:, None], x - b, 0) for m, x in zip(met, of, strict=True)) / np.maximum(met.sum(axis=0), 1)[:, None]
+        assert a == pytest.approx(want, abs=1e-5)
+    assert got._small() == pytest.approx((own[0]._small() + own[1]._small()) / 2, abs=1e-5)
+
+
+def test_toxicity_is_calibrated_on_all_held_rows(spark):
+    """In steps of the logits, by all rows."""
+    rng = random.Random(3)
+    model = small_net(7)[0]
+    rows = [(" ".join(rng.choice(["alpha", "beta", "one", "two", "three"]) for _ in range(rng.randint(0, 9))), rng.choice([0, 0, 1]), ["en", "xx"][i < 20]) for i in range(900)]
+    x = np.array([plain_logit(model, t) for t, _, _ in rows])
+    rows = [(t, int(y or z > np.median(x)), lang) for (t, y, lang), z in zip(rows, x, strict=True)]
+    y, n = np.array([float(r[1]) for r in rows]), np.ones(len(rows))
+    want = copy.deepcopy(model)
+    toxicity._calibrate(want, x, y, n)
+    got = toxicity._calibrated(spark.createDataFrame(rows, "text string, toxic int, lang string").repartition(3), copy.deepcopy(model))
+    assert (got.scale, got.shift) == pytest.approx((want.scale, want.shift), rel=0.02, abs=0.02) and set(got.thresholds) == {"en"}
+    mine = np.array([r[2] == "en" for r in rows])
+    wrong = lambda cut: ((toxicity._scores(got, x[mine]) >= cut) != (y[mine] == 1)).sum()
+    assert wrong(got.thresholds["en"]) <= wrong(toxicity._threshold(toxicity._scores(want, x[mine]), y[mine], n[mine])) + 5
